@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -34,3 +35,9 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 def row_key(col: str = "doc_id"):
     """Ids as they are compared inside the operators: a null id comes before every other."""
     return F.coalesce(F.col(col).cast("long"), F.lit(-(2**63)).cast("long"))
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of steps that are staged already and referred to no more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

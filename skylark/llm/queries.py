@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import decontamination, jaccard_join, mixing, sharding
 
 
 def queries():
     return {
         "op2_sampled_splitters": sharding.op2_sampled_splitters,
+        "op3_jaccard_join": jaccard_join.op3_jaccard_join,
         "op4_mix_sources": mixing.op4_mix_sources,
+        "op5_decontaminate": decontamination.op5_decontaminate,
     }
 
 
 def oracle_sql():
-    return {"op4_mix_sources": mixing.OP4_SQL}
+    return {"op3_jaccard_join": jaccard_join.OP3_SQL, "op4_mix_sources": mixing.OP4_SQL, "op5_decontaminate": decontamination.OP5_SQL}
