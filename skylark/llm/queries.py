@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard_join, mixing, sharding
+from . import decontamination, jaccard_join, mixing, sharding, substring_dedup
 
 
 def queries():
@@ -10,9 +10,10 @@ def queries():
         "op2_sampled_splitters": sharding.op2_sampled_splitters,
         "op3_jaccard_join": jaccard_join.op3_jaccard_join,
         "op4_mix_sources": mixing.op4_mix_sources,
+        "op7_substring_dedup": substring_dedup.op7_substring_dedup,
         "op5_decontaminate": decontamination.op5_decontaminate,
     }
 
 
 def oracle_sql():
-    return {"op3_jaccard_join": jaccard_join.OP3_SQL, "op4_mix_sources": mixing.OP4_SQL, "op5_decontaminate": decontamination.OP5_SQL}
+    return {"op7_substring_dedup": substring_dedup.OP7_SQL, "op3_jaccard_join": jaccard_join.OP3_SQL, "op4_mix_sources": mixing.OP4_SQL, "op5_decontaminate": decontamination.OP5_SQL}
