@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard_join, mixing, sharding, substring_dedup
+from . import ann, decontamination, jaccard_join, mixing, sharding, substring_dedup
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op2_sampled_splitters": sharding.op2_sampled_splitters,
         "op3_jaccard_join": jaccard_join.op3_jaccard_join,
         "op4_mix_sources": mixing.op4_mix_sources,
+        "op6_cross_polytope": ann.op6_cross_polytope,
         "op7_substring_dedup": substring_dedup.op7_substring_dedup,
         "op5_decontaminate": decontamination.op5_decontaminate,
     }
