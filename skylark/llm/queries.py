@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import ann, decontamination, jaccard_join, mixing, sharding, substring_dedup
+from . import ann, decontamination, jaccard_join, mixing, sharding, substring_dedup, url_filter
 
 
 def queries():
     return {
+        "op1_host_reputation": url_filter.op1_host_reputation,
         "op2_sampled_splitters": sharding.op2_sampled_splitters,
         "op3_jaccard_join": jaccard_join.op3_jaccard_join,
         "op4_mix_sources": mixing.op4_mix_sources,
@@ -17,4 +18,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op7_substring_dedup": substring_dedup.OP7_SQL, "op3_jaccard_join": jaccard_join.OP3_SQL, "op4_mix_sources": mixing.OP4_SQL, "op5_decontaminate": decontamination.OP5_SQL}
+    return {"op1_host_reputation": url_filter.OP1_SQL, "op7_substring_dedup": substring_dedup.OP7_SQL, "op3_jaccard_join": jaccard_join.OP3_SQL, "op4_mix_sources": mixing.OP4_SQL, "op5_decontaminate": decontamination.OP5_SQL}
