@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import ann, decontamination, jaccard_join, mixing, sharding, substring_dedup, url_filter
+from . import ann, decontamination, jaccard_join, mixing, sharding, substring_dedup, toxicity, url_filter
 
 
 def queries():
     return {
         "op1_host_reputation": url_filter.op1_host_reputation,
+        "op9_toxicity": toxicity.op9_toxicity,
         "op2_sampled_splitters": sharding.op2_sampled_splitters,
         "op3_jaccard_join": jaccard_join.op3_jaccard_join,
         "op4_mix_sources": mixing.op4_mix_sources,
