@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import ann, decontamination, jaccard_join, mixing, sharding, substring_dedup, toxicity, url_filter
+from . import ann, decontamination, jaccard_join, mixing, quality, secrets_scan, sharding, substring_dedup, toxicity, url_filter
 
 
 def queries():
     return {
         "op1_host_reputation": url_filter.op1_host_reputation,
+        "op10_rule_ensemble": quality.op10_rule_ensemble,
+        "op8_secret_grammars": secrets_scan.op8_secret_grammars,
         "op9_toxicity": toxicity.op9_toxicity,
         "op2_sampled_splitters": sharding.op2_sampled_splitters,
         "op3_jaccard_join": jaccard_join.op3_jaccard_join,
