@@ -33,8 +33,8 @@ from .components import components
 #: Characters of text for each bucket of the shared-shingle count.
 BUCKET_CHARS = 16 << 20
 #: Shingles of a region that one task joins in memory.
-REGION_SHINGLES = 1 << 20
-PIVOTS = 12
+REGION_SHINGLES = 4 << 20
+PIVOTS = 8
 LEVELS = 4
 
 KINDS = "kind int, id long, n long, dig binary, d64 long, bucket long, a binary, b binary, c binary"
