@@ -38,6 +38,7 @@ PIVOTS = 8
 LEVELS = 4
 
 KINDS = "kind int, id long, n long, dig binary, d64 long, bucket long, a binary, b binary, c binary"
+COUNTS = "kind int, id long, n long, dig binary, d64 long, a binary, b binary"
 
 
 def required(n, num: int, den: int):
@@ -95,10 +96,10 @@ def _postings(lists: list[np.ndarray], owners: list[int], buckets: int) -> list[
     return rows + [(1, None, None, None, None, b, b"", b"", f) for b, f in known.items()]
 
 
-def _count_shared(group: pa.Table) -> pa.Table:
-    """Of one bucket: each owner's number of shared shingles; rows about documents pass through."""
+def _count_shared(group: pa.Table, parts: int) -> pa.Table:
+    """Of one bucket: each owner's number of shared shingles, packed by part; rows about documents pass through."""
     kind = group.column("kind").to_numpy()
-    docs = group.filter(pa.array(kind == 0)).select(["kind", "id", "n", "dig", "d64"])
+    docs = group.filter(pa.array(kind == 0)).select([x.split()[0] for x in COUNTS.split(", ")])
 
     def joined(col: str, k: int, dtype) -> np.ndarray:
         return np.frombuffer(b"".join(x for x in group.filter(pa.array(kind == k)).column(col).to_pylist() if x), dtype)
@@ -114,9 +115,17 @@ def _count_shared(group: pa.Table) -> pa.Table:
     d = np.r_[own[shared], joined("a", 2, np.int64)]
     d, at = np.unique(d, return_inverse=True)
     n = np.bincount(at, weights=np.r_[np.ones(int(shared.sum())), joined("b", 2, np.int64)], minlength=len(d)).astype(np.int64)
-    none = [None] * len(d)
-    found = pa.table({"kind": pa.array([2] * len(d), pa.int32()), "id": pa.array(none, pa.int64()), "n": pa.array(n), "dig": pa.array(none, pa.binary()), "d64": pa.array(d, pa.int64())})
-    return pa.concat_tables([docs.cast(found.schema), found])
+    part, found = d % parts, docs.schema.empty_table().to_pylist()
+    for q, i in cut_by(np.argsort(part, kind="stable"), part):
+        found.append({"kind": 2, "n": q, "a": d[i].tobytes(), "b": n[i].tobytes()})
+    return pa.concat_tables([docs, pa.Table.from_pylist(found, docs.schema)])
+
+
+def _summed(group: pa.Table) -> pa.Table:
+    """Owners of one part with their numbers of shared shingles in all buckets."""
+    d, at = np.unique(np.frombuffer(b"".join(group.column("a").to_pylist()), np.int64), return_inverse=True)
+    n = np.bincount(at, weights=np.frombuffer(b"".join(group.column("b").to_pylist()), np.int64), minlength=len(d))
+    return pa.table({"d64": pa.array(d, pa.int64()), "hits": pa.array(n.astype(np.int64), pa.int64())})
 
 
 def _listed(width: int, num: int, den: int, buckets: int):
@@ -326,16 +335,17 @@ def similar_sets(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100,
     base = docs.select(row_key(key).alias("_key"), F.col(text).alias("_text"))
     chars = int(base.agg(F.sum(F.length("_text"))).first()[0] or 0)
     buckets = max(8, chars // BUCKET_CHARS)
-    counted = base.mapInArrow(_listed(width, num, den, buckets), KINDS).groupBy("bucket").applyInArrow(_count_shared, "kind int, id long, n long, dig binary, d64 long")
+    count = lambda group: _count_shared(group, buckets)
+    counted = base.mapInArrow(_listed(width, num, den, buckets), KINDS).groupBy("bucket").applyInArrow(count, COUNTS)
     counted = staged(counted, "shingle-counts")
     sizes = counted.filter("kind = 0")
     nodes = sizes.filter("n > 0").groupBy("dig", "d64", "n").agg(F.min("id").alias("_key"))
-    shared = lambda c: c.filter("kind = 2").groupBy("d64").agg(F.sum("n").alias("hits"))
+    shared = lambda c: c.filter("kind = 2").select(F.col("n").alias("part"), "a", "b").groupBy("part").applyInArrow(_summed, "d64 long, hits long")
     need = F.ceil(F.col("n") * num / den).cast("long")
     some = nodes.join(shared(counted), "d64").filter(F.col("hits") >= 1 + F.floor(need / 20))
     sets = staged(base.join(some.select("_key", "dig"), "_key").select("dig", "_text").mapInArrow(_chosen_sets(width), "dig binary, d64 long, n long, set binary"), "shingle-sets")
     release(spark)
-    again = sets.select("d64", "set").mapInArrow(_all_postings(buckets), KINDS).groupBy("bucket").applyInArrow(_count_shared, "kind int, id long, n long, dig binary, d64 long")
+    again = sets.select("d64", "set").mapInArrow(_all_postings(buckets), KINDS).groupBy("bucket").applyInArrow(count, COUNTS)
     kept = staged(sets.join(shared(again), "d64").filter(F.col("hits") >= need).select("dig", "n", (F.col("hits") / F.col("n")).alias("score"), "set"), "near-sets")
     release(spark)
     posts = staged(kept.select("dig", "score", "set").mapInArrow(_prefixes(num, den), "s long, dig binary, score double"), "prefixes")
