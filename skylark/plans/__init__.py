@@ -1 +1,6 @@
-"""plans of the package."""
+"""Queries over the driver's tables, with their SQL."""
+
+from . import signal_queries  # noqa: F401
+from .registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
