@@ -36,10 +36,13 @@ HOT_HERE, HOT = 8, 4096
 STRETCH = 64
 REMEMBERED = 500_000
 
-COUNTED = "kind int, ref long, k long, n long, sha string, spans binary, cells array<long>, hot array<long>"
+#: Characters of text for each group that spans are cut from.
+CUT_CHARS = 16 << 20
+SPAN_COLUMNS = "refs binary, begins binary, ends binary"
+COUNTED = f"kind int, ref long, cells array<long>, hot array<long>, part long, {SPAN_COLUMNS}"
 TAGGED = COUNTED + ", bucket long, a binary, b binary, c binary"
-SEGMENTS = "shard long, ref binary, k binary, start binary, count binary, words binary, spans binary"
-SPANS = "ref long, k long, spans binary"
+SEGMENTS = f"shard long, ref binary, k binary, start binary, count binary, words binary, part long, {SPAN_COLUMNS}"
+SPANS = f"part long, {SPAN_COLUMNS}"
 _TYPES = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
 
 
@@ -80,43 +83,52 @@ class Piece:
             first[order] = np.repeat(np.minimum.reduceat(order, edges), np.diff(np.r_[edges, len(order)]))
         self.repeat = (self.k[self.doc] != self.k[self.doc[first]]) | (self.start != self.start[first])
 
-    def spans(self, windows: np.ndarray) -> dict[int, bytes]:
-        return span_bytes(self.doc[windows], self.start[windows], self.width)
+    def spans(self, windows: np.ndarray, parts: int) -> Iterator[tuple]:
+        return span_rows(self.ref, self.doc[windows], self.start[windows], self.width, parts)
 
 
-def span_bytes(doc: np.ndarray, start: np.ndarray, width: int) -> dict[int, bytes]:
-    """Merged (start, end) word spans of windows that come sorted by document and start, as int32 pairs."""
-    if not len(doc):
-        return {}
-    new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + width)])
-    begin, end = start[new], start[np.r_[new[1:], len(doc)] - 1] + width
-    pairs = np.c_[begin, end].astype(np.int32)
-    return {d: pairs[i].tobytes() for d, i in cut_by(np.arange(len(new)), doc[new])}
+def span_rows(refs: np.ndarray, doc: np.ndarray, start: np.ndarray, width: int, parts: int) -> Iterator[tuple]:
+    """(part, refs, begins, ends): merged word spans of windows that come sorted by document and start, packed by the
+    part of the documents that they are cut from."""
+    if len(doc):
+        new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + width)])
+        ref, begin, end = refs[doc[new]], start[new], start[np.r_[new[1:], len(doc)] - 1] + width
+        part = ref % parts
+        for p, i in cut_by(np.argsort(part, kind="stable"), part):
+            yield p, ref[i].tobytes(), begin[i].astype(np.int32).tobytes(), end[i].astype(np.int32).tobytes()
 
 
-def _counting(width: int, buckets: int):
-    """Per document its size, the hash of its whole text and the repeats found here; anchors of the other windows."""
+def packed(words: np.ndarray) -> bytes:
+    """Word hashes cut to 48 bits, which travel."""
+    return np.ascontiguousarray(words.view(np.uint16).reshape(-1, 4)[:, :3]).tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 4), np.uint16)
+    out[:, :3] = np.frombuffer(raw, np.uint16).reshape(-1, 3)
+    return out.view(np.uint64).ravel()
+
+
+def _counting(width: int, buckets: int, parts: int):
+    """Spans of the repeats found inside a piece; anchors of its other windows, by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = (None,) * 4
         for batch in pieces(batches, "_text"):
             p = Piece(batch, width, buckets)
-            spans, text = p.spans(np.flatnonzero(p.repeat)), p.batch.column(p.batch.schema.names.index("_text"))
-            n, rows = np.diff(p.words.offsets), []
-            for d in range(len(batch)):
-                sha = None if d in spans else hashlib.sha256(b" ".join((text[d].as_py() or "").encode().split())).hexdigest()
-                rows.append((0, int(p.ref[d]), int(p.k[d]), int(n[d]), sha, spans.get(d), None, None, d % buckets, None, None, None))
+            rows = [(0, None, None, None, *s, s[0] % buckets, None, None, None) for s in p.spans(np.flatnonzero(p.repeat), parts)]
             live = ~p.repeat
             pairs = np.unique(np.c_[p.cell[live], p.doc[live]], axis=0) if live.any() else np.empty((0, 2), np.int64)
             cells, counts = np.unique(pairs[:, 0], return_counts=True)
             hot = cells[counts > HOT_HERE]
             is_hot = np.isin(pairs[:, 0], hot)
             for d, i in cut_by(np.flatnonzero(is_hot)[np.argsort(pairs[is_hot, 1], kind="stable")], pairs[:, 1]):
-                rows.append((2, int(p.ref[d]), None, None, None, None, [], pairs[i, 0].tolist(), d % buckets, None, None, None))
+                rows.append((2, int(p.ref[d]), [], pairs[i, 0].tolist(), *none, d % buckets, None, None, None))
             cell, ref = pairs[~is_hot, 0], p.ref[pairs[~is_hot, 1]]
             known = {b: hot[i].astype(np.uint32).tobytes() for b, i in cut_by(np.arange(len(hot)), hot >> 32)}
             for b, i in cut_by(np.arange(len(cell)), cell >> 32):  # np.unique has sorted by cell, so by bucket
-                rows.append((1, None, None, None, None, None, None, None, b, cell[i].astype(np.uint32).tobytes(), ref[i].tobytes(), known.pop(b, None)))
-            rows += [(1, None, None, None, None, None, None, None, b, b"", b"", f) for b, f in known.items()]
+                rows.append((1, None, None, None, *none, b, cell[i].astype(np.uint32).tobytes(), ref[i].tobytes(), known.pop(b, None)))
+            rows += [(1, None, None, None, *none, b, b"", b"", f) for b, f in known.items()]
             yield _batch(TAGGED, rows)
 
     return run
@@ -137,11 +149,11 @@ def _repeated_anchors(group: pa.Table) -> pa.Table:
     cell = low.astype(np.int64) | (bucket << 32)
     rows = []
     for r, i in cut_by(np.flatnonzero(again)[np.argsort(ref[again], kind="stable")], ref):
-        rows.append((3, r, None, None, None, None, cell[i][~hot[i]].tolist(), cell[i][hot[i]].tolist()))
+        rows.append((3, r, cell[i][~hot[i]].tolist(), cell[i][hot[i]].tolist(), None, None, None, None))
     return pa.concat_tables([rest.cast(pa.Table.from_batches([_batch(COUNTED, [])]).schema), pa.Table.from_batches([_batch(COUNTED, rows)])])
 
 
-def _stretches(width: int, buckets: int, shards: int):
+def _stretches(width: int, buckets: int, shards: int, parts: int):
     """Segments of the documents for the shards of their repeated anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,26 +191,23 @@ def _stretches(width: int, buckets: int, shards: int):
             rows = []
             for s, i in cut_by(np.argsort(shard, kind="stable"), shard):
                 f, n = first[i], count[i]
-                words = p.words.hashes[ragged(p.at[f], n + width - 1)]
-                rows.append((s, p.ref[p.doc[f]].tobytes(), p.k[p.doc[f]].tobytes(), p.start[f].tobytes(), n.tobytes(), words.tobytes(), None))
-            for d, b in p.spans(np.flatnonzero(gone)).items():
-                rows.append((int(d) % shards, p.ref[d : d + 1].tobytes(), p.k[d : d + 1].tobytes(), None, None, None, b))
+                words = packed(p.words.hashes[ragged(p.at[f], n + width - 1)])
+                rows.append((s, p.ref[p.doc[f]].tobytes(), p.k[p.doc[f]].tobytes(), p.start[f].tobytes(), n.tobytes(), words, None, None, None, None))
+            rows += [(x[0] % shards, None, None, None, None, None, *x) for x in p.spans(np.flatnonzero(gone), parts)]
             yield _batch(SEGMENTS, rows)
 
     return run
 
 
-def _matched(width: int):
+def _matched(width: int, parts: int):
     """Of one shard: removal spans of the windows that its index also holds earlier."""
 
     def run(group: pa.Table) -> pa.Table:
-        done = group.filter(group.column("spans").is_valid())
-        number = lambda col: np.frombuffer(b"".join(done.column(col).to_pylist()), np.int64).tolist()
-        rows = list(zip(number("ref"), number("k"), done.column("spans").to_pylist()))
-        segs = group.filter(group.column("spans").is_null())
+        done = group.filter(group.column("part").is_valid()).select([x.split()[0] for x in SPANS.split(", ")])
+        segs, rows = group.filter(group.column("part").is_null()), []
         if len(segs):
             ref, k, start, count = (np.frombuffer(b"".join(segs.column(c).to_pylist()), np.int64) for c in ("ref", "k", "start", "count"))
-            words = np.frombuffer(b"".join(segs.column("words").to_pylist()), np.uint64)
+            words = unpacked(b"".join(segs.column("words").to_pylist()))
             size = count + width - 1
             order = np.lexsort((start, ref, k))  # segment by segment the text is in order of (key, start)
             words = words[ragged((np.cumsum(size) - size)[order], size[order])]
@@ -212,8 +221,9 @@ def _matched(width: int):
             d, s = doc[seg[gone]], start[seg[gone]] + at[gone]
             o = np.lexsort((s, d))
             head = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-            rows += [(int(ref[head[x]]), int(k[head[x]]), v) for x, v in span_bytes(d[o], s[o], width).items()]
-        return pa.Table.from_batches([_batch(SPANS, rows)])
+            rows = list(span_rows(ref[head], d[o], s[o], width, parts))
+        own = pa.Table.from_batches([_batch(SPANS, rows)])
+        return pa.concat_tables([done.cast(own.schema), own])
 
     return run
 
@@ -237,57 +247,62 @@ def window_blocks(words: np.ndarray, size: np.ndarray, width: int) -> tuple[np.n
     return tuple(np.concatenate(out, axis=1))
 
 
-def _cutting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches, "_text"):
-        k, text, spans = (batch.column(batch.schema.names.index(c)) for c in ("k", "_text", "spans"))
-        removed, kept, total = [], [], []
-        for d in range(len(batch)):
-            words = (text[d].as_py() or "").encode().split()
-            keep = np.ones(len(words), bool)
-            for s in spans[d].as_py():
-                for a, b in np.frombuffer(s, np.int32).reshape(-1, 2):
-                    keep[a:b] = False
-            kept.append(b" ".join(compress(words, keep.tolist())).decode())
-            total.append(len(words))
-            removed.append(int(len(words) - keep.sum()))
-        yield pa.RecordBatch.from_arrays([k, pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["k", "n_words", "n_removed", "kept"])
-
-
-def repeated_spans(docs: DataFrame, width: int = 20, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(base, info, spans): the keyed documents, a row for each with its size and whole-text hash, and the removal
-    spans of those that lose words, by (ref, k)."""
-    spark = docs.sparkSession
-    base = docs.select(row_key(key).alias("k"), F.col(text).alias("_text")).withColumn("ref", F.xxhash64("k", "_text"))
-    chars = int(base.agg(F.sum(F.length("_text"))).first()[0] or 0)
-    buckets, shards = max(8, chars // BUCKET_CHARS), max(8, chars // SHARD_CHARS)
-    counted = staged(base.mapInArrow(_counting(width, buckets), TAGGED).groupBy("bucket").applyInArrow(_repeated_anchors, COUNTED), "anchors")
-    flags = counted.filter("kind > 1").groupBy("ref").agg(F.flatten(F.collect_list("cells")).alias("cells"), F.flatten(F.collect_list("hot")).alias("hot"))
-    segments = base.join(flags, "ref").mapInArrow(_stretches(width, buckets, shards), SEGMENTS)
-    found = staged(segments.groupBy("shard").applyInArrow(_matched(width), SPANS), "removal-spans")
-    release(spark)
-    info = counted.filter("kind = 0")
-    spans = info.filter("spans IS NOT NULL").select("ref", "k", "spans").unionByName(found).groupBy("ref", "k").agg(F.collect_set("spans").alias("spans"))
-    return base, info, spans
+def _cutting(texts: bool):
+    """Documents of one part and all their spans: sizes, hashes and (if asked for) texts of the words that stay."""
+
+    def run(docs: pa.Table, spans: pa.Table) -> pa.Table:
+        ref, begin, end = (np.frombuffer(b"".join(spans.column(c).to_pylist()), t) for c, t in (("refs", np.int64), ("begins", np.int32), ("ends", np.int32)))
+        order = np.argsort(ref, kind="stable")
+        ref, begin, end = ref[order], begin[order], end[order]
+        own = docs.column("ref").to_numpy()
+        first, last = np.searchsorted(ref, own, "left"), np.searchsorted(ref, own, "right")
+        total, removed, shas, kept = [], [], [], []
+        for d, text in enumerate(docs.column("_text")):
+            words = (text.as_py() or "").encode().split()
+            n = len(words)
+            if first[d] < last[d]:
+                keep = np.ones(n, bool)
+                for i in range(first[d], last[d]):
+                    keep[begin[i] : end[i]] = False
+                words = list(compress(words, keep.tolist()))
+            rest = b" ".join(words)
+            total.append(n)
+            removed.append(n - len(words))
+            shas.append(hashlib.sha256(rest).hexdigest())
+            kept.append(rest.decode() if texts else None)
+        columns = [docs.column("k"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(shas, pa.string()), pa.array(kept, pa.string())]
+        return pa.table(columns, names=["k", "n_words", "n_removed", "kept_sha256", "kept"])
+
+    return run
 
 
-def remove_repeats(docs: DataFrame, width: int = 20, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row for each row of ``docs``: (key, n_words, n_removed, kept, kept_sha256); ``kept`` (the words left,
-    joined by one space) is null where nothing goes, which spares the move of those texts.
+def remove_repeats(docs: DataFrame, width: int = 20, text: str = "text", key: str = "doc_id", texts: bool = True) -> DataFrame:
+    """One row for each row of ``docs``: (key, n_words, n_removed, kept_sha256, kept); ``kept`` holds the words left,
+    joined by one space (null without ``texts``), and kept_sha256 is its hash.
 
     Null texts and texts of fewer than ``width`` words lose nothing. Windows at the same key and start (rows that
     repeat an id and a text) are no earlier than each other; null keys come before all others. Extra columns are not
     read; an empty table gives no rows.
     """
-    base, info, spans = repeated_spans(docs, width, text, key)
-    spans = staged(spans, "document-spans")
-    cut = base.join(spans, ["ref", "k"]).select("k", "_text", "spans").mapInArrow(_cutting, "k long, n_words long, n_removed long, kept string")
-    whole = info.join(spans, ["ref", "k"], "left_anti").select("k", F.col("n").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.lit(None).cast("string").alias("kept"), F.col("sha").alias("kept_sha256"))
-    out = cut.withColumn("kept_sha256", F.sha2("kept", 256)).unionByName(whole)
-    return out.select(F.when(F.col("k") != -(2**63), F.col("k")).alias(key), "n_words", "n_removed", "kept", "kept_sha256")
+    spark = docs.sparkSession
+    base = docs.select(row_key(key).alias("k"), F.col(text).alias("_text")).withColumn("ref", F.xxhash64("k", "_text"))
+    chars = int(base.agg(F.sum(F.length("_text"))).first()[0] or 0)
+    buckets, shards, parts = (max(8, chars // n) for n in (BUCKET_CHARS, SHARD_CHARS, CUT_CHARS))
+    counted = staged(base.mapInArrow(_counting(width, buckets, parts), TAGGED).groupBy("bucket").applyInArrow(_repeated_anchors, COUNTED), "anchors")
+    release(spark)
+    flags = counted.filter("kind > 1").groupBy("ref").agg(F.flatten(F.collect_list("cells")).alias("cells"), F.flatten(F.collect_list("hot")).alias("hot"))
+    segments = base.join(flags, "ref").mapInArrow(_stretches(width, buckets, shards, parts), SEGMENTS)
+    found = staged(segments.groupBy("shard").applyInArrow(_matched(width, parts), SPANS), "removal-spans")
+    del segments, flags
+    release(spark)
+    spans = counted.filter("kind = 0").select(*found.columns).unionByName(found)
+    by_part = base.withColumn("part", F.pmod("ref", F.lit(parts)))
+    out = by_part.groupBy("part").cogroup(spans.groupBy("part")).applyInArrow(_cutting(texts), "k long, n_words long, n_removed long, kept_sha256 string, kept string")
+    return out.select(F.when(F.col("k") != -(2**63), F.col("k")).alias(key), "n_words", "n_removed", "kept_sha256", "kept")
 
 
 def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    return remove_repeats(table(spark, sf_dir, "documents"), texts=False).drop("kept")
 
 
 OP7_SQL = r"""
