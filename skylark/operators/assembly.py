@@ -11,9 +11,14 @@ from pyspark.sql import functions as F
 from ..functions.text import escape_cell, escape_xml
 
 
-def section_tables(pool: DataFrame, actions: Sequence[str], order: Sequence[Column | str] = (F.desc("score"), "src_ord", "item_ord")) -> DataFrame:
+def by_score() -> list[Column]:
+    """Best score first, ties in order of collection."""
+    return [F.desc("score"), F.col("src_ord"), F.col("item_ord")]
+
+
+def section_tables(pool: DataFrame, actions: Sequence[str], order: Sequence[Column | str] | None = None) -> DataFrame:
     """(action, body): markdown table rows of each section in rank order, or a placeholder."""
-    w = Window.partitionBy("action").orderBy(*order)
+    w = Window.partitionBy("action").orderBy(*(order or by_score()))
     link = F.concat(F.lit("["), escape_cell(F.col("title")), F.lit("]("), "url", F.lit(")"))
     cells = [F.col("score").cast("string"), F.col("action"), link, F.col("category"), escape_cell(F.col("recommended_topic")), F.col("reason"), F.array_join("evidence", "<br>")]
     line = F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
@@ -92,14 +97,14 @@ def pack_blocks(df: DataFrame, key: str, text: str = "text", limit: int = 3400)
     return df.select(key, F.posexplode(cut(text)).alias("pos", "block"))
 
 
-def pool_message(pool: DataFrame, caps: dict[str, int], order: Sequence[Column | str] = (F.desc("score"), "src_ord", "item_ord")) -> DataFrame:
+def pool_message(pool: DataFrame, caps: dict[str, int], order: Sequence[Column | str] | None = None) -> DataFrame:
     """(action, rank, line) of the message sections; the recommended topic falls back to one from the angle."""
     from .ranking import top_per_group
 
     angle = F.regexp_replace(F.regexp_replace("angle", "^适合从", ""), "角度切入$", "")
     topic = F.coalesce(F.nullif(F.col("recommended_topic"), F.lit("")), F.concat("title", F.lit(" 为什么值得关注？（"), F.coalesce(F.nullif(angle, F.lit("")), "category"), F.lit("）")))
     line = F.concat(F.col("rank").cast("string"), F.lit(". "), escape_xml(F.col("title")), F.lit("\n"), F.col("score").cast("string"), F.lit(" / "), "action", F.lit("\n"), escape_xml(topic), F.lit("\n"), F.array_join(F.slice("evidence", 1, 3), "；"))
-    return top_per_group(pool, "action", caps, order).select("action", "rank", line.alias("line"))
+    return top_per_group(pool, "action", caps, order or by_score()).select("action", "rank", line.alias("line"))
 
 
 def report_links(reports: DataFrame, highlights: DataFrame | None = None) -> DataFrame:

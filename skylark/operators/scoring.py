@@ -14,9 +14,9 @@ def signal_text() -> Column:
     return F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit("")), F.array_join("tags", " ")))
 
 
-def classify(rules: R.Rules, text: Column = F.col("_text")) -> Column:
+def classify(rules: R.Rules, text: str = "_text") -> Column:
     """Ordered rules, the first match wins."""
-    kind = F.col("source_type")
+    kind, text = F.col("source_type"), F.col(text)
     return (
         F.when(has_any(text, rules.policy), R.POLICY)
         .when(kind.isin("research", "model") | has_any(text, rules.model), R.MODEL)
@@ -39,7 +39,8 @@ def freshness(now: Column) -> Column:
     return F.when(days.isNull(), 12).when(days <= 1, 20).when(days <= 2, 16).when(days <= 7, 10).otherwise(5)
 
 
-def commercial(rules: R.Rules, text: Column = F.col("_text")) -> Column:
+def commercial(rules: R.Rules, text: str = "_text") -> Column:
+    text = F.col(text)
     by_type = F.create_map(*[F.lit(x) for kv in {"official": 16, "product": 12, "community": 7}.items() for x in kv])[F.col("source_type")]
     category = F.when(F.col("category") == R.ENTERPRISE, 9).when(F.col("category") == R.PRODUCT, 7).when(F.col("category") == R.FLAGSHIP, 6).otherwise(0)
     total = F.lit(8) + F.coalesce(by_type, F.lit(0)) + category + F.when(has_any(text, rules.bonus), 7).otherwise(0) + F.when(has_any(text, rules.companies), 5).otherwise(0)

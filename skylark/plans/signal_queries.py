@@ -8,6 +8,7 @@ from .. import rules as R
 from ..functions import dates as D
 from ..functions import text as X
 from ..operators import ranking, scoring
+from ..operators.assembly import by_score
 from . import views as V
 from .registry import query, table
 
@@ -23,7 +24,6 @@ def _pool(spark, sf):
     return scoring.topic_radar(V.signals(spark, sf), V.now(), RULES)
 
 
-_ORDER = (F.desc("score"), "src_ord", "item_ord")
 _TOP60 = "SELECT * FROM v_pool ORDER BY score DESC, src_ord, item_ord LIMIT 60"
 _CARD = "title, url, source, category, score, action, angle, reason, recommended_topic, commercial_impact, heat, freshness, writability, array_to_string(evidence, '；') AS evidence"
 
@@ -85,13 +85,13 @@ def source_warnings(spark, sf):
 @query("sections_by_action", _S + f""", top AS ({_TOP60}), r AS (SELECT *, row_number() OVER (PARTITION BY action ORDER BY score DESC, src_ord, item_ord)::INT AS rank FROM top)
 SELECT action, rank, title, score FROM r WHERE rank <= CASE action WHEN '深挖' THEN 10 WHEN '入池' THEN 15 WHEN '观察' THEN 15 ELSE 0 END""")
 def sections_by_action(spark, sf):
-    return ranking.top_per_group(_pool(spark, sf), "action", {"深挖": 10, "入池": 15, "观察": 15}, _ORDER).select("action", "rank", "title", "score")
+    return ranking.top_per_group(_pool(spark, sf), "action", {"深挖": 10, "入池": 15, "观察": 15}, by_score()).select("action", "rank", "title", "score")
 
 
 @query("sections_by_category", _S + f""", top AS ({_TOP60}), r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY score DESC, src_ord, item_ord)::INT AS rank FROM top)
 SELECT category, rank, title, score FROM r WHERE rank <= 5""")
 def sections_by_category(spark, sf):
-    return ranking.top_per_group(_pool(spark, sf), "category", 5, _ORDER).select("category", "rank", "title", "score")
+    return ranking.top_per_group(_pool(spark, sf), "category", 5, by_score()).select("category", "rank", "title", "score")
 
 
 @query("report_markdown", _S + f""", top AS ({_TOP60}), rows_ AS (

@@ -15,8 +15,8 @@ def now():
     return F.lit(NOW_TEXT).cast("timestamp")
 
 
-def signals(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents")
+def signals(spark: SparkSession, sf: str, read=table) -> DataFrame:
+    d = read(spark, sf, "documents")
     kind = F.element_at(F.array(*[F.lit(x) for x in ("github", "community", "product", "research", "model", "official")]), (F.col("doc_id") % 6 + 1).cast("int"))
     age = F.make_interval(hours=((F.col("doc_id") * 5) % 240).cast("int"))
     return d.select(
