@@ -39,11 +39,11 @@ REMEMBERED = 500_000
 #: Characters of text for each group that spans are cut from.
 CUT_CHARS = 16 << 20
 SPAN_COLUMNS = "refs binary, begins binary, ends binary"
-COUNTED = f"kind int, ref long, cells array<long>, hot array<long>, part long, {SPAN_COLUMNS}"
+COUNTED = f"kind int, part long, {SPAN_COLUMNS}, cells binary, hots binary"
 TAGGED = COUNTED + ", bucket long, a binary, b binary, c binary"
 SEGMENTS = f"shard long, ref binary, k binary, start binary, count binary, words binary, part long, {SPAN_COLUMNS}"
 SPANS = f"part long, {SPAN_COLUMNS}"
-_TYPES = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+_TYPES = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
 
 
 def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
@@ -113,28 +113,35 @@ def _counting(width: int, buckets: int, parts: int):
     """Spans of the repeats found inside a piece; anchors of its other windows, by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = (None,) * 4
+        none = (None,) * 6
         for batch in pieces(batches, "_text"):
             p = Piece(batch, width, buckets)
-            rows = [(0, None, None, None, *s, s[0] % buckets, None, None, None) for s in p.spans(np.flatnonzero(p.repeat), parts)]
+            rows = [(0, *s, None, None, s[0] % buckets, None, None, None) for s in p.spans(np.flatnonzero(p.repeat), parts)]
             live = ~p.repeat
             pairs = np.unique(np.c_[p.cell[live], p.doc[live]], axis=0) if live.any() else np.empty((0, 2), np.int64)
             cells, counts = np.unique(pairs[:, 0], return_counts=True)
             hot = cells[counts > HOT_HERE]
             is_hot = np.isin(pairs[:, 0], hot)
-            for d, i in cut_by(np.flatnonzero(is_hot)[np.argsort(pairs[is_hot, 1], kind="stable")], pairs[:, 1]):
-                rows.append((2, int(p.ref[d]), [], pairs[i, 0].tolist(), *none, d % buckets, None, None, None))
+            for f in flag_rows(p.ref[pairs[is_hot, 1]], pairs[is_hot, 0], np.ones(int(is_hot.sum()), bool), parts):
+                rows.append((2, *f, f[0] % buckets, None, None, None))
             cell, ref = pairs[~is_hot, 0], p.ref[pairs[~is_hot, 1]]
             known = {b: hot[i].astype(np.uint32).tobytes() for b, i in cut_by(np.arange(len(hot)), hot >> 32)}
             for b, i in cut_by(np.arange(len(cell)), cell >> 32):  # np.unique has sorted by cell, so by bucket
-                rows.append((1, None, None, None, *none, b, cell[i].astype(np.uint32).tobytes(), ref[i].tobytes(), known.pop(b, None)))
-            rows += [(1, None, None, None, *none, b, b"", b"", f) for b, f in known.items()]
+                rows.append((1, *none, b, cell[i].astype(np.uint32).tobytes(), ref[i].tobytes(), known.pop(b, None)))
+            rows += [(1, *none, b, b"", b"", f) for b, f in known.items()]
             yield _batch(TAGGED, rows)
 
     return run
 
 
-def _repeated_anchors(group: pa.Table) -> pa.Table:
+def flag_rows(ref: np.ndarray, cell: np.ndarray, hot: np.ndarray, parts: int) -> Iterator[tuple]:
+    """(part, refs, -, -, cells, hots): documents and their repeated anchors, packed by part."""
+    part = ref % parts
+    for q, i in cut_by(np.argsort(part, kind="stable"), part):
+        yield q, ref[i].tobytes(), None, None, cell[i].tobytes(), hot[i].tobytes()
+
+
+def _repeated_anchors(group: pa.Table, parts: int) -> pa.Table:
     """Of one bucket: the anchors of each document that occur again, and those of them that are very common."""
     kind = group.column("kind").to_numpy()
     bucket = group.column("bucket")[0].as_py()
@@ -147,27 +154,29 @@ def _repeated_anchors(group: pa.Table) -> pa.Table:
     n, flagged = counts[at] if len(low) else np.empty(0, int), np.isin(low, flags)
     again, hot = (n > 1) | flagged, flagged | (n > HOT)
     cell = low.astype(np.int64) | (bucket << 32)
-    rows = []
-    for r, i in cut_by(np.flatnonzero(again)[np.argsort(ref[again], kind="stable")], ref):
-        rows.append((3, r, cell[i][~hot[i]].tolist(), cell[i][hot[i]].tolist(), None, None, None, None))
-    return pa.concat_tables([rest.cast(pa.Table.from_batches([_batch(COUNTED, [])]).schema), pa.Table.from_batches([_batch(COUNTED, rows)])])
+    rows = [(3, *f) for f in flag_rows(ref[again], cell[again], hot[again], parts)]
+    flags = pa.Table.from_batches([_batch(COUNTED, rows)])
+    return pa.concat_tables([rest.cast(flags.schema), flags])
 
 
 def _stretches(width: int, buckets: int, shards: int, parts: int):
-    """Segments of the documents for the shards of their repeated anchors."""
+    """Segments of the documents of one part for the shards of their repeated anchors."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(docs: pa.Table, flags: pa.Table) -> pa.Table:
         seen: dict[int, tuple[int, int]] = {}
-        for batch in pieces(batches, "_text"):
-            p = Piece(batch, width, buckets)
-            names = p.batch.schema.names
-            cells, hots = p.batch.column(names.index("cells")), p.batch.column(names.index("hot"))
+        ref, cell, very = (np.frombuffer(b"".join(flags.column(c).to_pylist()), t) for c, t in (("refs", np.int64), ("cells", np.int64), ("hots", bool)))
+        order = np.argsort(ref, kind="stable")
+        ref, cell, very = ref[order], cell[order], very[order]
+        out: list[pa.RecordBatch] = []
+        for batch in pieces(docs.to_batches(), "_text"):
+            p, rows = Piece(batch, width, buckets), []
             edge = np.searchsorted(p.doc, np.arange(len(batch) + 1))
+            first, last = np.searchsorted(ref, p.ref, "left"), np.searchsorted(ref, p.ref, "right")
             again, hot = np.zeros(len(p.at), bool), np.zeros(len(p.at), bool)
-            for d in range(len(batch)):
-                part = slice(edge[d], edge[d + 1])
-                again[part] = np.isin(p.cell[part], cells[d].values.to_numpy())
-                hot[part] = np.isin(p.cell[part], hots[d].values.to_numpy())
+            for d in np.flatnonzero(first < last):
+                part, own, common = slice(edge[d], edge[d + 1]), cell[first[d] : last[d]], very[first[d] : last[d]]
+                again[part] = np.isin(p.cell[part], own[~common])
+                hot[part] = np.isin(p.cell[part], own[common])
             again, hot, gone = again & ~hot & ~p.repeat, hot & ~p.repeat, p.repeat.copy()
             for i in np.flatnonzero(hot):  # of a very common anchor: what this task has seen earlier need not travel
                 key, here = int(p.hash[i]), (int(p.k[p.doc[i]]), int(p.start[i]))
@@ -188,13 +197,13 @@ def _stretches(width: int, buckets: int, shards: int, parts: int):
             single = np.flatnonzero(hot)
             first, count = np.r_[w[begin], single], np.r_[length, np.ones(len(single), np.int64)]
             shard = np.r_[p.cell[w[begin]] % shards, (p.hash[single] % np.uint64(shards)).astype(np.int64)]
-            rows = []
             for s, i in cut_by(np.argsort(shard, kind="stable"), shard):
                 f, n = first[i], count[i]
                 words = packed(p.words.hashes[ragged(p.at[f], n + width - 1)])
                 rows.append((s, p.ref[p.doc[f]].tobytes(), p.k[p.doc[f]].tobytes(), p.start[f].tobytes(), n.tobytes(), words, None, None, None, None))
             rows += [(x[0] % shards, None, None, None, None, None, *x) for x in p.spans(np.flatnonzero(gone), parts)]
-            yield _batch(SEGMENTS, rows)
+            out.append(_batch(SEGMENTS, rows))
+        return pa.Table.from_batches(out or [_batch(SEGMENTS, [])])
 
     return run
 
@@ -288,15 +297,16 @@ def remove_repeats(docs: DataFrame, width: int = 20, text: str = "text", key: st
     base = docs.select(row_key(key).alias("k"), F.col(text).alias("_text")).withColumn("ref", F.xxhash64("k", "_text"))
     chars = int(base.agg(F.sum(F.length("_text"))).first()[0] or 0)
     buckets, shards, parts = (max(8, chars // n) for n in (BUCKET_CHARS, SHARD_CHARS, CUT_CHARS))
-    counted = staged(base.mapInArrow(_counting(width, buckets, parts), TAGGED).groupBy("bucket").applyInArrow(_repeated_anchors, COUNTED), "anchors")
+    again = lambda group: _repeated_anchors(group, parts)
+    counted = staged(base.mapInArrow(_counting(width, buckets, parts), TAGGED).groupBy("bucket").applyInArrow(again, COUNTED), "anchors")
     release(spark)
-    flags = counted.filter("kind > 1").groupBy("ref").agg(F.flatten(F.collect_list("cells")).alias("cells"), F.flatten(F.collect_list("hot")).alias("hot"))
-    segments = base.join(flags, "ref").mapInArrow(_stretches(width, buckets, shards, parts), SEGMENTS)
+    by_part = base.withColumn("part", F.pmod("ref", F.lit(parts)))
+    flags = counted.filter("kind > 1").select("part", "refs", "cells", "hots")
+    segments = by_part.groupBy("part").cogroup(flags.groupBy("part")).applyInArrow(_stretches(width, buckets, shards, parts), SEGMENTS)
     found = staged(segments.groupBy("shard").applyInArrow(_matched(width, parts), SPANS), "removal-spans")
     del segments, flags
     release(spark)
     spans = counted.filter("kind = 0").select(*found.columns).unionByName(found)
-    by_part = base.withColumn("part", F.pmod("ref", F.lit(parts)))
     out = by_part.groupBy("part").cogroup(spans.groupBy("part")).applyInArrow(_cutting(texts), "k long, n_words long, n_removed long, kept_sha256 string, kept string")
     return out.select(F.when(F.col("k") != -(2**63), F.col("k")).alias(key), "n_words", "n_removed", "kept_sha256", "kept")
 
