@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import decode_entities, squeeze, strip_html
@@ -71,18 +71,16 @@ def trending_blocks(pages: DataFrame, value: str = "value") -> DataFrame:
     ).filter("full_name <> ''")
 
 
-def scan_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def scan_json(reader: DataFrameReader, path: str, schema: str) -> DataFrame:
     """Per-date JSON under date= folders; corrupt files give no rows, missing dates none either."""
-    from pyspark.sql import types as T
+    rows = reader.options(**PERMISSIVE, multiLine=True).schema(f"{schema}, _corrupt_record string").json(path)
+    return rows.filter("_corrupt_record IS NULL").drop("_corrupt_record")
 
-    full = T._parse_datatype_string(schema).add("_corrupt_record", "string")
-    return spark.read.options(**PERMISSIVE, multiLine=True).schema(full).json(path).filter("_corrupt_record IS NULL").drop("_corrupt_record")
 
-
-def scan_pool(spark: SparkSession, path: str) -> DataFrame:
+def scan_pool(reader: DataFrameReader, path: str) -> DataFrame:
     """Candidates of the daily pools, one row each; title falls back to topic."""
     item = "array<struct<title:string,topic:string,url:string,source:string,category:string,score:int,action:string,reason:string,summary:string,evidence:array<string>>>"
-    pools = scan_json(spark, path, f"generated_at string, candidates {item}")
+    pools = scan_json(reader, path, f"generated_at string, candidates {item}")
     return pools.select("date", F.posexplode("candidates").alias("item_ord", "c")).select("date", "item_ord", F.coalesce("c.title", "c.topic").alias("title"), *[f"c.{x}" for x in ("url", "source", "category", "score", "action", "reason", "summary", "evidence")])
 
 
