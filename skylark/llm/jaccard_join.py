@@ -339,7 +339,7 @@ def similar_sets(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100,
     counted = base.mapInArrow(_listed(width, num, den, buckets), KINDS).groupBy("bucket").applyInArrow(count, COUNTS)
     counted = staged(counted, "shingle-counts")
     sizes = counted.filter("kind = 0")
-    nodes = sizes.filter("n > 0").groupBy("dig", "d64", "n").agg(F.min("id").alias("_key"))
+    nodes = sizes.filter("n > 0").groupBy("dig", "d64", "n").agg(F.min("id").alias("_key"), F.min(_id("id")).alias("_least"))
     shared = lambda c: c.filter("kind = 2").select(F.col("n").alias("part"), "a", "b").groupBy("part").applyInArrow(_summed, "d64 long, hits long")
     need = F.ceil(F.col("n") * num / den).cast("long")
     some = nodes.join(shared(counted), "d64").filter(F.col("hits") >= 1 + F.floor(need / 20))
@@ -352,11 +352,11 @@ def similar_sets(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100,
     pivots = posts.groupBy("s").agg(F.max(F.struct("score", "dig"))["dig"].alias("pivot"), F.count("*").alias("holders")).filter("holders > 1")
     members = staged(posts.join(pivots, "s").select(F.hex("pivot").alias("region"), "dig").distinct(), "regions")
     links = staged(_join_regions(members, kept, num, den, bound), "near-links")
-    if links.isEmpty():
-        return sizes.select(_id("id").alias(key), F.col("n").alias("n_shingles"), _id("id").alias("component_id"))
-    roots = components(links, "u", "v")
-    rooted = nodes.select("dig", "_key").join(roots.withColumnRenamed("node", "dig"), "dig", "left").select("dig", F.coalesce("root", "dig").alias("root"), F.when(F.col("_key") != -(2**63), F.col("_key")).alias("_key"))
-    first = rooted.groupBy("root").agg(F.min("_key").alias("component_id"))
+    rooted = nodes.select("dig", F.col("dig").alias("root"), "_least")
+    if not links.isEmpty():
+        roots = components(links, "u", "v").select(F.col("node").alias("dig"), F.col("root").alias("_root"))
+        rooted = rooted.join(roots, "dig", "left").select("dig", F.coalesce("_root", "root").alias("root"), "_least")
+    first = rooted.groupBy("root").agg(F.min("_least").alias("component_id"))
     classes = rooted.select("dig", "root").join(first, "root").select("dig", "component_id")
     joined = sizes.join(classes, "dig", "left")
     return joined.select(_id("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(_id("id")).alias("component_id"))
