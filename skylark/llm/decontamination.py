@@ -132,14 +132,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item:
     The benchmark goes to the tasks in blocks of at most ``BLOCK_BYTES`` of text (one item at least).
     """
     kept = [c for c in (keep or docs.columns) if c not in ("n_words", "spans", "items")]
-    out = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text).alias("_text"), F.lit(0).cast("long").alias("n_words"), F.array().cast(SPANS).alias("spans"), F.array().cast("array<string>").alias("items"))
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), F.col(text).alias("_text"), F.lit(0).cast("long").alias("n_words"), F.array().cast(SPANS).alias("spans"), F.array().cast("array<string>").alias("items"))
     tests = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("null")).alias("item"), F.col(item_text).alias("t")).filter(F.col("t").isNotNull())
     blocks = max(1, -(-int(tests.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // BLOCK_BYTES))
     for b in range(blocks):
         part = tests if blocks == 1 else tests.filter(F.pmod(F.xxhash64("item", "t"), F.lit(blocks)) == b)
         phrases = Phrases([tuple(r) for r in part.distinct().collect()], width)
         out = out.mapInArrow(_searcher(phrases), T.StructType([f for f in out.schema]))
-    return out.drop("_text")
+    return out.select("_row.*", "n_words", "spans", "items")
 
 
 def hit_words() -> F.Column:
