@@ -38,8 +38,10 @@ RATE = 0.05
 #: The softmax sees means times this.
 GAIN = 30.0
 DECAY = 2e-5
+#: Spread of the first vectors, and weight of an array's mean step scale beside each number's own.
+START, EVEN = 0.01, 1.0
 #: Each step moves the vectors so much towards zero; those of n-grams that say little stay there.
-SHRINK = 0.01
+SHRINK = 0.003
 
 
 def passages(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -189,7 +191,7 @@ def fit_passages(rows: list[tuple[int, bytes]], seed: int = 3) -> Model:
     to_word = _Sums(grams, gram_word, (1 / np.diff(edges))[gram_word], len(used), len(first))
     to_passage = _Sums(word, of, share, len(first), len(begin))
     rng = np.random.default_rng(seed)
-    e = rng.normal(0, 0.1, (len(used), DIM)).astype(np.float32)
+    e = rng.normal(0, START, (len(used), DIM)).astype(np.float32)
     v = rng.normal(0, 0.3, (DIM, 2)).astype(np.float32)
     y = labels[text]
     b = np.log(np.bincount(y, minlength=2) / len(y)).astype(np.float32)
@@ -209,7 +211,8 @@ def fit_passages(rows: list[tuple[int, bytes]], seed: int = 3) -> Model:
         for x, d, (m, s) in zip((e, v, b), (g_e + DECAY * e / len(used) ** 0.5, mean.T @ g + DECAY * v, g.sum(0)), state):
             m += 0.1 * (d - m)
             s += 0.001 * (d * d - s)
-            x -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
+            root = np.sqrt(s / (1 - 0.999**step))
+            x -= RATE * (m / (1 - 0.9**step)) / (root + EVEN * np.sqrt(np.mean(root * root)) + 1e-8)  # rare n-grams take small steps
         norm = np.linalg.norm(e, axis=1, keepdims=True)
         e *= np.maximum(0, 1 - SHRINK / np.maximum(norm, 1e-12))
     weights = np.zeros(BUCKETS)
