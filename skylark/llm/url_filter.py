@@ -54,14 +54,14 @@ def with_domains(hosts: DataFrame, suffixes: tuple[str, ...] = TWO_LABEL_SUFFIXE
     return out.select(*hosts.columns, F.when(numeric, F.col("_name")).otherwise(tail(F.col("_width") + 1)).alias("domain"), F.when(numeric, F.lit("")).otherwise(tail(F.col("_width"))).alias("suffix"))
 
 
-def _prior_weight(groups: DataFrame, mean: str) -> DataFrame:
-    """One row: the prior weight (pages) at a level, from counts k of n and the parents' means."""
+def _prior_weight(groups: DataFrame, mean: str):
+    """The prior weight (pages) at a level, one number, from counts k of n and the parents' means."""
     m = F.least(F.greatest(F.col(mean), F.lit(1e-6)), F.lit(1 - 1e-6))
     share = F.col("k") / F.col("n")
     seen = groups.filter("n > 0").agg(F.sum(F.col("n") * (share - m) * (share - m) / (m * (1 - m))).alias("s"), F.count("*").alias("g"), F.sum("n").alias("n"))
     rho = F.when(F.col("n") > F.col("g"), (F.col("s") - F.col("g")) / (F.col("n") - F.col("g"))).otherwise(F.lit(DISPERSION[0]))
     rho = F.least(F.greatest(F.coalesce(rho, F.lit(DISPERSION[0])), F.lit(DISPERSION[0])), F.lit(DISPERSION[1]))
-    return seen.select(((1 - rho) / rho).alias("weight"))
+    return F.lit(seen.select((1 - rho) / rho).first()[0])
 
 
 def host_reputation(outcomes: DataFrame, hosts: DataFrame) -> DataFrame:
@@ -72,13 +72,13 @@ def host_reputation(outcomes: DataFrame, hosts: DataFrame) -> DataFrame:
     """
     counts = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.sum("bad").alias("k"))
     level = staged(with_domains(hosts.select("host").distinct().join(counts, "host", "left").fillna(0, ["n", "k"])), "host-counts")
-    total = level.agg(((F.sum("k") + 1) / (F.sum("n") + 2)).alias("m0"))
-    suffix = level.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).crossJoin(total)
-    suffix = suffix.crossJoin(_prior_weight(suffix, "m0")).select("suffix", ((F.col("weight") * F.col("m0") + F.col("k")) / (F.col("weight") + F.col("n"))).alias("m1"))
+    total = level.agg(((F.coalesce(F.sum("k"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2))).first()[0]
+    suffix = level.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).withColumn("m0", F.lit(total))
+    suffix = suffix.withColumn("weight", _prior_weight(suffix, "m0")).select("suffix", ((F.col("weight") * F.col("m0") + F.col("k")) / (F.col("weight") + F.col("n"))).alias("m1"))
     domain = level.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).join(suffix, "suffix")
-    domain = domain.crossJoin(_prior_weight(domain, "m1")).select("suffix", "domain", ((F.col("weight") * F.col("m1") + F.col("k")) / (F.col("weight") + F.col("n"))).alias("m2"))
+    domain = domain.withColumn("weight", _prior_weight(domain, "m1")).select("suffix", "domain", ((F.col("weight") * F.col("m1") + F.col("k")) / (F.col("weight") + F.col("n"))).alias("m2"))
     host = level.join(domain, ["suffix", "domain"])
-    host = host.crossJoin(_prior_weight(host, "m2"))
+    host = host.withColumn("weight", _prior_weight(host, "m2"))
     a, b = F.col("weight") * F.col("m2") + F.col("k"), F.col("weight") * (1 - F.col("m2")) + F.col("n") - F.col("k")
     mean = a / (a + b)
     return host.select("host", "n", "k", mean.alias("mean"), (mean - Z * F.sqrt(mean * (1 - mean) / (a + b + 1))).alias("bound"))
