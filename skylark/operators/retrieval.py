@@ -92,12 +92,12 @@ def bm25(docs: DataFrame, terms: Sequence[str], key: str, text: str, k1: float =
     """(key, score) of the rows that hold a term; term and document frequencies over all rows."""
     words = F.split(F.lower(text), r"[^\p{L}\p{N}]+")
     base = docs.select(key, F.size(words).alias("len"), *[F.size(F.filter(words, _equals(t.lower()))).alias(f"tf{i}") for i, t in enumerate(terms)])
-    stats = base.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
+    stats = base.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]).first()
     score = F.lit(0.0)
     for i in range(len(terms)):
-        idf = F.log(1 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
-        score = score + idf * F.col(f"tf{i}") * (k1 + 1) / (F.col(f"tf{i}") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    return base.crossJoin(F.broadcast(stats)).select(key, score.alias("score")).filter("score > 0")
+        idf = F.log(F.lit(1 + (stats["n"] - stats[f"df{i}"] + 0.5) / (stats[f"df{i}"] + 0.5)))
+        score = score + idf * F.col(f"tf{i}") * (k1 + 1) / (F.col(f"tf{i}") + k1 * (1 - b + b * F.col("len") / F.lit(stats["avg_len"])))
+    return base.select(key, score.alias("score")).filter("score > 0")
 
 
 def fulltext_topics(entity_scores: DataFrame, mentions: DataFrame, topics: DataFrame, k: int) -> DataFrame:

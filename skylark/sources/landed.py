@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import decode_entities, squeeze, strip_html
@@ -95,5 +95,4 @@ def scan_reports(spark: SparkSession, path: str) -> DataFrame:
 def source_counts(items: DataFrame, source: str = "source") -> DataFrame:
     """Rows of each source, whether it has any, and the total."""
     counts = items.groupBy(source).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    return counts.crossJoin(F.broadcast(total)).select(source, "n", (F.col("n") > 0).alias("has_any"), "total")
+    return counts.select(source, "n", (F.col("n") > 0).alias("has_any"), F.sum("n").over(Window.partitionBy()).alias("total"))
