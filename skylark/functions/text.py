@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -10,17 +11,25 @@ from pyspark.sql import functions as F
 ENTITIES = (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "))
 
 
-def has_any(text: Column, keywords: Sequence[str]) -> Column:
-    """Whether the lower-cased text contains any keyword, as a substring."""
+def has_any(text: Column, keywords: Sequence[str], lowered: bool = False) -> Column:
+    """Whether the lower-cased text contains any keyword, as a substring. ``lowered``: the text is lower-case already,
+    so each test is a plain search; else one pattern is used, for the text is then lower-cased once."""
+    if not lowered:
+        pattern = "|".join(re.escape(k.lower()) for k in keywords) or "(?!)"
+        return F.coalesce(F.rlike(F.lower(text), F.lit(pattern)), F.lit(False))
     out = F.lit(False)
     for k in keywords:
-        out = out | F.contains(F.lower(text), F.lit(k.lower()))
+        out = out | F.contains(text, F.lit(k.lower()))
     return F.coalesce(out, F.lit(False))
 
 
-def hit_count(text: Column, keywords: Column) -> Column:
-    """How many of an array of keywords the lower-cased text contains."""
-    return F.size(F.filter(keywords, lambda k: F.contains(F.lower(text), k)))
+def hit_count(text: Column, keywords: Sequence[str]) -> Column:
+    """How many of the keywords the lower-cased text contains. A sum of plain tests, not a lambda: a text that is itself
+    an expression is then evaluated once for a row."""
+    low, out = F.lower(text), F.lit(0)
+    for k in keywords:
+        out = out + F.when(F.contains(low, F.lit(k)), 1).otherwise(0)
+    return out
 
 
 def replace_all(text: Column, pairs: Sequence[tuple[str, str]]) -> Column:
@@ -119,7 +128,7 @@ def extract_keywords(text: Column) -> Column:
 
 def entity_type(name: Column, companies: Sequence[str], technologies: Sequence[str], projects: Sequence[str]) -> Column:
     low = F.lower(name)
-    return F.when(low.isin(*companies), "company").when(has_any(low, technologies), "technology").when(has_any(low, projects), "project").otherwise("topic_tag")
+    return F.when(low.isin(*companies), "company").when(has_any(low, technologies, True), "technology").when(has_any(low, projects, True), "project").otherwise("topic_tag")
 
 
 def fenced_json(text: Column) -> Column:

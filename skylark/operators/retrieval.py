@@ -84,14 +84,11 @@ def vector_topk_batch(rows: DataFrame, queries: Sequence[tuple[int, Sequence[flo
     return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def _equals(term: str):
-    return lambda w: w == F.lit(term)
-
-
 def bm25(docs: DataFrame, terms: Sequence[str], key: str, text: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(key, score) of the rows that hold a term; term and document frequencies over all rows."""
-    words = F.split(F.lower(text), r"[^\p{L}\p{N}]+")
-    base = docs.select(key, F.size(words).alias("len"), *[F.size(F.filter(words, _equals(t.lower()))).alias(f"tf{i}") for i, t in enumerate(terms)])
+    words = docs.select(key, F.split(F.lower(text), r"[^\p{L}\p{N}]+").alias("_w"))
+    base = words.select(key, F.size("_w").alias("len"), *[(F.size("_w") - F.size(F.array_remove("_w", t.lower()))).alias(f"tf{i}") for i, t in enumerate(terms)])
+    base = base.persist()  # a few numbers a row, read for the statistics and for the scores; texts are split once
     stats = base.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]).first()
     score = F.lit(0.0)
     for i in range(len(terms)):
@@ -122,8 +119,7 @@ def hybrid_search(vector_hits: DataFrame, text_hits: DataFrame, k: int) -> DataF
 
 def keyword_search(index: DataFrame, text: Column, keywords: Sequence[str], k: int, order: Sequence[Column | str]) -> DataFrame:
     """Rows by number of keywords they contain."""
-    hits = hit_count(text, F.array(*[F.lit(w) for w in keywords]))
-    return index.withColumn("hits", hits).filter("hits > 0").orderBy(F.desc("hits"), *order).limit(k)
+    return index.withColumn("_t", text).withColumn("hits", hit_count(F.col("_t"), keywords)).drop("_t").filter("hits > 0").orderBy(F.desc("hits"), *order).limit(k)
 
 
 def line_search(reports: DataFrame, phrase: str, dates: Sequence[str], lines: int = 3) -> DataFrame:
@@ -143,7 +139,7 @@ def chat_context(index: DataFrame, keywords: Sequence[str], entries: int = 10, d
     days = best.withColumn("n", F.row_number().over(w)).groupBy("date").agg(F.min("n").alias("d")).orderBy("d").limit(dates)
     pool = index.join(F.broadcast(days), "date")
     full = F.concat_ws(" ", "title", "category", "reason", "evidence")
-    hits = pool.withColumn("hits", hit_count(full, F.array(*[F.lit(k) for k in keywords]))).filter("hits > 0")
+    hits = pool.withColumn("_t", full).withColumn("hits", hit_count(F.col("_t"), keywords)).drop("_t").filter("hits > 0")
     own = Window.partitionBy("date").orderBy(F.desc("hits"), F.desc("score"), "item_ord")
     top = hits.withColumn("n", F.row_number().over(own)).filter(F.col("n") <= per_date)
     first = Window.partitionBy("title").orderBy("d", "n")
@@ -164,7 +160,7 @@ def citations(best: DataFrame, excerpts: DataFrame, keywords: Sequence[str], k:
 def chat_fallback(index: DataFrame, keywords: Sequence[str], recent: Sequence[str], per_date: int = 3) -> DataFrame:
     """Without an index: the best rows of each of the most recent dates."""
     full = F.concat_ws(" ", "title", "category", "reason", "evidence")
-    hits = index.filter(F.col("date").isin(list(recent))).withColumn("hits", hit_count(full, F.array(*[F.lit(k) for k in keywords]))).filter("hits > 0")
+    hits = index.filter(F.col("date").isin(list(recent))).withColumn("_t", full).withColumn("hits", hit_count(F.col("_t"), keywords)).drop("_t").filter("hits > 0")
     w = Window.partitionBy("date").orderBy(F.desc("hits"), F.desc("score"), "item_ord")
     return hits.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= per_date).select("date", "n", "title", "score")
 

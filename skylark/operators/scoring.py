@@ -18,10 +18,10 @@ def classify(rules: R.Rules, text: str = "_text") -> Column:
     """Ordered rules, the first match wins."""
     kind, text = F.col("source_type"), F.col(text)
     return (
-        F.when(has_any(text, rules.policy), R.POLICY)
-        .when(kind.isin("research", "model") | has_any(text, rules.model), R.MODEL)
-        .when(has_any(text, rules.enterprise), R.ENTERPRISE)
-        .when((kind == "official") | has_any(text, rules.flagship), R.FLAGSHIP)
+        F.when(has_any(text, rules.policy, True), R.POLICY)
+        .when(kind.isin("research", "model") | has_any(text, rules.model, True), R.MODEL)
+        .when(has_any(text, rules.enterprise, True), R.ENTERPRISE)
+        .when((kind == "official") | has_any(text, rules.flagship, True), R.FLAGSHIP)
         .otherwise(R.PRODUCT)
     )
 
@@ -43,7 +43,7 @@ def commercial(rules: R.Rules, text: str = "_text") -> Column:
     text = F.col(text)
     by_type = F.create_map(*[F.lit(x) for kv in {"official": 16, "product": 12, "community": 7}.items() for x in kv])[F.col("source_type")]
     category = F.when(F.col("category") == R.ENTERPRISE, 9).when(F.col("category") == R.PRODUCT, 7).when(F.col("category") == R.FLAGSHIP, 6).otherwise(0)
-    total = F.lit(8) + F.coalesce(by_type, F.lit(0)) + category + F.when(has_any(text, rules.bonus), 7).otherwise(0) + F.when(has_any(text, rules.companies), 5).otherwise(0)
+    total = F.lit(8) + F.coalesce(by_type, F.lit(0)) + category + F.when(has_any(text, rules.bonus, True), 7).otherwise(0) + F.when(has_any(text, rules.companies, True), 5).otherwise(0)
     return F.greatest(F.lit(0), F.least(F.lit(40), total)).cast("int")
 
 

@@ -313,7 +313,9 @@ def rrf_fusion(spark, sf):
     return retrieval.rrf(a.select(F.lit(0).alias("list_ord"), "rank0", "key").unionByName(b.select(F.lit(1).alias("list_ord"), "rank0", "key")), 20)
 
 
-@query("hybrid_search")
+@query("hybrid_search", f"""WITH {_BM25}, near AS (SELECT 'doc-' || e.vec_id AS key, row_number() OVER (ORDER BY {_COS}, e.vec_id) - 1 AS rank0 FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q QUALIFY rank0 < 20),
+txt AS (SELECT 'doc-' || doc_id AS key, row_number() OVER (ORDER BY score DESC, doc_id) - 1 AS rank0 FROM bm WHERE score > 0 QUALIFY rank0 < 20)
+SELECT key, round(sum(1.0::DOUBLE / (60 + rank0 + 1)), 6) AS score FROM (SELECT * FROM near UNION ALL SELECT * FROM txt) GROUP BY key ORDER BY score DESC, key LIMIT 10""")
 def hybrid_search(spark, sf):
     from pyspark.sql import Window
 
@@ -349,7 +351,7 @@ def _index(spark, sf):
 
     s = score_signals(V.signals(spark, sf), V.now(), RULES)
     day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("item_ord") % 30).cast("int")), "yyyy-MM-dd")
-    return s.select("title", "category", F.substring(F.get("evidence", F.lit(0)), 1, 80).alias("source"), "reason", F.array_join("evidence", " ").alias("evidence"), "score", day.alias("date"), "item_ord")
+    return s.select("title", "category", F.substring(F.get("evidence", F.lit(0)), 1, 80).alias("source"), "reason", F.array_join("evidence", " ").alias("evidence"), "score", day.alias("date"), "item_ord").persist()  # the search index is a table of its own, made once
 
 
 def _h(text):
@@ -446,7 +448,11 @@ def pack_blocks(spark, sf):
     return assembly.pack_blocks(table(spark, sf, "documents"), "doc_id").select("doc_id", "pos", F.length("block").alias("chars"), F.md5("block").alias("block_md5"))
 
 
-@query("pool_message")
+_ESC = lambda x: f"replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+
+
+@query("pool_message", f"""WITH {V.SIGNALS_SQL}, top AS (SELECT *, row_number() OVER (PARTITION BY action ORDER BY score DESC, src_ord, item_ord)::INT AS rank FROM (SELECT * FROM v_pool ORDER BY score DESC, src_ord, item_ord LIMIT 60))
+SELECT action, rank, rank || '. ' || {_ESC("title")} || chr(10) || score || ' / ' || action || chr(10) || {_ESC("recommended_topic")} || chr(10) || array_to_string(evidence[1:3], '；') AS line FROM top WHERE rank <= CASE action WHEN '深挖' THEN 6 WHEN '入池' THEN 10 ELSE 0 END""")
 def pool_message(spark, sf):
     from ..operators.scoring import topic_radar
 
