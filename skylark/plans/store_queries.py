@@ -485,7 +485,7 @@ def _is_folder(spark, path):
 
 def _run(spark, stream, keys):
     at = _scratch(spark)
-    streams.upsert_sink(stream, f"{at}/rows", f"{at}/checkpoint", keys).start().awaitTermination()
+    streams.upsert_sink(stream, f"{at}/rows", f"{at}/checkpoint").start().awaitTermination()
     return streams.latest(spark, f"{at}/rows", keys)
 
 

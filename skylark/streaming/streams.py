@@ -36,7 +36,7 @@ def unseen_stream(found: DataFrame, ts: str, late: str = "30 days") -> DataFrame
     return dedup_stream(found, ["site", "url"], ts, late)
 
 
-def upsert_sink(stream: DataFrame, path: str, checkpoint: str, keys: list[str]) -> DataStreamWriter:
+def upsert_sink(stream: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
     """Write each batch's latest values as a folder of its own; ``latest`` reads them back. A batch that runs again
     overwrites its own folder, so the sink is idempotent."""
 
