@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,13 +75,52 @@ def vector_topk(rows: DataFrame, query: Sequence[float], k: int, where: Column |
     return rows.withColumn("distance", cosine_distance(F.col("embedding"), q)).orderBy("distance", "vec_id").limit(k)
 
 
-def vector_topk_batch(rows: DataFrame, queries: Sequence[tuple[int, Sequence[float]]], k: int, most: int = 256) -> DataFrame:
-    """The k nearest rows of each query. Queries are a literal block of at most ``most``; the best k of a task are kept
-    before the shuffle (window group limit)."""
-    if len(queries) > most:
-        raise ValueError("split the queries into blocks")
-    block = F.array(*[F.struct(F.lit(i).alias("query_id"), F.array(*[F.lit(float(x)) for x in v]).alias("q")) for i, v in queries])
-    near = rows.select("vec_id", "embedding", F.explode(block).alias("b")).select("b.query_id", "vec_id", cosine_distance(F.col("embedding"), F.col("b.q")).alias("distance"))
+def _near(k: int):
+    """The k nearest rows of each query of a group: found by one matrix product, ranked by distances that are summed row
+    by row, so that equal vectors tie in every group."""
+
+    def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
+        out: list[tuple[int, int, float]] = []
+        if len(rows) and len(queries):
+            ids, x = _matrix(rows)
+            qids, q = _matrix(queries)
+            nx, nq = np.sqrt((x * x).sum(1)), np.sqrt((q * q).sum(1))
+            like = (q / nq[:, None]) @ (x / nx[:, None]).T
+            like[qids[:, None] == ids[None, :]] = -np.inf
+            least = np.partition(like, -k, axis=1)[:, -k] if k < len(ids) else np.full(len(qids), -np.inf)
+            for i, v in enumerate(q):
+                at = np.flatnonzero((like[i] >= least[i] - 1e-9) & (ids != qids[i]))
+                d = 1 - (x[at] * v).sum(1) / (nx[at] * nq[i])
+                best = np.lexsort((ids[at], d))[:k]
+                out += zip([int(qids[i])] * len(best), ids[at][best].tolist(), d[best].tolist())
+        columns = zip(("query_id", "vec_id", "distance"), (pa.int64(), pa.int64(), pa.float64()), zip(*out) if out else ((), (), ()))
+        return pa.table({name: pa.array(values, kind) for name, kind, values in columns})
+
+    return run
+
+
+def _matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return t.column("vec_id").to_numpy(), t.column("embedding").combine_chunks().flatten().to_numpy().reshape(len(t), -1)
+
+
+def vector_topk_batch(rows: DataFrame, queries: DataFrame, k: int, group_rows: int = 8192, group_queries: int = 256) -> DataFrame:
+    """The k nearest rows of each query but itself, by cosine distance; ties by id. Both frames: (vec_id, embedding), in
+    any number; ids are unique. Vectors without a distance (null, empty, zero, or a component null or not finite) take no
+    part, and each length is searched among its own. A group holds about ``group_rows`` rows and ``group_queries``
+    queries and returns the best k of each query, never its pairs."""
+    parts = lambda df, n: max(1, -(-df.count() // n))
+    wide, tall = parts(queries, group_queries), parts(rows, group_rows)
+
+    def dealt(df: DataFrame, own: str, n: int, other: str, m: int) -> DataFrame:
+        v = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+        bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+        v = v.filter(F.col("vec_id").isNotNull() & ~F.exists("embedding", bad) & F.exists("embedding", lambda x: x != 0))
+        part = F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias(own)
+        return v.select("vec_id", "embedding", F.size("embedding").alias("dim"), part, F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other))
+
+    group = ["dim", "r", "q"]
+    left, right = dealt(rows, "r", tall, "q", wide), dealt(queries, "q", wide, "r", tall).select("vec_id", "embedding", *group)
+    near = left.groupBy(group).cogroup(right.groupBy(group)).applyInArrow(_near(k), "query_id long, vec_id long, distance double")
     w = Window.partitionBy("query_id").orderBy("distance", "vec_id")
     return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 

@@ -271,7 +271,15 @@ def vector_topk(spark, sf):
 
 @query("vector_topk_batch", f"SELECT query_id, vec_id, rank FROM (SELECT q.vec_id AS query_id, e.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS}, e.vec_id)::INT AS rank FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id < 5) q WHERE e.vec_id >= 5) WHERE rank <= 10")
 def vector_topk_batch(spark, sf):
-    return retrieval.vector_topk_batch(table(spark, sf, "embeddings").filter("vec_id >= 5"), _queries(spark, sf), 10).select("query_id", "vec_id", "rank")
+    e = table(spark, sf, "embeddings")
+    return retrieval.vector_topk_batch(e.filter("vec_id >= 5"), e.filter("vec_id < 5"), 10).select("query_id", "vec_id", "rank")
+
+
+@query("vector_topk_batch_all")
+def vector_topk_batch_all(spark, sf):
+    """Every row whose id is divisible by 50 against all rows but itself; the SQL above asks 5 rows only."""
+    e = table(spark, sf, "embeddings")
+    return retrieval.vector_topk_batch(e, e.filter("vec_id % 50 = 0"), 10).select("query_id", "vec_id", "rank")
 
 
 _TERMS = ("the", "license", "erin")

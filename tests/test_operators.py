@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,3 +122,33 @@ def test_scans_skip_corrupt_files(spark, tmp_path):
     assert [(str(r.date), r.title, r.score) for r in pool] == [("2026-01-01", "T", 3)]
     reports = landed.scan_reports(spark, str(tmp_path)).collect()
     assert {(r.date, r.report_type) for r in reports} == {("2026-01-01", "ai-hn"), ("2026-01-02", "ai-hn")}
+
+
+def test_vector_topk_batch_asks_all_queries(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(900, 8))
+    x[300:340] = x[300]  # ties
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000, None), (1001, [0.0] * 8), (1002, [1.0, 2.0]), (1003, [2.0, 4.0]), (1004, [None] + [1.0] * 7)]
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in retrieval.vector_topk_batch(e, e.filter("vec_id % 2 = 0 OR vec_id = 1003"), 10, group_rows=250, group_queries=100).collect():
+        got.setdefault(r.query_id, {})[r.rank] = r.vec_id
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    d = np.round(1 - unit @ unit.T, 12)
+    np.fill_diagonal(d, np.inf)
+    want = {q: {i + 1: int(v) for i, v in enumerate(np.lexsort((np.arange(900), d[q]))[:10])} for q in range(0, 900, 2)}
+    assert got == want | {1002: {1: 1003}, 1003: {1: 1002}}
+
+
+def test_vector_topk_batch_all_is_exact(spark):
+    from skylark.plans import QUERIES
+
+    e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").orderBy("vec_id").collect()
+    ids, x = np.array([r.vec_id for r in e]), np.array([r.embedding for r in e], float)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = set()
+    for i in np.flatnonzero(ids % 50 == 0):
+        d = 1 - unit @ unit[i]
+        d[i] = np.inf
+        want |= {(int(ids[i]), int(ids[j]), n + 1) for n, j in enumerate(np.lexsort((ids, d))[:10])}
+    assert {tuple(r) for r in QUERIES["vector_topk_batch_all"](spark, "/root/testdata/sf0.01").collect()} == want
