@@ -366,12 +366,24 @@ def _id(col: str):
     return F.when(F.col(col) != -(2**63), F.col(col))
 
 
-def first_of_each(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """One row of each component stays, that of the least key; rows without a key or without words stay too."""
-    found = similar_sets(docs, key=key, **options)
-    gone = found.filter((F.col(key) != F.col("component_id"))).select(key).distinct()
-    kept = docs.join(gone, key, "left_anti")
-    return kept.select(docs.columns)
+def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """One row of each component stays, that of the least key (a null key comes last; of equal keys the least hash);
+    rows without words stay too.
+
+    Rows are told apart by a 64-bit hash of key and text, so rows that share a key but not their text are judged each by
+    itself, and of rows that repeat both one stays."""
+    row = F.xxhash64(F.col(key).cast("long"), text).alias("_row")
+    found = similar_sets(docs.select(row, F.col(text).alias("_text")), key="_row", text="_text", **options).filter("n_shingles > 0")
+    found = staged(found.groupBy("_row").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n")), "near-rows")
+    keys = docs.select(row, row_key(key).alias("id"), F.col(key).isNull().alias("last")).distinct()
+    first = found.join(keys, "_row").groupBy("component_id").agg(F.min(F.struct("last", "id", "_row"))["_row"].alias("_row"))
+    first = staged(first.join(found.select("_row", "n"), "_row").select("_row", "n"), "near-firsts")
+    gone, again = found.join(first, "_row", "left_anti").select("_row"), first.filter("n > 1").select("_row")
+    kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), row).join(gone, "_row", "left_anti")
+    if not again.isEmpty():
+        one = kept.join(again, "_row", "left_semi").groupBy("_row").agg(F.min_by("_doc", F.to_json("_doc")).alias("_doc"))
+        kept = kept.join(again, "_row", "left_anti").unionByName(one)
+    return kept.select("_doc.*")
 
 
 def op3_jaccard_join(spark, sf_dir: str) -> DataFrame:

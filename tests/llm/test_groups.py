@@ -85,6 +85,19 @@ def test_one_of_each_stays(docs):
     assert {r.doc_id for r in kept.collect()} == want and kept.columns == docs.columns
 
 
+def test_one_row_of_each_stays(spark, docs, empty):
+    found = brute_components(plain(docs), 5, 80, 100)
+    want = Counter(d for d, n, _ in found if n == 0) + Counter({d for d, n, c in found if n and d == c})
+    kept = jaccard_join.first_of_each(docs, width=5, num=80)
+    assert docs.count() > docs.dropDuplicates(["doc_id"]).count()  # repeated rows
+    assert Counter(r.doc_id for r in kept.collect()) == want and kept.columns == docs.columns
+    assert jaccard_join.first_of_each(empty).count() == 0
+    near, far, lone = "a b c d e f g", "p q r s t u v", "k l m n o"
+    odd = [(1, near), (2, near), (2, far), (None, near), (None, lone), (None, lone), (3, None), (3, "")]
+    got = jaccard_join.first_of_each(spark.createDataFrame(odd, "doc_id long, text string"), width=5, num=80).collect()
+    assert Counter(map(tuple, got)) == Counter([(1, near), (2, far), (None, lone), (3, None), (3, "")])
+
+
 def test_null_ids_and_empty_tables(spark, empty):
     rows = spark.createDataFrame([(None, "a b c d e f"), (5, "a b c d e f"), (None, "x"), (None, None)], "doc_id long, text string")
     got = sorted(((r.doc_id, r.component_id) for r in jaccard_join.similar_sets(rows, 4, 85).collect()), key=str)
