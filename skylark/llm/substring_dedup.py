@@ -1,14 +1,16 @@
-"""Removal of repeated passages with an FM-index for each shard.
+"""Removal of repeated passages with a compressed FM-index for each shard.
 
-A window is ``width`` consecutive words; every occurrence but the first (least id, then least start) is removed.
+A window is ``width`` consecutive words; every occurrence but the first (least id, then least start) is removed. Hashes
+only route: whether a window repeats is decided by an FM-index of the words that meet in one task (``repeated``). They
+are streamed through backward search over the wavelet ranks; where the matching statistic reaches ``width`` words in
+more than one suffix, the interval's suffixes are located and the earliest stays.
 
-1. Each window belongs to its least 6-word hash (its anchor), so equal windows have equal anchors. Inside a bounded
-   piece repeats are found at once and only first occurrences go on; their anchors are counted over the corpus.
+1. A bounded piece of documents is a shard of its own: its repeats are found there, and only first occurrences go on.
+   Each of their windows belongs to its least 6-word hash (its anchor), so equal windows have equal anchors. Anchors
+   are counted over the corpus.
 2. Stretches of windows whose anchor occurs again go to the anchor's shard, windows of very common anchors singly by
-   their own hash. The shard indexes its stretches (suffix order, BWT, wavelet matrix) and streams them through
-   backward search; matching statistics of ``width`` words or more name a block of suffixes, whose first position is
-   the occurrence that stays.
-3. Removal spans are merged for each document and cut from its whole text.
+   their own hash, once for each task. The shard indexes its stretches and streams them.
+3. Removal spans are cut from each document's whole text.
 """
 
 from __future__ import annotations
@@ -34,7 +36,8 @@ SHARD_CHARS = 8 << 20
 HOT_HERE, HOT = 8, 4096
 #: Windows of a stretch, at most.
 STRETCH = 64
-REMEMBERED = 500_000
+#: Suffix positions of a shard's index: one in so many is kept.
+SAMPLE = 16
 
 #: Characters of text for each group that spans are cut from.
 CUT_CHARS = 16 << 20
@@ -59,8 +62,52 @@ def _sliding_min(g: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(g[: len(g) - (n - width)], g[n - width :]) if n > width else g
 
 
+def repeated(words: np.ndarray, at: np.ndarray, seq: np.ndarray, key: np.ndarray, start: np.ndarray, width: int) -> np.ndarray:
+    """Which windows (words[at : at + width] of sequence seq, at key and start) also start at an earlier (key, start)
+    among those given. Windows come by sequence and position.
+
+    Windows whose hash occurs once are left out of the index; the index decides about all others."""
+    out = np.zeros(len(at), bool)
+    if not len(at):
+        return out
+    _, of, count = np.unique(grams(words, width)[at], return_inverse=True, return_counts=True)
+    w = np.flatnonzero(count[of] > 1)
+    if not len(w):
+        return out
+    head, count = stretches(at[w], seq[w])
+    size = count + width - 1
+    vocab, ids = np.unique(words[ragged(at[w[head]], size)], return_inverse=True)
+    index = FMIndex(ids, size, len(vocab), depth=width - 1, sample=SAMPLE)
+    found = index.matches(ids, size, width)
+    own = w[head[found.seq] + found.start]
+    several = found.hi - found.lo > 1
+    lo, first, of = np.unique(found.lo[several], return_index=True, return_inverse=True)
+    rows = found.hi[several][first] - lo
+    place = index.locate(ragged(lo, rows))
+    run = np.searchsorted(index.begins, place, "right") - 1
+    there = w[head[run] + place - index.begins[run]]  # the windows that share each interval
+    order = np.lexsort((start[there], key[there], np.repeat(np.arange(len(lo)), rows)))
+    least = there[order][np.cumsum(rows) - rows][of]
+    own, shift = own[several], found.shift[several]
+    out[own] = (key[own] != key[least]) | (start[own] != start[least] - shift)
+    return out
+
+
+def stretches(at: np.ndarray, *same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, count) of the runs of neighbouring windows that agree in ``same``, cut to ``STRETCH`` windows."""
+    if not len(at):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    new = at[1:] != at[:-1] + 1
+    for x in same:
+        new |= x[1:] != x[:-1]
+    begin = np.flatnonzero(np.r_[True, new])
+    split = -(-np.diff(np.r_[begin, len(at)]) // STRETCH)
+    begin = np.repeat(begin, split) + ragged(np.zeros(len(split), np.int64), split) * STRETCH
+    return begin, np.diff(np.r_[begin, len(at)])
+
+
 class Piece:
-    """Windows of a bounded run of documents, taken by ascending key, and which of them repeat an earlier one here."""
+    """Windows of a bounded run of documents, taken by ascending key."""
 
     def __init__(self, batch: pa.RecordBatch, width: int, buckets: int):
         names = batch.schema.names
@@ -72,26 +119,23 @@ class Piece:
         h, offsets = self.words.hashes, self.words.offsets
         self.at, self.doc = within(offsets, width)
         self.start = self.at - offsets[:-1][self.doc]
-        self.hash = grams(h, width)[self.at] if len(self.at) else np.empty(0, np.uint64)
         low = _sliding_min(grams(h, ANCHOR), width - ANCHOR + 1)[self.at] if len(self.at) else np.empty(0, np.uint64)
         self.cell = (((low >> np.uint64(32)) % np.uint64(buckets)) << np.uint64(32) | (low & np.uint64(0xFFFFFFFF))).astype(np.int64)
-        order = np.argsort(self.hash)
-        same = self.hash[order]
-        edges = np.flatnonzero(np.r_[True, same[1:] != same[:-1]]) if len(same) else np.empty(0, int)
-        first = np.empty(len(order), np.int64)
-        if len(order):
-            first[order] = np.repeat(np.minimum.reduceat(order, edges), np.diff(np.r_[edges, len(order)]))
-        self.repeat = (self.k[self.doc] != self.k[self.doc[first]]) | (self.start != self.start[first])
+
+    def repeated(self, w: np.ndarray) -> np.ndarray:
+        """Which of the windows ``w`` start earlier among them."""
+        return repeated(self.words.hashes, self.at[w], self.doc[w], self.k[self.doc[w]], self.start[w], self.width)
 
     def spans(self, windows: np.ndarray, parts: int) -> Iterator[tuple]:
         return span_rows(self.ref, self.doc[windows], self.start[windows], self.width, parts)
 
 
 def span_rows(refs: np.ndarray, doc: np.ndarray, start: np.ndarray, width: int, parts: int) -> Iterator[tuple]:
-    """(part, refs, begins, ends): merged word spans of windows that come sorted by document and start, packed by the
-    part of the documents that they are cut from."""
+    """(part, refs, begins, ends): word spans of runs of neighbouring windows that come sorted by document and start,
+    packed by the part of the documents that they are cut from. Spans of separate runs stay separate, though they may
+    overlap, so the windows can be told from them."""
     if len(doc):
-        new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + width)])
+        new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + 1)])
         ref, begin, end = refs[doc[new]], start[new], start[np.r_[new[1:], len(doc)] - 1] + width
         part = ref % parts
         for p, i in cut_by(np.argsort(part, kind="stable"), part):
@@ -116,8 +160,9 @@ def _counting(width: int, buckets: int, parts: int):
         none = (None,) * 6
         for batch in pieces(batches, "_text"):
             p = Piece(batch, width, buckets)
-            rows = [(0, *s, None, None, s[0] % buckets, None, None, None) for s in p.spans(np.flatnonzero(p.repeat), parts)]
-            live = ~p.repeat
+            repeat = p.repeated(np.arange(len(p.at)))
+            rows = [(0, *s, None, None, s[0] % buckets, None, None, None) for s in p.spans(np.flatnonzero(repeat), parts)]
+            live = ~repeat
             pairs = np.unique(np.c_[p.cell[live], p.doc[live]], axis=0) if live.any() else np.empty((0, 2), np.int64)
             cells, counts = np.unique(pairs[:, 0], return_counts=True)
             hot = cells[counts > HOT_HERE]
@@ -159,49 +204,48 @@ def _repeated_anchors(group: pa.Table, parts: int) -> pa.Table:
     return pa.concat_tables([rest.cast(flags.schema), flags])
 
 
-def _stretches(width: int, buckets: int, shards: int, parts: int):
+def _sorted_by_ref(table: pa.Table, *columns: tuple[str, type]) -> tuple[np.ndarray, ...]:
+    """The packed columns end to end, by ref."""
+    ref, *rest = (np.frombuffer(b"".join(x for x in table.column(c).to_pylist() if x), t) for c, t in (("refs", np.int64), *columns))
+    order = np.argsort(ref, kind="stable")
+    return ref[order], *[x[order] for x in rest]
+
+
+def _sent(width: int, buckets: int, shards: int, parts: int):
     """Segments of the documents of one part for the shards of their repeated anchors."""
 
-    def run(docs: pa.Table, flags: pa.Table) -> pa.Table:
-        seen: dict[int, tuple[int, int]] = {}
-        ref, cell, very = (np.frombuffer(b"".join(flags.column(c).to_pylist()), t) for c, t in (("refs", np.int64), ("cells", np.int64), ("hots", bool)))
-        order = np.argsort(ref, kind="stable")
-        ref, cell, very = ref[order], cell[order], very[order]
+    def run(docs: pa.Table, counted: pa.Table) -> pa.Table:
+        kind = counted.column("kind").to_numpy()
+        ref, cell, very = _sorted_by_ref(counted.filter(pa.array(kind > 1)), ("cells", np.int64), ("hots", bool))
+        known, begin, end = _sorted_by_ref(counted.filter(pa.array(kind == 0)), ("begins", np.int32), ("ends", np.int32))
         out: list[pa.RecordBatch] = []
         for batch in pieces(docs.to_batches(), "_text"):
             p, rows = Piece(batch, width, buckets), []
             edge = np.searchsorted(p.doc, np.arange(len(batch) + 1))
             first, last = np.searchsorted(ref, p.ref, "left"), np.searchsorted(ref, p.ref, "right")
+            a, b = np.searchsorted(known, p.ref, "left"), np.searchsorted(known, p.ref, "right")
             again, hot = np.zeros(len(p.at), bool), np.zeros(len(p.at), bool)
             for d in np.flatnonzero(first < last):
                 part, own, common = slice(edge[d], edge[d + 1]), cell[first[d] : last[d]], very[first[d] : last[d]]
                 again[part] = np.isin(p.cell[part], own[~common])
                 hot[part] = np.isin(p.cell[part], own[common])
-            again, hot, gone = again & ~hot & ~p.repeat, hot & ~p.repeat, p.repeat.copy()
-            for i in np.flatnonzero(hot):  # of a very common anchor: what this task has seen earlier need not travel
-                key, here = int(p.hash[i]), (int(p.k[p.doc[i]]), int(p.start[i]))
-                before = seen.get(key)
-                if before is not None and before < here:
-                    gone[i], hot[i] = True, False
-                else:
-                    if len(seen) >= REMEMBERED:
-                        seen.clear()
-                    seen[key] = here
-            w = np.flatnonzero(again)
-            new = np.r_[True, (p.at[w[1:]] != p.at[w[:-1]] + 1) | (p.doc[w[1:]] != p.doc[w[:-1]]) | (p.cell[w[1:]] != p.cell[w[:-1]])] if len(w) else np.empty(0, bool)
-            begin = np.flatnonzero(new)
-            length = np.diff(np.r_[begin, len(w)])
-            split = -(-length // STRETCH)
-            begin = np.repeat(begin, split) + ragged(np.zeros(len(split), np.int64), split) * STRETCH
-            length = np.diff(np.r_[begin, len(w)])
+                for i in range(a[d], b[d]):  # windows removed already
+                    gone = slice(edge[d] + begin[i], edge[d] + end[i] - width + 1)
+                    again[gone] = hot[gone] = False
+            again &= ~hot
             single = np.flatnonzero(hot)
-            first, count = np.r_[w[begin], single], np.r_[length, np.ones(len(single), np.int64)]
-            shard = np.r_[p.cell[w[begin]] % shards, (p.hash[single] % np.uint64(shards)).astype(np.int64)]
+            twice = p.repeated(single)  # of a very common anchor: the first here goes for all
+            gone, single = single[twice], single[~twice]
+            w = np.flatnonzero(again)
+            head, length = stretches(p.at[w], p.doc[w], p.cell[w])
+            first, count = np.r_[w[head], single], np.r_[length, np.ones(len(single), np.int64)]
+            own = grams(p.words.hashes, width)[p.at[single]] if len(single) else np.empty(0, np.uint64)
+            shard = np.r_[p.cell[w[head]] % shards, (own % np.uint64(shards)).astype(np.int64)]
             for s, i in cut_by(np.argsort(shard, kind="stable"), shard):
                 f, n = first[i], count[i]
                 words = packed(p.words.hashes[ragged(p.at[f], n + width - 1)])
                 rows.append((s, p.ref[p.doc[f]].tobytes(), p.k[p.doc[f]].tobytes(), p.start[f].tobytes(), n.tobytes(), words, None, None, None, None))
-            rows += [(x[0] % shards, None, None, None, None, None, *x) for x in p.spans(np.flatnonzero(gone), parts)]
+            rows += [(x[0] % shards, None, None, None, None, None, *x) for x in p.spans(gone, parts)]
             out.append(_batch(SEGMENTS, rows))
         return pa.Table.from_batches(out or [_batch(SEGMENTS, [])])
 
@@ -221,13 +265,13 @@ def _matched(width: int, parts: int):
             order = np.lexsort((start, ref, k))  # segment by segment the text is in order of (key, start)
             words = words[ragged((np.cumsum(size) - size)[order], size[order])]
             ref, k, start, count, size = ref[order], k[order], start[order], count[order], size[order]
-            block, seg, at = window_blocks(words, size, width)
-            by = np.lexsort((start[seg] + at, k[seg], block))
-            b, ks, ss = block[by], k[seg][by], (start[seg] + at)[by]
-            lead = np.maximum.accumulate(np.where(np.r_[True, b[1:] != b[:-1]], np.arange(len(b)), 0))
-            gone = np.sort(by[(ks != ks[lead]) | (ss != ss[lead])])
+            seg = np.repeat(np.arange(len(size)), count)
+            base = np.cumsum(size) - size
+            at = ragged(base, count)
+            begin = start[seg] + at - base[seg]
+            gone = np.flatnonzero(repeated(words, at, seg, k[seg], begin, width))
             doc = np.cumsum(np.r_[False, (k[1:] != k[:-1]) | (ref[1:] != ref[:-1])])
-            d, s = doc[seg[gone]], start[seg[gone]] + at[gone]
+            d, s = doc[seg[gone]], begin[gone]
             o = np.lexsort((s, d))
             head = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
             rows = list(span_rows(ref[head], d[o], s[o], width, parts))
@@ -237,32 +281,11 @@ def _matched(width: int, parts: int):
     return run
 
 
-def window_blocks(words: np.ndarray, size: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Matching statistics: (block, sequence, start) of every window, blocks being equal for equal windows.
-
-    Every sequence is streamed from its end; once ``width`` words match, the suffix row lies in the block of all
-    suffixes that begin with the window.
-    """
-    vocab, ids = np.unique(words, return_inverse=True)
-    index = FMIndex(ids, size, len(vocab), depth=width, sample=64)
-    ends, out = np.cumsum(size), []
-    row, live = np.zeros(len(size), np.int64), np.argsort(-size, kind="stable")
-    for step in range(int(size.max(initial=0))):
-        live = live[: np.searchsorted(-size[live], -step)]  # those with more than ``step`` words
-        c = ids[ends[live] - 1 - step] + 1
-        row[live] = index.before[c] + index.wavelet.rank(c, row[live])  # the stream is indexed, so it always matches
-        if step + 1 >= width:
-            out.append(np.stack([index.block[row[live]], live, size[live] - 1 - step]))
-    return tuple(np.concatenate(out, axis=1))
-
-
 def _cutting(texts: bool):
     """Documents of one part and all their spans: sizes, hashes and (if asked for) texts of the words that stay."""
 
     def run(docs: pa.Table, spans: pa.Table) -> pa.Table:
-        ref, begin, end = (np.frombuffer(b"".join(spans.column(c).to_pylist()), t) for c, t in (("refs", np.int64), ("begins", np.int32), ("ends", np.int32)))
-        order = np.argsort(ref, kind="stable")
-        ref, begin, end = ref[order], begin[order], end[order]
+        ref, begin, end = _sorted_by_ref(spans, ("begins", np.int32), ("ends", np.int32))
         own = docs.column("ref").to_numpy()
         first, last = np.searchsorted(ref, own, "left"), np.searchsorted(ref, own, "right")
         total, removed, shas, kept = [], [], [], []
@@ -301,10 +324,9 @@ def remove_repeats(docs: DataFrame, width: int = 20, text: str = "text", key: st
     counted = staged(base.mapInArrow(_counting(width, buckets, parts), TAGGED).groupBy("bucket").applyInArrow(again, COUNTED), "anchors")
     release(spark)
     by_part = base.withColumn("part", F.pmod("ref", F.lit(parts)))
-    flags = counted.filter("kind > 1").select("part", "refs", "cells", "hots")
-    segments = by_part.groupBy("part").cogroup(flags.groupBy("part")).applyInArrow(_stretches(width, buckets, shards, parts), SEGMENTS)
+    segments = by_part.groupBy("part").cogroup(counted.groupBy("part")).applyInArrow(_sent(width, buckets, shards, parts), SEGMENTS)
     found = staged(segments.groupBy("shard").applyInArrow(_matched(width, parts), SPANS), "removal-spans")
-    del segments, flags
+    del segments
     release(spark)
     spans = counted.filter("kind = 0").select(*found.columns).unionByName(found)
     out = by_part.groupBy("part").cogroup(spans.groupBy("part")).applyInArrow(_cutting(texts), "k long, n_words long, n_removed long, kept_sha256 string, kept string")

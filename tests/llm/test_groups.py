@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skylark.llm import components, decontamination, jaccard_join, substring_dedup
-from skylark.llm.fm_index import FMIndex
+from skylark.llm.fm_index import FMIndex, Matches
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -174,6 +174,32 @@ def test_decontamination_of_nothing(docs, empty, spark):
     assert decontamination.find_leaks(empty, none).count() == 0
 
 
+def test_matching_statistics_are_those_of_brute_force():
+    rng = np.random.default_rng(5)
+    for trial in range(40):
+        width, lengths = int(rng.integers(2, 6)), rng.integers(1, 25, rng.integers(1, 15))
+        ids = rng.integers(0, 3, lengths.sum())
+        index, ends = FMIndex(ids, lengths, 3, depth=width - 1, sample=5), np.cumsum(lengths)
+        windows = {(s, p): tuple(ids[ends[s] - n + p :][:width]) for s, n in enumerate(lengths) for p in range(n - width + 1)}
+        got = index.matches(ids, lengths, width)
+        assert sorted(zip(got.seq.tolist(), got.start.tolist())) == sorted(windows)
+        for s, p, lo, hi, shift in zip(*got):
+            own = sorted((index.locate(np.arange(lo, hi)) - shift).tolist())
+            assert own == sorted(int(index.begins[t]) + q for (t, q), w in windows.items() if w == windows[s, p])
+
+
+def test_repeats_come_from_the_index(docs, monkeypatch):
+    """Without the index's matches nothing is removed."""
+    whole = substring_dedup.remove_repeats(docs, texts=False).agg(F.sum("n_removed")).first()[0]
+    none = Matches(*[np.empty(0, np.int64)] * 5)
+    monkeypatch.setattr(FMIndex, "matches", lambda *a: none)
+    words = np.arange(30, dtype=np.uint64)
+    at = np.r_[0, 0]
+    assert whole > 0 and not substring_dedup.repeated(words, at, at, np.r_[1, 2], at, 20).any()
+    monkeypatch.undo()
+    assert substring_dedup.repeated(words, at, np.r_[0, 1], np.r_[1, 2], at, 20).tolist() == [False, True]
+
+
 def test_fm_index_round_trip():
     rng = np.random.default_rng(0)
     for trial in range(20):
