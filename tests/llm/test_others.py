@@ -123,6 +123,40 @@ def test_nearest_of_few(spark):
     assert ann.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_nearest_by_length_and_of_repeated_ids(spark):
+    rows = [(0, [1.0, 0.0]), (100, [1.0, 0.0, 0.0]), (1, [0.0, 1.0, 0.0]), (2, [0.9, 0.1]), (3, [-1.0, 0.0]), (3, [0.5, 0.5]), (4, [0.9, 0.1]), (None, [1.0, 0.0]), (5, []), (6, [float("inf"), 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in ann.nearest(df, df.filter("vec_id % 100 = 0")).collect()}
+    assert {k: v for k, (v, _) in got.items()} == {(0, 1): 2, (0, 2): 4, (0, 3): 3, (100, 1): 1}
+    assert got[0, 3][1] == pytest.approx(0.5**0.5)
+
+
+def test_candidates_are_few_and_right():
+    import pyarrow.parquet as pq
+
+    t = pq.read_table("/root/testdata/sf0.1/embeddings.parquet")
+    ids, x = t["vec_id"].to_numpy(), np.array(t["embedding"].to_pylist(), float)
+    q = np.flatnonzero(ids % 100 == 0)
+    key, probe = ann.keys(x, ann.TABLES, 2, 11), ann.probe_keys(x[q], ann.TABLES, 2, ann.PROBES, 11)
+    recall, share = [], []
+    for i, row in enumerate(q):
+        met = sum(np.isin(key[:, t], probe[i, t]).astype(int) for t in range(ann.TABLES)) >= 3
+        d = ((x - x[row]) ** 2).sum(1)
+        d[row] = np.inf
+        recall.append(met[np.argsort(d)[:10]].mean())
+        share.append(met.mean())
+    assert np.mean(recall) >= 0.9 and np.mean(share) < 0.1
+
+
+def test_nearest_of_copies(spark):
+    """Equal vectors are one node; ties go to the smaller id, and a query leaves out only itself."""
+    df = spark.range(400).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), (F.col("id") % 2).cast("double")).alias("embedding"), F.lit(0).alias("v"), F.lit(1).alias("nid"))
+    got = defaultdict(list)
+    for r in ann.nearest(df, df.filter("vec_id % 100 = 0")).orderBy("rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    assert got == {q: [(2 * i, 0.0) for i in range(12) if 2 * i != q][:10] for q in (0, 100, 200, 300)}
+
+
 def test_secrets(spark, docs, empty):
     rng = np.random.default_rng(2)
     hexes = ["".join(rng.choice(list("0123456789abcdef"), 40)) for _ in range(400)]
