@@ -170,6 +170,90 @@ def test_secrets(spark, docs, empty):
     assert out.count() == docs.count() and set(out.columns) == {*docs.columns, "secrets"} and secrets_scan.find_secrets(empty).count() == 0
 
 
+BASE_SQL = r"""
+WITH RECURSIVE spots AS (
+  SELECT doc_id, 'assign' AS kind, 0 AS o, unnest(regexp_extract_all(coalesce(text, ''), '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)')) AS m,
+    unnest(regexp_extract_all(coalesce(text, ''), '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2)) AS v, coalesce(text, '') AS text FROM documents
+  UNION ALL SELECT doc_id, 'access', 1, unnest(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+')) AS m, m, text FROM documents
+  UNION ALL SELECT doc_id, 'hex', 2, unnest(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+')) AS m, m, text FROM documents
+)
+SELECT doc_id, count(*) FILTER (kind = 'assign' AND len(v) >= 6) AS n_assign, count(*) FILTER (kind = 'access' AND len(v) >= 20) AS n_access, count(*) FILTER (kind = 'hex' AND len(v) >= 24) AS n_hex
+FROM spots GROUP BY doc_id
+"""
+
+
+def brute_secrets(text):
+    """The base spans as the patterns say, failing matches dropped, joined as the query joins them."""
+    found = []
+    for order, (kind, pattern, least, group) in enumerate([
+        ("assign", r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6, 1),
+        ("access", "AKIA[A-Z0-9]+", 20, 0), ("hex", "[0-9a-f]+", 24, 0)]):
+        found += [(m.start(), order, f"{kind}:{m.start()}:{m.end()}") for m in re.finditer(pattern, text or "") if len(m[group]) >= least]
+    return [s for _, _, s in sorted(found)]
+
+
+def test_base_secrets(spark):
+    """Counts against SQL, spans and their hash against the patterns themselves, over whole tables."""
+    import hashlib
+
+    duckdb, sf = pytest.importorskip("duckdb"), "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{sf}/documents.parquet'")
+    want = {r[0]: r[1:] for r in con.sql(BASE_SQL).fetchall()}
+    texts = dict(con.sql("select doc_id, text from documents").fetchall())
+    got = secrets_scan.op8_secret_grammars(spark, sf).collect()
+    assert len(got) == len(texts) and sum(r.n_hex for r in got) > 0
+    for r in got:
+        assert (r.n_assign, r.n_access, r.n_hex) == want.get(r.doc_id, (0, 0, 0))
+        base = brute_secrets(texts[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest()
+        assert [s for s in r.spans.split(",") if s and not s.startswith("grammar:")] == base
+
+
+def test_planted_credentials_are_found(spark):
+    """Formats learnt from assigned values are found where no pattern looks: bare, short, inside a longer token."""
+    rng = np.random.default_rng(8)
+    draw = lambda alphabet, n: "".join(rng.choice(list(alphabet), n))
+    lower, hexa, mixed = "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    syllables = ["th", "an", "er", "in", "re", "on", "ti", "es", "or", "la"]
+    prose = lambda: " ".join("".join(rng.choice(syllables, rng.integers(2, 6))) for _ in range(40))
+    number = lambda: f"{rng.integers(100, 999)}-{rng.integers(1000, 9999)}"
+    rows = [(i, f"{prose()} {number()} token={draw(hexa, 16)} é {prose()} api_key: sk_{draw(mixed, 12)} ver{i}.{rng.integers(10, 99)}") for i in range(400)]
+    planted = {1000: draw(hexa, 16), 1001: "sk_" + draw(mixed, 12), 1002: draw(hexa, 22)}
+    rows += [(d, f"üü {prose()} ({c}) {prose()}") for d, c in planted.items()] + [(2000 + i, f"{prose()} {number()} ver{i}.17") for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    texts, found = dict(rows), {r.doc_id: [(s.start, s.end) for s in r.secrets if s.kind == "grammar"] for r in secrets_scan.find_secrets(df).collect()}
+    for d, c in planted.items():
+        assert [texts[d][a:b] for a, b in found[d]] == [c]
+    assert not any(found[d] for d in found if d not in planted)
+
+
+def test_many_secrets_in_one_text_take_linear_time():
+    import time
+
+    import pyarrow as pa
+
+    def seconds(n):
+        text = " ".join(f"token={i:040x}" for i in range(n))
+        began = time.perf_counter()
+        spans = secrets_scan.Scanner({}).spans(pa.array([text, None, ""]))
+        assert len(spans[0]) == 2 * n and spans[1:] == [[], []]
+        return time.perf_counter() - began
+
+    seconds(100)
+    assert seconds(32_000) < 24 * max(seconds(4_000), 0.02)
+
+
+def test_long_tokens_are_scored_whole():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(9)
+    a = secrets_scan.infer(["".join(rng.choice(list("0123456789abcdef"), 40)) for _ in range(200)])
+    word = "".join(rng.choice(list("0123456789abcdef"), 300))
+    assert a.per_character(word + "zz" * 200) < a.per_character(word + "00" * 200) - 1
+    assert secrets_scan.Scanner({}).spans(pa.array(["x" * 2_000_000])) == [[]]
+
+
 def test_merged_states_accept_the_format():
     rng = np.random.default_rng(3)
     words = ["AKIA" + "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 16)) for _ in range(500)]
