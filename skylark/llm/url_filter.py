@@ -2,7 +2,8 @@
 
 The share of bad pages of a host is shrunk through beta-binomial priors: suffix towards all pages, registered domain
 towards its suffix, host towards its domain. How strongly is fitted at each level from the over-dispersion of the
-counts (method of moments). A page is blocked when the lower posterior bound of its host's bad share exceeds a limit.
+counts (method of moments). A page is blocked when even the lower posterior bound of its host's bad share exceeds the
+share of all labelled pages (or a limit that the caller gives): its host is credibly worse than the common page.
 Hand-written rules come before the reputation.
 """
 
@@ -17,7 +18,6 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
 #: Suffixes of two labels under which names are registered; fixed values, an example set that callers may replace.
 TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "net.au", "co.jp", "co.nz", "com.br", "co.in", "com.cn")
-LIMIT = 0.30
 #: Normal quantile of the one-sided 95 % bound.
 Z = 1.6448536269514722
 #: Bounds of the over-dispersion, so that priors weigh between about 0.01 and 1000 pages.
@@ -42,16 +42,18 @@ def matching_rule(host: Column, path: Column, rules: dict[str, str] = RULES) ->
 
 
 def with_domains(hosts: DataFrame, suffixes: tuple[str, ...] = TWO_LABEL_SUFFIXES) -> DataFrame:
-    """Adds domain and suffix to a table with a host column; numeric addresses are domains of their own."""
+    """Adds domain and suffix to a table with a host column; numeric addresses and names of one label are domains of
+    their own without a suffix; no host at all has a suffix of its own, so that it has the prior of all pages."""
     name = F.regexp_replace(F.regexp_replace("host", r"^.*@", ""), r":\d*$", "")
     labels = F.filter(F.split(F.col("_name"), r"\."), lambda x: x != "")
     width = F.when(F.array_join(F.slice("_labels", -2, 2), ".").isin(*suffixes) & (F.size("_labels") > 2), 2).otherwise(1)
     tail = lambda n: F.array_join(F.slice("_labels", -F.least(n, F.size("_labels")), F.least(n, F.size("_labels"))), ".")
     numeric = F.col("_name").rlike(r"^[0-9.]+$|^\[")
     out = hosts.withColumn("_name", name).withColumn("_labels", labels)
-    out = out.withColumn("_labels", F.when(F.size("_labels") < 2, F.array(F.lit(""), F.lit(""))).otherwise(F.col("_labels")))
+    out = out.withColumn("_alone", numeric | (F.size("_labels") < 2)).withColumn("_labels", F.when(F.size("_labels") < 2, F.array(F.lit(""), F.lit(""))).otherwise(F.col("_labels")))
     out = out.withColumn("_width", width)
-    return out.select(*hosts.columns, F.when(numeric, F.col("_name")).otherwise(tail(F.col("_width") + 1)).alias("domain"), F.when(numeric, F.lit("")).otherwise(tail(F.col("_width"))).alias("suffix"))
+    suffix = F.when(F.col("_name") == "", F.lit("?")).when(F.col("_alone"), F.lit("")).otherwise(tail(F.col("_width")))
+    return out.select(*hosts.columns, F.when(F.col("_alone"), F.col("_name")).otherwise(tail(F.col("_width") + 1)).alias("domain"), suffix.alias("suffix"))
 
 
 def _prior_weight(groups: DataFrame, mean: str):
@@ -64,14 +66,15 @@ def _prior_weight(groups: DataFrame, mean: str):
     return F.lit(seen.select((1 - rho) / rho).first()[0])
 
 
-def host_reputation(outcomes: DataFrame, hosts: DataFrame) -> DataFrame:
-    """(host, n, k, mean, bound) of every host of ``hosts``, from ``outcomes`` (host, bad 0/1, one row a page).
+def host_reputation(outcomes: DataFrame, hosts: DataFrame, suffixes: tuple[str, ...] = TWO_LABEL_SUFFIXES) -> DataFrame:
+    """(host, n, k, mean, bound, common) of every host of ``hosts``, from ``outcomes`` (host, bad 0/1, one row a page);
+    common is the bad share of all pages.
 
     Hosts without outcomes have their domain's prior; without any outcome at all the mean is one half. Sums are made
     before anything is joined, so a host with most pages is one row.
     """
     counts = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.sum("bad").alias("k"))
-    level = staged(with_domains(hosts.select("host").distinct().join(counts, "host", "left").fillna(0, ["n", "k"])), "host-counts")
+    level = staged(with_domains(hosts.select("host").distinct().join(counts, "host", "left").fillna(0, ["n", "k"]), suffixes), "host-counts")
     total = level.agg(((F.coalesce(F.sum("k"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2))).first()[0]
     suffix = level.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).withColumn("m0", F.lit(total))
     suffix = suffix.withColumn("weight", _prior_weight(suffix, "m0")).select("suffix", ((F.col("weight") * F.col("m0") + F.col("k")) / (F.col("weight") + F.col("n"))).alias("m1"))
@@ -81,7 +84,7 @@ def host_reputation(outcomes: DataFrame, hosts: DataFrame) -> DataFrame:
     host = host.withColumn("weight", _prior_weight(host, "m2"))
     a, b = F.col("weight") * F.col("m2") + F.col("k"), F.col("weight") * (1 - F.col("m2")) + F.col("n") - F.col("k")
     mean = a / (a + b)
-    return host.select("host", "n", "k", mean.alias("mean"), (mean - Z * F.sqrt(mean * (1 - mean) / (a + b + 1))).alias("bound"))
+    return host.select("host", "n", "k", mean.alias("mean"), (mean - Z * F.sqrt(mean * (1 - mean) / (a + b + 1))).alias("bound"), F.lit(total).alias("common"))
 
 
 def page_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
@@ -93,20 +96,27 @@ def page_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
     return pages.select("host", number.alias("doc_id")).join(worst, "doc_id").select("host", "bad")
 
 
-def judge_urls(pages: DataFrame, labels: DataFrame, key: str = "page_id", url: str = "url", rules: dict[str, str] = RULES, limit: float = LIMIT) -> DataFrame:
-    """(key, host, path, rule, verdict, bound) of every row of ``pages``.
+def judge_urls(pages: DataFrame, labels: DataFrame, key: str = "page_id", url: str = "url", rules: dict[str, str] = RULES, limit: float | None = None, suffixes: tuple[str, ...] = TWO_LABEL_SUFFIXES) -> DataFrame:
+    """(key, host, path, rule, verdict, bound) of every row of ``pages``; without a ``limit`` the bound is held against
+    the bad share of all labelled pages.
 
-    A null url, or one without ://, has an empty host and path, fits no rule and is judged by the prior of all pages.
-    Repeated rows are judged alike and count as often as they occur; extra columns are not read.
+    A null url, or one without ://, has an empty host and path, fits no rule and is judged by the prior of all pages,
+    whose bound lies below their share: it is allowed. Repeated rows are judged alike and count as often as they occur;
+    extra columns are not read.
     """
     host, path = url_parts(F.col(url))
     parsed = pages.select(F.col(key), host.alias("host"), path.alias("path"))
-    reputation = host_reputation(page_outcomes(parsed, labels), parsed)
-    judged = parsed.join(reputation.select("host", "bound"), "host", "left").withColumn("_rule", matching_rule(F.col("host"), F.col("path"), rules))
-    verdict = F.coalesce(F.col("_rule.verdict"), F.when(F.col("bound") > limit, "block").otherwise("allow"))
+    reputation = host_reputation(page_outcomes(parsed, labels), parsed, suffixes)
+    judged = parsed.join(reputation.select("host", "bound", "common"), "host", "left").withColumn("_rule", matching_rule(F.col("host"), F.col("path"), rules))
+    verdict = F.coalesce(F.col("_rule.verdict"), F.when(F.col("bound") > (F.col("common") if limit is None else F.lit(float(limit))), "block").otherwise("allow"))
     return judged.select(key, "host", "path", F.col("_rule.rule").alias("rule"), verdict.alias("verdict"), "bound")
 
 
+def decisions(judged: DataFrame) -> DataFrame:
+    """(by, verdict, pages): how many pages rules and reputation decided, and how."""
+    return judged.groupBy(F.when(F.col("rule").isNull(), "reputation").otherwise("rule").alias("by"), "verdict").agg(F.count("*").alias("pages"))
+
+
 def op1_host_reputation(spark, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return judge_urls(pages, table(spark, sf_dir, "labels")).drop("bound")
@@ -127,12 +137,12 @@ named AS (
   SELECT h.host, coalesce(n, 0)::DOUBLE AS n, coalesce(k, 0)::DOUBLE AS k, regexp_replace(regexp_replace(h.host, '^.*@', ''), ':\d*$', '') AS name
   FROM (SELECT DISTINCT host FROM p) h LEFT JOIN counts c ON h.host = c.host
 ), labelled AS (SELECT *, list_filter(string_split(name, '.'), lambda x: x <> '') AS l0, regexp_matches(name, '^[0-9.]+$|^\[') AS num FROM named),
-padded AS (SELECT *, CASE WHEN len(l0) < 2 THEN ['', ''] ELSE l0 END AS l FROM labelled),
+padded AS (SELECT *, CASE WHEN len(l0) < 2 THEN ['', ''] ELSE l0 END AS l, num OR len(l0) < 2 AS alone FROM labelled),
 widths AS (
   SELECT *, CASE WHEN len(l) > 2 AND array_to_string(l[-2:], '.') IN ({", ".join(f"'{s}'" for s in TWO_LABEL_SUFFIXES)}) THEN 2 ELSE 1 END AS w FROM padded
 ), level AS (
-  SELECT host, n, k, CASE WHEN num THEN name ELSE array_to_string(l[len(l) - least(w + 1, len(l)) + 1 :], '.') END AS domain,
-    CASE WHEN num THEN '' ELSE array_to_string(l[len(l) - least(w, len(l)) + 1 :], '.') END AS suffix FROM widths
+  SELECT host, n, k, CASE WHEN alone THEN name ELSE array_to_string(l[len(l) - least(w + 1, len(l)) + 1 :], '.') END AS domain,
+    CASE WHEN name = '' THEN '?' WHEN alone THEN '' ELSE array_to_string(l[len(l) - least(w, len(l)) + 1 :], '.') END AS suffix FROM widths
 ), total AS (SELECT (sum(k) + 1) / (sum(n) + 2) AS m0 FROM level),
 s0 AS (SELECT suffix, sum(n) AS n, sum(k) AS k, any_value(m0) AS m0 FROM level, total GROUP BY suffix),
 sw AS ({_WEIGHT.format(m="m0", t="s0")}),
@@ -147,6 +157,6 @@ bounds AS (SELECT host, a / (a + b) - {Z} * sqrt(a / (a + b) * (1 - a / (a + b))
 ruled AS (
   SELECT *, CASE {" ".join(f"WHEN (host = '{r.partition('/')[0]}' OR ends_with(host, '.{r.partition('/')[0]}')) AND starts_with(path, '/{r.partition('/')[2]}') THEN '{r}'" for r in sorted(RULES, key=lambda r: (-len(r), r)))} END AS rule FROM p
 )
-SELECT page_id, ruled.host, path, rule, CASE rule {" ".join(f"WHEN '{r}' THEN '{v}'" for r, v in RULES.items())} ELSE CASE WHEN bound > {LIMIT} THEN 'block' ELSE 'allow' END END AS verdict
+SELECT page_id, ruled.host, path, rule, CASE rule {" ".join(f"WHEN '{r}' THEN '{v}'" for r, v in RULES.items())} ELSE CASE WHEN bound > (SELECT m0 FROM total) THEN 'block' ELSE 'allow' END END AS verdict
 FROM ruled JOIN bounds ON ruled.host = bounds.host
 """
