@@ -24,16 +24,15 @@ def _small(edges: DataFrame) -> DataFrame:
     return inner.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(links: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
-    """(node, root) of every node of a link; root is the least node of its component."""
+def components(links: DataFrame, a: str, b: str) -> DataFrame:
+    """(node, root) of every node of a link; root is the least node of its component. The rounds, about the logarithm of
+    the longest chain, go on until nothing changes."""
     edges, seen = staged(links.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v").distinct(), "links"), None
-    for _ in range(rounds):
+    while True:
         edges = staged(_small(_large(edges)), "links")
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 40))).first())
         if now == seen:
             break
         seen = now
-    else:
-        raise RuntimeError("components did not settle")
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)

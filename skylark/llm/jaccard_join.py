@@ -32,13 +32,14 @@ from .components import components
 
 #: Characters of text for each bucket of the shared-shingle count.
 BUCKET_CHARS = 16 << 20
-#: Shingles of a region that one task joins in memory.
-REGION_SHINGLES = 4 << 20
+#: Shingles and members of a region that one task joins in memory (its work may grow with the square of the members),
+#: and members of two blocks of a cell that pivots cannot split.
+REGION_SHINGLES, REGION_MEMBERS, BLOCK_MEMBERS = 4 << 20, 256, 2048
 PIVOTS = 8
 LEVELS = 4
 
-KINDS = "kind int, id long, n long, dig binary, d64 long, bucket long, a binary, b binary, c binary"
-COUNTS = "kind int, id long, n long, dig binary, d64 long, a binary, b binary"
+KINDS = "kind int, id long, ref long, n long, dig binary, d64 long, bucket long, a binary, b binary, c binary"
+COUNTS = "kind int, id long, ref long, n long, dig binary, d64 long, a binary, b binary"
 
 
 def required(n, num: int, den: int):
@@ -68,14 +69,15 @@ def _d64(digest: bytes) -> int:
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
     names = [x.split()[0] for x in KINDS.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
 
 def _postings(lists: list[np.ndarray], owners: list[int], buckets: int) -> list[tuple]:
     """Rows that find shared shingles: one kept by two owners here is known as shared and sent once without them, so
-    however common it is a piece sends it once; the others go as (32-bit rest of the hash, owner) by bucket."""
+    however common it is a piece sends it once; the others go as (32-bit rest of the hash, owner) by bucket. Two of an
+    owner that agree in bucket and rest count as shared: the count is never too low."""
     if not lists:
         return []
     h, own = np.concatenate(lists), np.repeat(np.array(owners, np.int64), [len(x) for x in lists])
@@ -86,14 +88,20 @@ def _postings(lists: list[np.ndarray], owners: list[int], buckets: int) -> list[
     rows = []
     if shared.any():
         d, n = np.unique(own[shared], return_counts=True)
-        rows.append((2, None, None, None, None, int(h[0] % np.uint64(buckets)), d.tobytes(), n.astype(np.int64).tobytes(), None))
+        rows.append((2, *[None] * 5, int(h[0] % np.uint64(buckets)), d.tobytes(), n.astype(np.int64).tobytes(), None))
     flags, lone, own = np.unique(h[shared]), h[~shared], own[~shared]
     at = ((lone >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+    alike = np.lexsort((lone & np.uint64(0xFFFFFFFF), at, own))
+    x, y = alike[1:], alike[:-1]
+    twice = own[x[(own[x] == own[y]) & (at[x] == at[y]) & (lone[x].astype(np.uint32) == lone[y].astype(np.uint32))]]
+    if len(twice):
+        d, n = np.unique(twice, return_counts=True)
+        rows.append((2, *[None] * 5, int(d[0]) % buckets, d.tobytes(), n.astype(np.int64).tobytes(), None))
     flag_at = ((flags >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
     known = {b: flags[i].astype(np.uint32).tobytes() for b, i in cut_by(np.argsort(flag_at, kind="stable"), flag_at)}
     for b, i in cut_by(np.argsort(at, kind="stable"), at):
-        rows.append((1, None, None, None, None, b, lone[i].astype(np.uint32).tobytes(), own[i].tobytes(), known.pop(b, None)))
-    return rows + [(1, None, None, None, None, b, b"", b"", f) for b, f in known.items()]
+        rows.append((1, *[None] * 5, b, lone[i].astype(np.uint32).tobytes(), own[i].tobytes(), known.pop(b, None)))
+    return rows + [(1, *[None] * 5, b, b"", b"", f) for b, f in known.items()]
 
 
 def _count_shared(group: pa.Table, parts: int) -> pa.Table:
@@ -135,9 +143,9 @@ def _listed(width: int, num: int, den: int, buckets: int):
         for batch in pieces(batches, "_text"):
             sets = shingle_sets(tokenize(batch.column(1), fold=True), width)
             rows, lists, owners, seen = [], [], [], set()
-            for key, s in zip(batch.column(0).to_pylist(), sets):
+            for key, ref, s in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), sets):
                 dig = _digest(s) if len(s) else None
-                rows.append((0, key, len(s), dig, dig and _d64(dig), len(rows) % buckets, None, None, None))
+                rows.append((0, key, ref, len(s), dig, dig and _d64(dig), len(rows) % buckets, None, None, None))
                 if dig and dig not in seen:
                     seen.add(dig)
                     lists.append(s[: len(s) - required(len(s), num, den) + 1 + len(s) // 20])
@@ -155,7 +163,7 @@ def _chosen_sets(width: int):
         for batch in pieces(batches, "_text"):
             digs, out = batch.column(0).to_pylist(), []
             for dig, s in zip(digs, shingle_sets(tokenize(batch.column(1), fold=True), width)):
-                if len(s) and dig not in seen and _digest(s) == dig:  # rows with the same id and another text are not it
+                if len(s) and dig not in seen and _digest(s) == dig:
                     seen.add(dig)
                     out.append((dig, s))
             yield pa.RecordBatch.from_arrays(
@@ -279,15 +287,16 @@ def _distances(num: int, den: int):
 LINKS = "u binary, v binary"
 
 
-def _join_regions(members: DataFrame, sets: DataFrame, num: int, den: int, bound: int) -> DataFrame:
+def _join_regions(members: DataFrame, sets: DataFrame, num: int, den: int, bound: int, most: int) -> DataFrame:
     """Links of all regions. members: (region, dig)."""
+    over = (F.col("weight") > bound) | (F.col("g") > most)
     weighed = lambda m: m.join(sets.select("dig", "n"), "dig").groupBy("region").agg(F.sum("n").alias("weight"), F.count("*").alias("g")).filter("g > 1")
     join = lambda m: m.join(sets, "dig").select("region", "dig", "score", "set", "outer").groupBy("region").applyInArrow(_region_join(num, den), LINKS)
     sized = staged(weighed(members), "region-weights")
-    links = join(members.join(sized.filter(F.col("weight") <= bound), "region", "left_semi").withColumn("outer", F.lit(True)))
-    large = members.join(sized.filter(F.col("weight") > bound), "region").select("region", "dig", "weight")
+    links = join(members.join(sized.filter(~over), "region", "left_semi").withColumn("outer", F.lit(True)))
+    large = members.join(sized.filter(over), "region").select("region", "dig", "weight", F.col("g").alias("was_g"))
     for level in range(LEVELS + 1):
-        if sized.filter(F.col("weight") > bound).isEmpty():
+        if sized.filter(over).isEmpty():
             return links
         large = staged(large.join(sets.select("dig", "n", "score"), "dig"), "large-regions")
         rank = F.row_number().over(Window.partitionBy("region").orderBy(F.desc("score"), "dig"))
@@ -301,20 +310,20 @@ def _join_regions(members: DataFrame, sets: DataFrame, num: int, den: int, bound
         open_ = cells.groupBy("region", "parent").agg(F.bool_and("near").alias("done")).filter("not done")
         members = staged(cells.join(open_, ["region", "parent"], "left_semi"), "cells")
         sized = staged(weighed(members.select("region", "dig")), "region-weights")
-        fit = members.join(sized.filter(F.col("weight") <= bound), "region", "left_semi")
+        fit = members.join(sized.filter(~over), "region", "left_semi")
         links = links.unionByName(join(fit.select("region", "dig").withColumn("outer", F.lit(True))))
-        parents = large.select(F.col("region").alias("parent"), F.col("weight").alias("was")).distinct()
-        rest = members.join(sized.filter(F.col("weight") > bound), "region").join(parents, "parent")
-        stuck = rest.filter((F.col("weight") > 0.8 * F.col("was")) | F.lit(level + 1 >= LEVELS))
-        links = links.unionByName(_in_blocks(stuck, sets, num, den, bound))
-        large = rest.filter((F.col("weight") <= 0.8 * F.col("was")) & F.lit(level + 1 < LEVELS)).select("region", "dig", "weight")
-        sized = staged(large.select("region", "weight").distinct(), "region-weights")
+        parents = large.select(F.col("region").alias("parent"), F.col("weight").alias("was"), "was_g").distinct()
+        rest = members.join(sized.filter(over), "region").join(parents, "parent")
+        stays = ((F.col("weight") > 0.8 * F.col("was")) & (F.col("g") > 0.8 * F.col("was_g"))) | F.lit(level + 1 >= LEVELS)
+        links = links.unionByName(_in_blocks(rest.filter(stays), sets, num, den, bound))
+        large = rest.filter(~stays).select("region", "dig", "weight", F.col("g").alias("was_g"))
+        sized = staged(large.select("region", "weight", F.col("was_g").alias("g")).distinct(), "region-weights")
     return links
 
 
 def _in_blocks(stuck: DataFrame, sets: DataFrame, num: int, den: int, bound: int) -> DataFrame:
     """Members that don't link to their cell's pivot (outer) meet all members, block by block."""
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("weight") * 2 / bound)).cast("int")
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("weight") * 2 / bound), F.ceil(F.col("g") * 2 / BLOCK_MEMBERS)).cast("int")
     m = stuck.select("region", "dig", (~F.col("near")).alias("outer"), blocks.alias("k")).withColumn("b", F.pmod(F.xxhash64("dig"), F.col("k")))
     one = m.filter("outer").select("region", "dig", "outer", F.col("b").alias("i"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("j"))
     two = m.select("region", "dig", "outer", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("i"), F.col("b").alias("j"))
@@ -323,7 +332,7 @@ def _in_blocks(stuck: DataFrame, sets: DataFrame, num: int, den: int, bound: int
     return pairs.join(sets, "dig").select(name.alias("region"), "dig", "score", "set", "outer").groupBy("region").applyInArrow(_region_join(num, den), LINKS)
 
 
-def similar_sets(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, text: str = "text", key: str = "doc_id", bound: int = REGION_SHINGLES) -> DataFrame:
+def similar_sets(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, text: str = "text", key: str = "doc_id", bound: int = REGION_SHINGLES, most: int = REGION_MEMBERS) -> DataFrame:
     """One row for each row of ``docs``: (key, n_shingles, component_id).
 
     Two documents link when den * |A & B| >= num * |A | B|, over sets of ``width``-word shingles of the lower-cased
@@ -332,18 +341,21 @@ def similar_sets(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100,
     repeated rows have equal sets and so one component. Extra columns are not read; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    base = docs.select(row_key(key).alias("_key"), F.col(text).alias("_text"))
+    base = docs.select(row_key(key).alias("_key"), F.col(text).alias("_text")).withColumn("_ref", F.xxhash64("_key", "_text"))
     chars = int(base.agg(F.sum(F.length("_text"))).first()[0] or 0)
     buckets = max(8, chars // BUCKET_CHARS)
     count = lambda group: _count_shared(group, buckets)
     counted = base.mapInArrow(_listed(width, num, den, buckets), KINDS).groupBy("bucket").applyInArrow(count, COUNTS)
     counted = staged(counted, "shingle-counts")
     sizes = counted.filter("kind = 0")
-    nodes = sizes.filter("n > 0").groupBy("dig", "d64", "n").agg(F.min("id").alias("_key"), F.min(_id("id")).alias("_least"))
+    nodes = sizes.filter("n > 0").groupBy("dig", "d64", "n").agg(F.min("ref").alias("_ref"), F.min(_id("id")).alias("_least"))
     shared = lambda c: c.filter("kind = 2").select(F.col("n").alias("part"), "a", "b").groupBy("part").applyInArrow(_summed, "d64 long, hits long")
     need = F.ceil(F.col("n") * num / den).cast("long")
     some = nodes.join(shared(counted), "d64").filter(F.col("hits") >= 1 + F.floor(need / 20))
-    sets = staged(base.join(some.select("_key", "dig"), "_key").select("dig", "_text").mapInArrow(_chosen_sets(width), "dig binary, d64 long, n long, set binary"), "shingle-sets")
+    holders = base
+    if not sizes.groupBy("ref").count().filter("count > 1").isEmpty():  # rows that repeat id and text are read once
+        holders = base.groupBy("_ref").agg(F.any_value("_text").alias("_text"))
+    sets = staged(holders.join(some.select("_ref", "dig"), "_ref").select("dig", "_text").mapInArrow(_chosen_sets(width), "dig binary, d64 long, n long, set binary"), "shingle-sets")
     release(spark)
     again = sets.select("d64", "set").mapInArrow(_all_postings(buckets), KINDS).groupBy("bucket").applyInArrow(count, COUNTS)
     kept = staged(sets.join(shared(again), "d64").filter(F.col("hits") >= need).select("dig", "n", (F.col("hits") / F.col("n")).alias("score"), "set"), "near-sets")
@@ -351,15 +363,16 @@ def similar_sets(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100,
     posts = staged(kept.select("dig", "score", "set").mapInArrow(_prefixes(num, den), "s long, dig binary, score double"), "prefixes")
     pivots = posts.groupBy("s").agg(F.max(F.struct("score", "dig"))["dig"].alias("pivot"), F.count("*").alias("holders")).filter("holders > 1")
     members = staged(posts.join(pivots, "s").select(F.hex("pivot").alias("region"), "dig").distinct(), "regions")
-    links = staged(_join_regions(members, kept, num, den, bound), "near-links")
+    links = staged(_join_regions(members, kept, num, den, bound, most), "near-links")
     rooted = nodes.select("dig", F.col("dig").alias("root"), "_least")
     if not links.isEmpty():
         roots = components(links, "u", "v").select(F.col("node").alias("dig"), F.col("root").alias("_root"))
         rooted = rooted.join(roots, "dig", "left").select("dig", F.coalesce("_root", "root").alias("root"), "_least")
     first = rooted.groupBy("root").agg(F.min("_least").alias("component_id"))
     classes = rooted.select("dig", "root").join(first, "root").select("dig", "component_id")
-    joined = sizes.join(classes, "dig", "left")
-    return joined.select(_id("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(_id("id")).alias("component_id"))
+    worded = sizes.filter("n > 0").join(classes, "dig").select("id", "n", "component_id")
+    wordless = sizes.filter("n = 0").select("id", "n", _id("id").alias("component_id"))
+    return worded.unionByName(wordless).select(_id("id").alias(key), F.col("n").alias("n_shingles"), "component_id")
 
 
 def _id(col: str):

@@ -47,10 +47,10 @@ def plain(docs):
     return [(r.doc_id, r.text) for r in docs.collect()]
 
 
-@pytest.mark.parametrize("width, num, bound", [(4, 85, 4 << 20), (5, 80, 4 << 20), (4, 85, 300), (4, 60, 150)])
-def test_jaccard_join(docs, width, num, bound):
+@pytest.mark.parametrize("width, num, bound, most", [(4, 85, 4 << 20, 256), (5, 80, 4 << 20, 256), (4, 85, 300, 256), (4, 60, 150, 256), (4, 60, 4 << 20, 2)])
+def test_jaccard_join(docs, width, num, bound, most):
     """Small bounds send regions through Voronoi cells and blocks."""
-    got = jaccard_join.similar_sets(docs, width, num, 100, bound=bound)
+    got = jaccard_join.similar_sets(docs, width, num, 100, bound=bound, most=most)
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute_components(plain(docs), width, num, 100)
 
 
@@ -73,6 +73,23 @@ def test_region_links_are_exact():
                     assert find(a) == find(b)
 
 
+def test_counts_of_shared_shingles_are_never_too_low(monkeypatch):
+    """Shingles of one owner that agree in bucket and 32 bits count as shared; nothing is merged away."""
+    a = np.array([5, 5 + (1 << 40), 9], np.uint64)  # bucket 0 of 1: the first two agree in their low 32 bits
+    rows = [r for r in jaccard_join._postings([a], [7], 1) if r[0] == 2]
+    assert [np.frombuffer(r[7], np.int64).tolist() + np.frombuffer(r[8], np.int64).tolist() for r in rows] == [[7, 1]]
+
+
+def test_many_null_ids(spark):
+    """Copies without an id are told apart by their texts, in about the time of those with one."""
+    texts = [" ".join(f"w{(i * 7 + j) % 50 if j else i % 40}" for j in range(30)) for i in range(300)]
+    rows = [(None, t) for t in texts] + [(1000 + i, t) for i, t in enumerate(texts[:50])] + [(None, None), (None, "")]
+    got = jaccard_join.similar_sets(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()
+    want = brute_components([(10**9 if d is None else d, t) for d, t in rows], 4, 85, 100)
+    named = lambda x: None if x == 10**9 else x
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == sorted(((named(d), n, named(c)) for d, n, c in want), key=str)
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.range(60).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     out = {r.node: r.root for r in components.components(links, "a", "b").collect()}
