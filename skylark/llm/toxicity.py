@@ -5,7 +5,9 @@ A text is cut into passages of equal length, ``PASSAGE`` words at most, and scor
 would vanish in the mean of a long text. Passages of texts labelled 1 that look clean after the first half of the
 training are left out of the second half, but for the text's worst.
 
-Training sees at most ``MAX_ROWS`` labelled documents (a documented bound); scoring sees every word of every text.
+Training sees at most ``MAX_ROWS`` labelled documents and ``MAX_WORDS`` words of them (a documented bound); scoring sees
+every word of every text. Tasks hash the words and count them, and score the rows that fit the final scale; the driver
+gets word hashes and the vocabulary that occurs in several documents, not texts.
 As the model is linear in the n-grams, a passage's score needs one number for each n-gram bucket, and an unseen
 misspelling shares most of its n-grams with the word it stands for.
 """
@@ -14,6 +16,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate
 from typing import NamedTuple
 
 import numpy as np
@@ -21,11 +24,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._stage import table
-from ._words import ALNUM, FOLD, mixed, pieces, ragged, tokenize
+from ._stage import staged, table
+from ._words import ALNUM, CHUNK, FOLD, MASK, MULT, _powers, mixed, pieces, ragged, tokenize
 
 #: Labelled rows that are learnt from: those of least hash, whatever the table's size.
 MAX_ROWS = 4000
+#: And of those, in that order, as many as hold so many words in all (one at least).
+MAX_WORDS = 2_000_000
+#: Words beyond so many bytes are scored singly, piece by piece.
+LONG = 1 << 16
 BUCKETS = 1 << 16
 SIZES = (3, 4, 5, 6)
 DIM = 8
@@ -79,22 +86,62 @@ def subwords(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
             ok = word[: len(h)] == word[n - 1 :]
             parts.append(mixed(h[ok] + np.uint64(n)) % np.uint64(BUCKETS))
             owners.append(word[: len(h)][ok])
-    whole = np.zeros(len(size), np.uint64)
-    for j in range(int(size.max(initial=0))):
-        live = size > j
-        whole[live] = whole[live] * np.uint64(0x9E3779B97F4A7C15) + text[at[live] + j] if j < 64 else whole[live]
-    parts.append(mixed(whole) % np.uint64(BUCKETS))
+    parts.append(mixed(polynomials(text, at, at + size)) % np.uint64(BUCKETS))
     owners.append(np.arange(len(size)))
     owner = np.concatenate(owners)
     order = np.argsort(owner, kind="stable")
     return np.concatenate(parts)[order].astype(np.int64), np.r_[0, np.cumsum(np.bincount(owner, minlength=len(size)))]
 
 
+def polynomials(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of whole words, from one running sum for each stretch of words; a longer word is put together from parts."""
+    powers, inverses, _ = _powers()
+    out, i = np.empty(len(starts), np.uint64), 0
+    while i < len(starts):
+        a = starts[i]
+        j = int(np.searchsorted(ends, a + CHUNK, "right"))
+        if j <= i:
+            h = 0
+            for at in range(int(a), int(ends[i]), CHUNK):
+                part = data[at : min(at + CHUNK, ends[i])]
+                own = int((part * inverses[: len(part)]).sum(dtype=np.uint64)) * int(powers[len(part) - 1])
+                h = (h * pow(MULT, len(part), 1 << 64) + own) & MASK
+            out[i] = h
+            i += 1
+            continue
+        part = data[a : ends[j - 1]]
+        run = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(part * inverses[: len(part)], out=run[1:])
+        s, e = starts[i:j] - a, ends[i:j] - a
+        out[i:j] = (run[e] - run[s]) * powers[e - 1]
+        i = j
+    return out
+
+
+def long_word_score(word: np.ndarray, weights: np.ndarray) -> float:
+    """The mean weight of a folded word's n-grams, in pieces of bounded memory."""
+    text = np.r_[ord("<"), word, ord(">")].astype(np.uint8)
+    total, count = float(weights[int(mixed(polynomials(text, np.zeros(1, np.int64), np.array([len(text)])))[0] % np.uint64(BUCKETS))]), 1
+    for at in range(0, len(text), LONG):
+        h = np.zeros(0, np.uint64)
+        for n in range(1, max(SIZES) + 1):
+            part = text[at : at + LONG + n - 1]
+            h = part.astype(np.uint64) if n == 1 else h[: len(part) - n + 1] * np.uint64(0x100000001B3) + part[n - 1 :]
+            if n in SIZES and len(part) >= n:
+                grams = mixed(h + np.uint64(n)) % np.uint64(BUCKETS)
+                total, count = total + float(weights[grams].sum()), count + len(grams)
+    return total / count
+
+
 def word_scores(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    if not len(starts):
-        return np.empty(0)
-    grams, edges = subwords(data, starts, ends)
-    return np.add.reduceat(weights[grams], edges[:-1]) / np.diff(edges)
+    """The mean weight of each word's n-grams."""
+    out, short = np.empty(len(starts)), np.flatnonzero(ends - starts <= LONG)
+    if len(short):
+        grams, edges = subwords(data, starts[short], ends[short])
+        out[short] = np.add.reduceat(weights[grams], edges[:-1]) / np.diff(edges)
+    for i in np.flatnonzero(ends - starts > LONG):
+        out[i] = long_word_score(FOLD[data[starts[i] : ends[i]]], weights)
+    return out
 
 
 class Model(NamedTuple):
@@ -122,12 +169,34 @@ class Model(NamedTuple):
 
 
 def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(label, words joined by spaces) of each labelled document."""
+    """(label, crc, words) of each labelled document: the crc of its folded words, and their hashes."""
+    for batch in pieces(batches, "_text"):
+        w = tokenize(batch.column(1), ALNUM, fold=True)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_crcs(w), pa.int64()), pa.array([w.hashes[a:b].tobytes() for a, b in zip(w.offsets[:-1], w.offsets[1:])], pa.binary())], names=["label", "crc", "words"])
+
+
+def _crcs(w) -> list[int]:
+    folded = FOLD[w.data].tobytes()
+    return [zlib.crc32(b" ".join(folded[w.starts[i] : w.ends[i]] for i in range(a, b))) for a, b in zip(w.offsets[:-1], w.offsets[1:])]
+
+
+def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(crc, hash, word) of the distinct folded words of each document; those beyond ``LONG`` bytes are left to scoring."""
     for batch in pieces(batches, "_text"):
-        w = tokenize(batch.column(1), ALNUM, hashes=False)
-        folded = FOLD[w.data].tobytes()
-        words = [b" ".join(folded[w.starts[i] : w.ends[i]] for i in range(a, b)) for a, b in zip(w.offsets[:-1], w.offsets[1:])]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.binary())], names=["label", "words"])
+        w = tokenize(batch.column(1), ALNUM, fold=True)
+        folded, crcs, rows = FOLD[w.data].tobytes(), _crcs(w), []
+        for crc, a, b in zip(crcs, w.offsets[:-1], w.offsets[1:]):
+            h, first = np.unique(w.hashes[a:b], return_index=True)
+            rows += [(crc, x, folded[w.starts[i] : w.ends[i]]) for x, i in zip(h.view(np.int64).tolist(), (a + first).tolist()) if w.ends[i] - w.starts[i] <= LONG]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["crc", "h", "word"])
+
+
+def _worst_of(model: Model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "_text"):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_crcs(tokenize(batch.column(1), ALNUM, fold=True)), pa.int64()), pa.array(model.worst(batch.column(1)), pa.float64())], names=["label", "crc", "worst"])
+
+    return run
 
 
 class _Sums:
@@ -149,15 +218,11 @@ class _Sums:
         return out
 
 
-def fit(rows: list[tuple[int, bytes]], seed: int = 3) -> Model:
-    """A model trained on the rows; every fourth one is kept from the n-gram vectors and fits the final scale, since
-    the worst of many passages runs higher than a single one."""
-    rest = [r for i, r in enumerate(rows) if i % 4]
-    model, held = fit_passages(rest, seed), rows[::4]
-    y = np.array([r[0] for r in held], float)
+def scaled(model: Model, y: np.ndarray, x: np.ndarray) -> Model:
+    """The model with its final scale, fitted to labels and worst logits of rows kept from training, since the worst of
+    many passages runs higher than a single one."""
     if not model.weights.any() or not 0 < y.sum() < len(y):
         return model
-    x = model.worst(pa.array([r[1] for r in held], pa.binary()))
     a, b, spread = 0.0, float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))), x.std() + 1e-9
     z = (x - x.mean()) / spread
     for _ in range(50):  # Newton's method, slightly damped
@@ -170,22 +235,28 @@ def fit(rows: list[tuple[int, bytes]], seed: int = 3) -> Model:
     return model._replace(scale=(float(a / spread), float(b - a * x.mean() / spread)))
 
 
-def fit_passages(rows: list[tuple[int, bytes]], seed: int = 3) -> Model:
-    """Joint training of the n-gram vectors and the softmax by full-batch Adam; rows are (label, words)."""
+def fit_passages(rows: list[tuple[int, bytes]], vocabulary: dict[int, bytes], seed: int = 3) -> Model:
+    """Joint training of the n-gram vectors and the softmax by full-batch Adam; rows are (label, word hashes), and
+    ``vocabulary`` has the words of those hashes (as signed numbers) that occur in several documents."""
     labels = np.array([r[0] for r in rows], np.int64)
     prior = (labels.sum() + 0.5) / (len(labels) + 1)
-    w = tokenize(pa.array([r[1] for r in rows], pa.binary()), ALNUM)
-    if not len(w.hashes) or labels.min() == labels.max():  # nothing to tell apart
+    hashes = np.frombuffer(b"".join(r[1] for r in rows), np.int64)
+    if not len(hashes) or labels.min() == labels.max() or not vocabulary:  # nothing to tell apart
         return Model(np.zeros(BUCKETS), float(np.log(prior / (1 - prior))))
-    _, first, ids = np.unique(w.hashes, return_index=True, return_inverse=True)
-    begin, size, text = passages(w.offsets)
+    offsets = np.r_[0, np.cumsum([len(r[1]) // 8 for r in rows])]
+    distinct_words, ids = np.unique(hashes, return_inverse=True)
+    at = np.searchsorted(distinct_words, known := np.array(sorted(vocabulary), np.int64))
+    present = (at < len(distinct_words)) & (distinct_words[np.minimum(at, len(distinct_words) - 1)] == known)
+    known_at = at[present]
+    spelt = [vocabulary[int(h)] for h in known[present]]
+    begin, size, text = passages(offsets)
     of, word, share = distinct(ids, begin, size)
-    seen = np.bincount(np.unique(text[of] * len(first) + word) % len(first), minlength=len(first))
-    keep = seen >= max(MIN_DOCS, len(rows) * MIN_SHARE)
-    keep = keep if keep.any() else seen > 0
-    first, live = first[keep], keep[word]
+    keep = np.zeros(len(distinct_words), bool)
+    keep[known_at] = True
+    first, live = np.flatnonzero(keep), keep[word]
     of, word, share = of[live], (np.cumsum(keep) - 1)[word[live]], share[live]
-    grams, edges = subwords(w.data, w.starts[first], w.ends[first])
+    edge = np.r_[0, np.cumsum([len(x) for x in spelt])]
+    grams, edges = subwords(np.frombuffer(b"".join(spelt), np.uint8), edge[:-1], edge[1:])
     used, grams = np.unique(grams, return_inverse=True)  # untouched buckets stay at zero
     gram_word = np.repeat(np.arange(len(first)), np.diff(edges))
     to_word = _Sums(grams, gram_word, (1 / np.diff(edges))[gram_word], len(used), len(first))
@@ -227,17 +298,31 @@ def remainder(key: str, n: int) -> Column:
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, key: str, text: str, learn: Column, max_rows: int) -> DataFrame:
     """(label, _text) of at most ``max_rows`` documents with a 0/1 label that ``learn`` admits, those of least hash.
-    The rows are chosen by id before any text moves; a document with two labels counts once, with the larger."""
+    The rows are chosen by id before any text moves; a document with two labels counts once, with the larger, and an id
+    with several texts by the least of them."""
     known = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull() & learn).groupBy(key).agg(F.max(label).cast("int").alias("label"))
     present = docs.select(key).filter(F.col(key).isNotNull()).distinct()
     chosen = known.join(present, key).orderBy(F.xxhash64(key), key).limit(max_rows)
-    return chosen.join(docs.select(F.col(key), F.col(text).alias("_text")), key).select("label", "_text")
+    rows = chosen.join(docs.select(F.col(key), F.col(text).alias("_text")), key)
+    return rows.groupBy(key).agg(F.max("label").alias("label"), F.min("_text").alias("_text")).select("label", "_text")
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", learn: Column | None = None, max_rows: int = MAX_ROWS) -> Model:
-    rows = labelled(docs, labels, label, key, text, F.lit(True) if learn is None else learn, max_rows)
-    found = rows.mapInArrow(_words_of, "label int, words binary").collect()
-    return fit(sorted(((r["label"], bytes(r["words"])) for r in found), key=lambda r: (zlib.crc32(r[1]), r)))
+    rows = staged(labelled(docs, labels, label, key, text, F.lit(True) if learn is None else learn, max_rows), "labelled")
+    found = rows.mapInArrow(_words_of, "label int, crc long, words binary").collect()
+    found = sorted(((r["crc"], r["label"], bytes(r["words"])) for r in found))
+    words = accumulate(len(r[2]) // 8 for r in found)
+    found = [r for i, (r, n) in enumerate(zip(found, words)) if not i or n <= MAX_WORDS]
+    held, rest = found[::4], [r for i, r in enumerate(found) if i % 4]
+    own = rows.sparkSession.createDataFrame([(r[0],) for r in rest], "crc long")
+    counted = rows.mapInArrow(_vocabulary, "crc long, h long, word binary").join(F.broadcast(own.distinct()), "crc").groupBy("h").agg(F.count("*").alias("n"), F.min("word").alias("word"))
+    least = max(MIN_DOCS, len(rest) * MIN_SHARE)
+    vocabulary = {r["h"]: bytes(r["word"]) for r in counted.filter(F.col("n") >= least).collect()}
+    model = fit_passages([r[1:] for r in rest], vocabulary)
+    if not model.weights.any():
+        return model
+    worst = {(r["crc"], r["label"]): r["worst"] for r in rows.mapInArrow(_worst_of(model), "label int, crc long, worst double").collect()}
+    return scaled(model, np.array([r[1] for r in held], float), np.array([worst[r[:2]] for r in held]))
 
 
 def _scorer(model: Model):

@@ -95,6 +95,33 @@ def test_reputation_shrinks(spark):
     assert names["a.b.co.uk"] == ("b.co.uk", "co.uk") and names["bad.x.com"] == ("x.com", "com") and names["10.0.0.1"][0] == "10.0.0.1"
 
 
+def test_reputation_decides_pages(spark):
+    """Hosts that are credibly worse than the common page are blocked, by their own outcomes or their domain's; the
+    suffixes are the caller's; repeated labels count as their worst."""
+    urls, labels = [], []
+
+    def page(host, bad):
+        labels.append((len(labels), 1 - bad, 0))
+        urls.append(f"http://{host}/p/{len(urls)}")
+
+    for i in range(80):
+        page("spam.farm.test", int(i % 10 > 0))
+        page("www.daily.test", int(i % 20 == 0))
+        page(f"s{i % 16}.shop.co.xx", int(i % 8 > 0))
+        page(f"s{i % 16}.home.co.xx", 0)
+    urls += ["http://new.farm.test/", "http://fresh.shop.co.xx/a", "http://fresh.home.co.xx/", None, "http://localhost/", "http://spam.farm.test/ok/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    worst = spark.createDataFrame([*labels, (1, 1, 0), (1, None, None), (None, 0, 1)], "doc_id long, quality int, toxic int")
+    judged = url_filter.judge_urls(pages, worst, rules={"spam.farm.test/ok/": "allow"}, suffixes=("co.xx",))
+    got = {r.page_id: r for r in judged.collect()}
+    assert {got[i].verdict for i in range(320) if i % 4 == 0} == {"block"} and {got[i].verdict for i in range(320) if i % 4 == 1} == {"allow"}
+    assert [got[i].verdict for i in range(320, 326)] == ["block", "block", "allow", "allow", "allow", "allow"] and got[325].rule == "spam.farm.test/ok/"
+    count = {(r.by, r.verdict): r.pages for r in url_filter.decisions(judged).collect()}
+    assert count["rule", "allow"] == 1 and count["reputation", "block"] > 100
+    assert {r.verdict for r in url_filter.judge_urls(pages, worst, limit=1.0).collect()} == {"allow"}
+    assert url_filter.judge_urls(pages, worst.limit(0)).filter("verdict <> 'allow' AND rule IS NULL").count() == 0
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(3000, 24)) * rng.uniform(0.9, 1.1, (3000, 1))
@@ -295,6 +322,35 @@ def test_toxicity(spark, docs, empty):
     assert 0 <= toxicity.scored(probe, none).first()._score <= 1
 
 
+def test_words_of_any_length(spark):
+    """Whole words are hashed whole, and a text of one word of 5 MB is scored in bounded time, as its n-grams say."""
+    import time
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    data = rng.integers(97, 123, 300_000).astype(np.uint8)
+    for a, b in ((0, 3), (5, 70), (100, 1000), (7, 299_000)):
+        h = 0
+        for c in data[a:b].tolist():
+            h = (h * toxicity.MULT + c) % (1 << 64)
+        assert int(toxicity.polynomials(data, np.array([a]), np.array([b]))[0]) == h
+    model = toxicity.Model(rng.normal(size=toxicity.BUCKETS), 0.1)
+    grams, edges = toxicity.subwords(data, np.array([0]), np.array([200_000]))
+    assert toxicity.word_scores(data, np.array([0]), np.array([200_000]), model.weights)[0] == pytest.approx(model.weights[grams].mean())
+    began = time.perf_counter()
+    score = model.score(pa.array(["z" * 5_000_000 + " clean words", "Z" * 5_000_000 + " clean words", None, ""]))
+    assert time.perf_counter() - began < 20 and score[0] == score[1] and score[2] == score[3]
+
+
+def test_labels_of_repeated_ids(spark):
+    """An id with several texts is learnt from once, by the least of them, with its larger label."""
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (1, None), (2, None), (None, "c"), (3, "d")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (3, 7), (None, 1)], "doc_id long, toxic int")
+    rows = toxicity.labelled(docs, labels, "toxic", "doc_id", "text", F.lit(True), 10).collect()
+    assert sorted(map(tuple, rows), key=str) == [(0, None), (1, "a")]
+
+
 def test_quality(spark, docs, empty):
     def shout(t, rng):
         t[:] = [w.upper() + "%%%" for w in t]
