@@ -32,9 +32,9 @@ from .components import components
 
 #: Characters of text for each bucket of the shared-shingle count.
 BUCKET_CHARS = 16 << 20
-#: Shingles and members of a region that one task joins in memory (its work may grow with the square of the members),
-#: and members of two blocks of a cell that pivots cannot split.
-REGION_SHINGLES, REGION_MEMBERS, BLOCK_MEMBERS = 4 << 20, 256, 2048
+#: Shingles and members of a region that one task joins in memory (its work may grow with the square of the members: some
+#: seconds at the bound), and members of two blocks of a cell that pivots cannot split.
+REGION_SHINGLES, REGION_MEMBERS, BLOCK_MEMBERS = 4 << 20, 8192, 8192
 PIVOTS = 8
 LEVELS = 4
 
