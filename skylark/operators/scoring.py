@@ -42,14 +42,14 @@ def freshness(now: Column) -> Column:
 def commercial(rules: R.Rules, text: str = "_text") -> Column:
     text = F.col(text)
     by_type = F.create_map(*[F.lit(x) for kv in {"official": 16, "product": 12, "community": 7}.items() for x in kv])[F.col("source_type")]
-    category = F.when(F.col("category") == R.ENTERPRISE, 9).when(F.col("category") == R.PRODUCT, 7).when(F.col("category") == R.FLAGSHIP, 6).otherwise(0)
+    category = F.when(F.col("category") == R.FLAGSHIP, 9).when(F.col("category") == R.ENTERPRISE, 7).when(F.col("category") == R.PRODUCT, 6).otherwise(0)
     total = F.lit(8) + F.coalesce(by_type, F.lit(0)) + category + F.when(has_any(text, rules.bonus, True), 7).otherwise(0) + F.when(has_any(text, rules.companies, True), 5).otherwise(0)
     return F.greatest(F.lit(0), F.least(F.lit(40), total)).cast("int")
 
 
 def writability() -> Column:
     point = lambda test, n: F.when(test, n).otherwise(0)
-    total = F.lit(4) + point(F.length("summary") >= 80, 2) + point(F.length("url") > 0, 1) + point(F.size("tags") > 0, 1) + point(F.col("category").isin(R.FLAGSHIP, R.ENTERPRISE), 2)
+    total = F.lit(4) + point(F.length("summary") >= 80, 2) + point(F.length("url") > 0, 1) + point(F.size("tags") > 0, 1) + point(F.col("category").isin(R.PRODUCT, R.FLAGSHIP), 2)
     return F.least(F.lit(10), total).cast("int")
 
 
