@@ -20,6 +20,10 @@ def minute_utc(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd HH:mm")
 
 
+def iso_time(ts: Column) -> Column:
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
 def rfc822(ts: Column) -> Column:
     return F.concat(F.date_format(ts, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" +0000"))
 

@@ -28,12 +28,33 @@ def section_tables(pool: DataFrame, actions: Sequence[str], order: Sequence[Colu
     return wanted.join(bodies, "action", "left").select("action", F.coalesce("body", F.lit("_暂无条目。_")).alias("body"))
 
 
-def format_repo_item(author: str = "Author", created: str = "Created", comments: str = "Comments") -> Column:
-    day = F.date_format("created_at", "yyyy-MM-dd")
-    head = F.concat(F.lit("#"), F.col("number").cast("string"), F.lit(" ["), F.upper("state"), F.lit("] ["), "title", F.lit("] "), "login")
-    facts = F.concat(F.lit(f"  {author}: "), "login", F.lit(f" | {created}: "), day, F.lit(f" | {comments}: "), F.col("comments").cast("string"))
-    ref = F.concat(F.lit("  URL: "), "repo", F.when(F.col("is_pr"), " PR #").otherwise(" Issue #"), F.col("number").cast("string"))
-    return F.concat_ws("\n", head, facts, ref)
+# The words of an item's lines.
+ITEM_WORDS = {
+    "en": ("Author", "Created", "Updated", "Comments", "URL", "Summary"),
+    "zh": ("作者", "创建", "更新", "评论", "链接", "摘要"),
+}
+
+
+def format_repo_item(lang: str = "zh", body: int = 300) -> Column:
+    """Four lines: number, state, labels and title; author, dates, comments and thumbs; the repository and kind, not the
+    address (which would make a link); the body's first characters. Columns as landed: labels array<struct<name>>, user
+    struct<login>, reactions struct<+1>, created_at and updated_at as text or time, html_url, body."""
+    author, created, updated, comments, link, summary = ITEM_WORDS[lang]
+    number = F.col("number").cast("string")
+    names = F.array_join(F.transform(F.coalesce("labels", F.array().cast("array<struct<name:string>>")), lambda x: x["name"]), ", ")
+    day = lambda c: F.substring(F.col(c).cast("string"), 1, 10)
+    thumbs = F.coalesce(F.col("reactions")["+1"], F.lit(0)).cast("string")
+    slug = F.regexp_replace(F.regexp_replace("html_url", r"^https://github\.com/", ""), r"/(issues|pull)/\d+$", "")
+    kind = F.when(F.contains("html_url", F.lit("/pull/")), "PR").otherwise("Issue")
+    text = F.coalesce("body", F.lit(""))
+    flat = F.regexp_replace(F.replace(text, F.lit("\n"), F.lit(" ")), r"^\s+|\s+$", "")
+    return F.concat_ws(
+        "\n",
+        F.concat(F.lit("#"), number, F.lit(" ["), F.upper("state"), F.lit("]"), F.when(names != "", F.concat(F.lit(" ["), names, F.lit("]"))).otherwise(""), F.lit(" "), "title"),
+        F.concat(F.lit(f"  {author}: "), F.col("user")["login"], F.lit(f" | {created}: "), day("created_at"), F.lit(f" | {updated}: "), day("updated_at"), F.lit(f" | {comments}: "), F.col("comments").cast("string"), F.lit(" | 👍: "), thumbs),
+        F.concat(F.lit(f"  {link}: "), slug, F.lit(" "), kind, F.lit(" #"), number),
+        F.concat(F.lit(f"  {summary}: "), F.substring(flat, 1, body), F.when(F.length(text) > body, "...").otherwise("")),
+    )
 
 
 def sample_note(total: Column, shown: Column | int) -> Column:
@@ -42,19 +63,19 @@ def sample_note(total: Column, shown: Column | int) -> Column:
     return F.when(total > shown, more).otherwise(F.concat(F.lit("(Total: "), total.cast("string"), F.lit(" items)")))
 
 
-def repo_context(items: DataFrame, repos: DataFrame, issues: int = 30, pulls: int = 20) -> DataFrame:
+def repo_context(items: DataFrame, repos: DataFrame, issues: int = 30, pulls: int = 20, lang: str = "en") -> DataFrame:
     """(repo, context): the most commented issues and pull requests of each repository, or "No activity"."""
     w = Window.partitionBy("repo", "is_pr").orderBy(F.desc("comments"), "number")
     top = items.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= F.when(F.col("is_pr"), pulls).otherwise(issues))
     counts = items.groupBy("repo").agg(F.count_if(~F.col("is_pr")).alias("n_issues"), F.count_if(F.col("is_pr")).alias("n_pulls"))
-    lines = top.groupBy("repo").agg(F.array_sort(F.collect_list(F.struct("is_pr", "n", format_repo_item().alias("line")))).alias("x"))
+    lines = top.groupBy("repo").agg(F.array_sort(F.collect_list(F.struct("is_pr", "n", format_repo_item(lang).alias("line")))).alias("x"))
     body = F.array_join(F.transform("x", lambda r: r["line"]), "\n")
     context = F.concat(F.lit("Issues "), sample_note(F.col("n_issues"), issues), F.lit(", PRs "), sample_note(F.col("n_pulls"), pulls), F.lit("\n"), body)
     return repos.join(counts.join(lines, "repo"), "repo", "left").select("repo", F.coalesce(context, F.lit("No activity")).alias("context"))
 
 
 def comparison_context(contexts: DataFrame) -> DataFrame:
-    """One text with a section for each repository, in order of name."""
+    """One text with a section for each repository, in order of name: repositories are those of a configured list."""
     section = F.concat(F.lit("## "), "repo", F.lit("\n"), "context")
     return contexts.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("repo", section.alias("s")))), lambda r: r["s"]), "\n\n").alias("context"))
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.dates import rfc822
 from ..functions.text import escape_xml, squeeze, truncated
 
 
@@ -26,11 +27,24 @@ def manifest(reports: DataFrame, order: Sequence[str]) -> DataFrame:
     return listed.select("date", F.transform("x", lambda s: s["r"]).alias("reports")).orderBy(F.desc("date"))
 
 
-def feed_items(reports: DataFrame, order: Sequence[str], limit: int = 30) -> DataFrame:
-    """The newest (date, report) pairs with a plain-text summary."""
+def report_link(order: Sequence[str], site: str = "") -> Column:
+    """The pool's own report, first in the order, has a page of its own; the others are places on the front page."""
+    own = F.concat(F.lit(f"{site}/digests/"), "date", F.lit("/"), "report_type", F.lit(".html"))
+    return F.when(F.col("report_type") == order[0], own).otherwise(F.concat(F.lit(f"{site}/#"), "date", F.lit("/"), "report_type"))
+
+
+def feed_items(reports: DataFrame, order: Sequence[str], limit: int = 30, site: str = "", labels: dict[str, str] | None = None) -> DataFrame:
+    """The newest (date, report) pairs: title (the report's label and date), link (also the guid), RFC-822 date of the
+    day and a plain-text summary."""
     text = squeeze(F.regexp_replace("content", r"<[^>]+>", ""))
+    label = F.col("report_type")
+    for name, shown in (labels or {}).items():
+        label = F.when(F.col("report_type") == name, shown).otherwise(label)
     first = reports.withColumn("_o", ordinal(F.col("report_type"), order)).orderBy(F.desc("date"), "_o", "report_type", "doc_id").limit(limit)
-    return first.select("date", "report_type", "doc_id", escape_xml(truncated(text, 500)).alias("summary"), F.concat(F.lit("#"), "date", F.lit("/"), "report_type").alias("link"))
+    return first.select(
+        "date", "report_type", "doc_id", escape_xml(F.concat_ws(" ", label, "date")).alias("title"), escape_xml(report_link(order, site)).alias("link"),
+        rfc822(F.to_timestamp("date", "yyyy-MM-dd")).alias("pub_date"), escape_xml(truncated(text, 500)).alias("summary"),
+    )
 
 
 def latest_dates(df: DataFrame, n: int) -> list[str]:
@@ -65,11 +79,20 @@ def selected_reports(reports: DataFrame) -> DataFrame:
 
 
 def daily_concat(reports: DataFrame, limit: int = 2000, separator: str = "\n\n---\n\n") -> DataFrame:
-    """Per date the texts in order of report, each cut to ``limit`` characters."""
+    """Per date the texts in order of report, each cut to ``limit`` characters. One row holds a day, so a day's reports
+    must be few (some thousands): it is the size of one digest. ``digest_parts`` has the same as rows."""
     part = F.struct("report_type", "doc_id", F.concat(F.lit("## "), "report_type", F.lit("\n"), F.substring("content", 1, limit)).alias("t"))
     return reports.groupBy("date").agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda p: p["t"]), separator).alias("body"))
 
 
+def digest_parts(reports: DataFrame, limit: int = 2000, per_part: int = 1000) -> DataFrame:
+    """(date, part, pos, text): what ``daily_concat`` joins, one row each, for days of any size; parts are cut by a hash
+    of the row, and (report_type, doc_id) orders all of a day."""
+    part = F.pmod(F.xxhash64("report_type", "doc_id"), F.greatest(F.lit(1), F.ceil(F.count("*").over(Window.partitionBy("date")) / per_part)))
+    text = F.concat(F.lit("## "), "report_type", F.lit("\n"), F.substring("content", 1, limit))
+    return reports.select("date", part.cast("int").alias("part"), F.struct("report_type", "doc_id").alias("pos"), text.alias("text"))
+
+
 def weekly(reports: DataFrame, days: int = 7, limit: int = 2000) -> DataFrame:
     return daily_concat(reports.filter(F.col("date").isin(latest_dates(reports, days))), limit)
 
@@ -85,8 +108,9 @@ def monthly(reports: DataFrame, month: str, limit: int = 3000, stride: int = 4,
 
 
 def search_topics(pool: DataFrame) -> DataFrame:
-    """Index rows of the pool: the source is the first evidence, 80 characters of it."""
-    return pool.select("title", "category", "score", "action", F.coalesce(F.substring(F.get("evidence", F.lit(0)), 1, 80), F.lit("")).alias("source")).orderBy(F.desc("score"), "title")
+    """Index rows of the pool: the source is the first evidence, 80 characters of it. Order is given where the index is
+    written or asked (``keyword_search``): sorting all of it here would be a shuffle for nothing."""
+    return pool.select("title", "category", "score", "action", F.coalesce(F.substring(F.get("evidence", F.lit(0)), 1, 80), F.lit("")).alias("source"))
 
 
 def search_excerpts(reports: DataFrame, limit: int = 600) -> DataFrame:

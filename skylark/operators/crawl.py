@@ -13,7 +13,7 @@ def crawl_diff(found: DataFrame, state: DataFrame, metadata_only: Sequence[str]
     Of a site without any state the newest ``first_run`` come."""
     known = state.select("site", "url", F.col("lastmod").alias("_old"))
     sites = state.select("site").distinct().withColumn("_known", F.lit(True))
-    rows = found.join(known, ["site", "url"], "left").join(F.broadcast(sites), "site", "left")
+    rows = found.join(known, ["site", "url"], "left").join(sites, "site", "left")
     newer = F.col("_old").isNotNull() & ~F.col("site").isin(*metadata_only) & (F.col("lastmod") > F.col("_old"))
     fresh = rows.filter(F.col("_old").isNull() | newer)
     w = Window.partitionBy("site").orderBy(F.desc_nulls_last("lastmod"), "url")

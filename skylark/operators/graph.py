@@ -72,9 +72,15 @@ def entity_info(app: DataFrame, contains: str, limit: int = 5) -> DataFrame:
     own = m.select("entity_id").distinct().filter(F.contains("entity_id", F.lit(contains.lower()))).join(m, "entity_id", "left")
     other = m.withColumnRenamed("entity_id", "other_id")
     related = own.join(other, "topic_id", "left").filter((F.col("other_id") != F.col("entity_id")) | F.col("other_id").isNull())
-    names = lambda c: F.array_join(F.slice(F.array_sort(F.collect_set(c)), 1, limit), ",")
-    t = own.groupBy("entity_id").agg(names("topic_id").alias("topics"))
-    return t.join(related.select("entity_id", "other_id").distinct().groupBy("entity_id").agg(names("other_id").alias("related")), "entity_id", "left").select("entity_id", "topics", F.coalesce("related", F.lit("")).alias("related"))
+
+    def first(rows: DataFrame, column: str, name: str) -> DataFrame:
+        """The first names of each entity: few rows reach the aggregate, however many it has."""
+        rank = F.row_number().over(Window.partitionBy("entity_id").orderBy(column))
+        few = rows.select("entity_id", column).filter(F.col(column).isNotNull()).distinct().withColumn("_n", rank).filter(F.col("_n") <= limit)
+        return few.groupBy("entity_id").agg(F.array_join(F.array_sort(F.collect_list(column)), ",").alias(name))
+
+    out = first(own, "topic_id", "topics").join(first(related, "other_id", "related"), "entity_id", "left")
+    return out.select("entity_id", "topics", F.coalesce("related", F.lit("")).alias("related"))
 
 
 def daily_overview(app: DataFrame, date: str, limit: int = 10) -> DataFrame:

@@ -126,18 +126,35 @@ def vector_topk_batch(rows: DataFrame, queries: DataFrame, k: int, group_rows: i
 
 
 def bm25(docs: DataFrame, terms: Sequence[str], key: str, text: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(key, score) of the rows that hold a term; term and document frequencies over all rows."""
+    """(key, score) of the rows that hold a term; term and document frequencies over all rows, as a scalar subquery of
+    the same plan, so nothing runs or is kept before the result is asked for."""
     words = docs.select(key, F.split(F.lower(text), r"[^\p{L}\p{N}]+").alias("_w"))
     base = words.select(key, F.size("_w").alias("len"), *[(F.size("_w") - F.size(F.array_remove("_w", t.lower()))).alias(f"tf{i}") for i, t in enumerate(terms)])
-    base = base.persist()  # a few numbers a row, read for the statistics and for the scores; texts are split once
-    stats = base.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]).first()
+    stats = base.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
+    stats = stats.select(F.struct("*")).scalar()
     score = F.lit(0.0)
     for i in range(len(terms)):
-        idf = F.log(F.lit(1 + (stats["n"] - stats[f"df{i}"] + 0.5) / (stats[f"df{i}"] + 0.5)))
-        score = score + idf * F.col(f"tf{i}") * (k1 + 1) / (F.col(f"tf{i}") + k1 * (1 - b + b * F.col("len") / F.lit(stats["avg_len"])))
+        idf = F.log(1 + (stats["n"] - stats[f"df{i}"] + 0.5) / (stats[f"df{i}"] + 0.5))
+        score = score + idf * F.col(f"tf{i}") * (k1 + 1) / (F.col(f"tf{i}") + k1 * (1 - b + b * F.col("len") / stats["avg_len"]))
     return base.select(key, score.alias("score")).filter("score > 0")
 
 
+def entity_search(entities: DataFrame, query: str) -> DataFrame:
+    """(entity_id, score): full-text match of the query's words with the entities' names."""
+    words = [w for w in re.split(r"[\W_]+", query.lower()) if w]
+    if not words:
+        return entities.select("entity_id", F.lit(0.0).alias("score")).limit(0)
+    return bm25(entities, sorted(set(words)), "entity_id", "name")
+
+
+def rendered_hits(hits: DataFrame, order: Sequence[Column | str], width: int = 200) -> DataFrame:
+    """(n, line) of a result list of (date, source, text, …): numbered, with date and source before the text's first
+    characters. A list of k hits, so one window over all is small."""
+    n = F.row_number().over(Window.orderBy(*order))
+    place = F.concat(F.lit(". ["), F.coalesce("date", F.lit("")), F.lit("/"), F.coalesce("source", F.lit("")), F.lit("] "))
+    return hits.withColumn("n", n).select("n", F.concat(F.col("n").cast("string"), place, F.substring(F.coalesce("text", F.lit("")), 1, width)).alias("line"))
+
+
 def fulltext_topics(entity_scores: DataFrame, mentions: DataFrame, topics: DataFrame, k: int) -> DataFrame:
     """Topics of the best matching entities: score is the entity's, best topic score first within it."""
     hit = entity_scores.join(mentions, "entity_id").groupBy("topic_id").agg(F.max("score").alias("score"))

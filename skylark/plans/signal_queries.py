@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from .. import rules as R
 from ..functions import dates as D
 from ..functions import text as X
-from ..operators import ranking, scoring
+from ..operators import ranking, scoring, signals
 from ..operators.assembly import by_score
+from ..sources import items
 from . import views as V
 from .registry import query, table
 
@@ -37,14 +38,61 @@ def topic_radar(spark, sf):
     return _card(_pool(spark, sf))
 
 
-@query("signals_union", _S + """SELECT source, source_type, 0 AS src_ord, item_ord, title FROM v_signals
-UNION ALL SELECT 'events', 'community', 1, event_id, event_type || '-' || user_id FROM events
-UNION ALL SELECT 'pages', 'official', 2, page_id, url FROM pages""")
+def _any_of(words, text):
+    return V._any([w.lower() for w in words], text)
+
+
+_NAME = "source || '/' || doc_id"
+_UNION = f"""d AS (SELECT *, left(text, 60) AS t60, doc_id % 10 AS k, 'https://example.org/' || doc_id AS u FROM documents), e AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS n FROM events),
+u AS (
+  SELECT 0 AS src_ord, doc_id AS item_ord, {_NAME} AS title, u AS url, 'GitHub Trending' AS source, 'github' AS source_type, text AS summary, NULL AS published_at, (doc_id % 50) || ',' || n_chars AS heat, lang AS tags FROM d WHERE k = 0
+  UNION ALL SELECT 1, min(doc_id), {_NAME.replace("doc_id", "(doc_id // 40)")}, 'https://example.org/' || min(doc_id), 'GitHub Search:q' || (min(doc_id) % 6), 'github', arg_min(CASE WHEN doc_id % 20 = 1 THEN '' ELSE text END, doc_id), '2024-01-20T00:00:00Z', arg_min(n_chars, doc_id)::VARCHAR,
+    arg_min(CASE WHEN doc_id % 30 = 1 THEN '' ELSE lang || ',' END, doc_id) || 'q' || (min(doc_id) % 6) FROM d WHERE k = 1 GROUP BY source, doc_id // 40
+  UNION ALL SELECT 2, event_id, event_type || '-' || user_id, CASE WHEN event_id % 4 = 0 THEN 'https://news.ycombinator.com/item?id=' || user_id || event_type ELSE 'https://example.org/e' || event_id END, 'Hacker News', 'community', 'HN discussion by u' || user_id,
+    strftime(ts, '%Y-%m-%dT%H:%M:%S.000Z'), floor(value)::INT || ',' || CASE WHEN event_id % 3 = 0 THEN 0 ELSE event_id % 100 END, 'community,discussion' FROM e WHERE n = 1
+  UNION ALL SELECT 3, doc_id, t60, CASE WHEN doc_id % 20 = 2 THEN u ELSE u || '/site' END, 'Product Hunt', 'product', left(text, 100), '2024-01-31', n_chars || ',' || doc_id % 7, lang || ',AI' FROM d WHERE k = 2 AND doc_id % 3 <> 0
+  UNION ALL SELECT 4, doc_id, t60, u, 'ArXiv', 'research', text, '2024-01-30', '', lang || ',' || source FROM d WHERE k = 3
+  UNION ALL SELECT 5, doc_id, {_NAME}, 'https://huggingface.co/' || {_NAME}, 'Hugging Face', 'model', CASE WHEN doc_id % 20 = 4 THEN '' ELSE lang END || ' model by ' || source, '', n_chars || ',' || doc_id % 1000, concat_ws(',', nullif(CASE WHEN doc_id % 20 = 4 THEN '' ELSE lang END, ''), CASE WHEN doc_id % 3 = 0 THEN source END) FROM d WHERE k = 4
+  UNION ALL SELECT 6, page_id, url, url, 'Site ' || (page_id % 3), 'official', left(html, 80), NULL, '', 'site' || (page_id % 3) || ',article' FROM pages
+  UNION ALL SELECT 7, doc_id, t60, u, '36kr', 'community', text, '2024-01-31', '', '36kr,中国AI' FROM d WHERE k = 5 AND {_any_of(R.NEWS_KEYWORDS, "lower(t60 || ' ' || text)")}
+  UNION ALL SELECT 8, doc_id, t60, CASE WHEN doc_id % 20 = 6 THEN 'https://www.infoq.cn/article/x' || doc_id ELSE u END, 'InfoQ 中国', 'community', left(text, 500), '2024-01-01T00:00:' || lpad((doc_id % 60)::VARCHAR, 2, '0') || '.000Z', '', 'infoq-cn,' || lang FROM d WHERE k = 6 AND {_any_of(R.ARTICLE_KEYWORDS, "lower(t60 || ' ' || text || ' ' || lang)")}
+  UNION ALL SELECT 9, doc_id, {_NAME}, u, 'Gitee', 'github', CASE WHEN doc_id % 20 = 7 THEN '' ELSE text END, '2024-01-31', n_chars || ',' || doc_id % 9, 'gitee,' || lang FROM d WHERE k = 7 AND {_any_of(R.PROJECT_KEYWORDS, "lower(source || ' ' || CASE WHEN doc_id % 20 = 7 THEN '' ELSE text END)")}
+  UNION ALL SELECT 10, doc_id, t60, u, '开源中国', 'community', text, '2024-01-31', '', 'oschina,中国AI' FROM d WHERE k = 8 AND {_any_of(R.PROJECT_NEWS_KEYWORDS, "lower(t60 || ' ' || text)")}
+  UNION ALL SELECT 11, doc_id, t60, 'https://juejin.cn/post/' || doc_id, '掘金', 'community', left(text, 500), '2024-01-01T00:00:' || lpad((doc_id % 60)::VARCHAR, 2, '0') || '.000Z', n_chars || ',' || doc_id % 11, 'juejin,' || lang FROM d WHERE k = 9)"""
+
+
+@query("signals_union", f"WITH {_UNION} SELECT src_ord, item_ord, title, url, source, source_type, md5(summary) AS summary_md5, published_at, heat, tags FROM u")
 def signals_union(spark, sf):
-    d = V.signals(spark, sf).select("source", "source_type", F.lit(0).alias("src_ord"), "item_ord", "title")
-    e = table(spark, sf, "events").select(F.lit("events").alias("source"), F.lit("community").alias("source_type"), F.lit(1).alias("src_ord"), F.col("event_id").alias("item_ord"), F.concat("event_type", F.lit("-"), F.col("user_id").cast("string")).alias("title"))
-    p = table(spark, sf, "pages").select(F.lit("pages").alias("source"), F.lit("official").alias("source_type"), F.lit(2).alias("src_ord"), F.col("page_id").alias("item_ord"), F.col("url").alias("title"))
-    return d.unionByName(e).unionByName(p)
+    """All twelve inputs, landed rows made of the tables, through their normalisers (without cuts) and the union."""
+    s = signals.normalize_signals(_inputs(spark, sf))
+    shown = F.array_join(F.transform("heat_signals", lambda h: h.cast("long").cast("string")), ",")
+    return s.select("src_ord", "item_ord", "title", "url", "source", "source_type", F.md5("summary").alias("summary_md5"), "published_at", shown.alias("heat"), F.array_join("tags", ",").alias("tags"))
+
+
+def _inputs(spark, sf):
+    n, lang, source, text = (F.col(c) for c in ("doc_id", "lang", "source", "text"))
+    d = table(spark, sf, "documents").select("*", n.alias("item_ord"), F.substring("text", 1, 60).alias("title"), F.concat(F.lit("https://example.org/"), n.cast("string")).alias("url"), F.concat(source, F.lit("/"), n.cast("string")).alias("name"))
+    kind, no = lambda k: d.filter(n % 10 == k), F.lit(None).cast("string")
+    unless = lambda m, k, x: F.when(n % m != k, x)
+    node = lambda **c: F.struct(*[v.alias(k) for k, v in c.items()])
+    e = table(spark, sf, "events")
+    p = table(spark, sf, "pages")
+    site = (F.col("page_id") % 3).cast("string")
+    topic = lambda slug, name: node(node=node(slug=slug, name=name))
+    return {
+        "trending": kind(0).select("item_ord", F.col("name").alias("full_name"), "url", text.alias("description"), lang.alias("language"), (n % 50).alias("today_stars"), F.col("n_chars").alias("total_stars")),
+        "search": items.search_repos(kind(1).select("item_ord", F.concat(source, F.lit("/"), F.floor(n / 40).cast("string")).alias("full_name"), unless(20, 1, text).alias("description"), unless(30, 1, lang).alias("language"), F.col("n_chars").alias("stargazers_count"), F.lit("2024-01-20T00:00:00Z").alias("pushed_at"), F.col("url").alias("html_url"), F.concat(F.lit("q"), (n % 6).cast("string")).alias("search_query"))),
+        "stories": items.stories(e.select(F.col("event_id").alias("item_ord"), F.concat(F.col("user_id").cast("string"), "event_type").alias("id"), F.concat("event_type", F.lit("-"), F.col("user_id").cast("string")).alias("title"), F.when(F.col("event_id") % 4 != 0, F.concat(F.lit("https://example.org/e"), F.col("event_id").cast("string"))).alias("url"), F.floor("value").alias("points"), F.when(F.col("event_id") % 3 != 0, F.col("event_id") % 100).alias("num_comments"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("author"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.000'Z'").alias("created_at")), limit=None),
+        "products": items.products(kind(2).select("item_ord", node(id=n, name=F.col("title"), tagline=F.substring("text", 1, 100), url=F.col("url"), website=F.when(n % 20 != 2, F.concat("url", F.lit("/site"))).otherwise(""), votes_count=F.col("n_chars"), comments_count=n % 7, created_at=F.lit("2024-01-31"), topics=node(edges=F.array(topic(lang, lang), topic(F.when(n % 3 != 0, "llm").otherwise("games"), F.lit("AI"))))).alias("node")), limit=None),
+        "papers": kind(3).select("item_ord", "title", "url", text.alias("summary"), F.lit("2024-01-30").alias("published"), F.array(lang, source).alias("categories")),
+        "models": items.models(kind(4).select("item_ord", F.col("name").alias("id"), no.alias("author"), F.col("n_chars").alias("likes"), (n % 1000).alias("downloads"), F.when(n % 3 == 0, F.array(source)).alias("tags"), unless(20, 4, lang).alias("pipeline_tag"), no.alias("last_modified"))),
+        "official": p.select(F.col("page_id").alias("item_ord"), F.col("url").alias("title"), "url", F.substring("html", 1, 80).alias("content"), no.alias("lastmod"), F.concat(F.lit("Site "), site).alias("site_name"), F.concat(F.lit("site"), site).alias("site"), F.lit("article").alias("category")),
+        "news": items.about(kind(5).select("item_ord", "title", "url", text.alias("summary"), F.lit("2024-01-31").alias("published_at")), R.NEWS_KEYWORDS, "title", "summary"),
+        "topic_articles": items.topic_articles(kind(6).select("item_ord", n.alias("id"), F.concat(F.lit("x"), n.cast("string")).alias("uuid"), "title", unless(20, 6, F.col("url")).alias("url"), text.alias("description"), F.lit(None).cast("struct<name:string,nickname:string>").alias("author"), (F.lit(1704067200) + n % 60).alias("publish_time"), F.array(lang).alias("topics")), limit=None),
+        "projects": items.projects(kind(7).select("item_ord", n.alias("id"), source.alias("name"), F.col("name").alias("full_name"), F.col("url").alias("html_url"), unless(20, 7, text).alias("description"), lang.alias("language"), F.col("n_chars").alias("stargazers_count"), (n % 9).alias("forks_count"), F.lit("2024-01-31").alias("updated_at"), node(path=source).alias("namespace")), limit=None),
+        "project_news": items.about(kind(8).select("item_ord", "title", "url", text.alias("summary"), F.lit("2024-01-31").alias("published_at")), R.PROJECT_NEWS_KEYWORDS, "title", "summary"),
+        "hot_articles": items.hot_articles(kind(9).select("item_ord", n.cast("string").alias("article_id"), node(title=F.col("title"), brief_content=text, digg_count=F.col("n_chars"), view_count=n % 11, publish_time=F.lit(1704067200) + n % 60).alias("article_info"), node(user_name=source).alias("author_user_info"), F.array(node(tag_name=lang)).alias("tags")), limit=None),
+    }
 
 
 @query("has_any_keyword", f"SELECT doc_id, {V._any(RULES.policy, 'lower(text)')} AS policy, {V._any(RULES.enterprise, 'lower(text)')} AS enterprise FROM documents")
@@ -198,14 +246,16 @@ def date_keys(spark, sf):
     return table(spark, sf, "events").select("event_id", D.business_date(ts).alias("day"), D.minute_utc(ts).alias("minute"), D.rfc822(ts).alias("rfc"), D.iso_week(ts).alias("week"))
 
 
-_ITEM = """'#' || number || ' [' || upper(state) || '] [' || title || '] ' || login || chr(10) || '  Author: ' || login || ' | Created: ' || strftime(created_at, '%Y-%m-%d') || ' | Comments: ' || comments || chr(10) || '  URL: ' || repo || CASE WHEN is_pr THEN ' PR #' ELSE ' Issue #' END || number"""
+_ITEM = """'#' || number || ' [' || upper(state) || ']' || labels || ' ' || title || chr(10) || '  Author: ' || login || ' | Created: ' || strftime(created_at, '%Y-%m-%d') || ' | Updated: ' || strftime(updated_at, '%Y-%m-%d')
+  || ' | Comments: ' || comments || ' | 👍: ' || thumbs || chr(10) || '  URL: org/' || repo || CASE WHEN is_pr THEN ' PR #' ELSE ' Issue #' END || number || chr(10)
+  || '  Summary: ' || left(trim(replace(body, chr(10), ' ')), 300) || CASE WHEN len(body) > 300 THEN '...' ELSE '' END"""
 
 
 @query("format_item", f"WITH {V.REPO_SQL} SELECT number, {_ITEM} AS line FROM v_items")
 def format_item(spark, sf):
     from ..operators.assembly import format_repo_item
 
-    return V.repo_items(spark, sf).select("number", format_repo_item().alias("line"))
+    return V.repo_items(spark, sf).select("number", format_repo_item("en").alias("line"))
 
 
 @query("entity_type", f"""SELECT DISTINCT tag, CASE WHEN tag IN ('click', 'u1') THEN 'company' WHEN contains(tag, 'u2') OR contains(tag, 'ie') THEN 'technology' WHEN contains(tag, 'u') THEN 'project' ELSE 'topic_tag' END AS kind
@@ -231,26 +281,31 @@ def fenced_json(spark, sf):
 
 @query("src_topn_dedup", "SELECT id, event_id, value FROM (SELECT user_id AS id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events WHERE event_type IN ('click', 'view', 'purchase')) WHERE n = 1 ORDER BY value DESC, id LIMIT 30")
 def src_topn_dedup(spark, sf):
-    e = table(spark, sf, "events").filter(F.col("event_type").isin("click", "view", "purchase")).select(F.col("user_id").alias("id"), "event_id", "value")
-    return ranking.top_n(ranking.keep_first(e, ["id"], ["event_id"]), 30, F.desc("value"), "id")
+    e = table(spark, sf, "events").filter(F.col("event_type").isin("click", "view", "purchase"))
+    hits = e.select(F.col("event_id").alias("item_ord"), F.col("user_id").alias("id"), F.lit("t").alias("title"), F.lit("u").alias("url"), F.col("value").alias("points"), F.lit(0).alias("num_comments"), F.lit("a").alias("author"), F.lit("").alias("created_at"))
+    return items.stories(hits, limit=30).select("id", F.col("item_ord").alias("event_id"), F.col("points").alias("value"))
 
 
 @query("src_nested_slug_filter", "SELECT event_id, value FROM events WHERE list_has_any([event_type, 'u' || (user_id % 30)], ['purchase', 'u3', 'u7']) ORDER BY value DESC, event_id LIMIT 30")
 def src_nested_slug_filter(spark, sf):
-    a = table(spark, sf, "events").withColumn("slugs", F.array(F.col("event_type"), F.concat(F.lit("u"), (F.col("user_id") % 30).cast("string"))))
-    kept = a.filter(F.arrays_overlap("slugs", F.array(F.lit("purchase"), F.lit("u3"), F.lit("u7"))))
-    return ranking.top_n(kept.select("event_id", "value"), 30, F.desc("value"), "event_id")
+    edge = lambda slug: F.struct(F.struct(slug.alias("slug"), slug.alias("name")).alias("node"))
+    topics = F.struct(F.array(edge(F.col("event_type")), edge(F.concat(F.lit("u"), (F.col("user_id") % 30).cast("string")))).alias("edges"))
+    node = F.struct(F.col("event_id").alias("id"), F.lit("n").alias("name"), F.lit("t").alias("tagline"), F.lit("u").alias("url"), F.lit("").alias("website"), F.col("value").alias("votes_count"), F.lit(0).alias("comments_count"), F.lit("").alias("created_at"), topics.alias("topics"))
+    edges = table(spark, sf, "events").select(F.col("event_id").alias("item_ord"), node.alias("node"))
+    return items.products(edges, slugs=("purchase", "u3", "u7")).select(F.col("id").alias("event_id"), F.col("votes_count").alias("value"))
 
 
 @query("src_default_fields", "SELECT p_partkey, coalesce(nullif(CASE WHEN contains(p_name, ' ') THEN split_part(p_name, ' ', 1) ELSE '' END, ''), 'unknown') AS author, coalesce(nullif(p_brand, ''), 'none') AS pipeline FROM part")
 def src_default_fields(spark, sf):
-    author = F.when(F.contains("p_name", F.lit(" ")), F.split_part(F.col("p_name"), F.lit(" "), F.lit(1)))
-    return table(spark, sf, "part").select("p_partkey", F.coalesce(F.nullif(author, F.lit("")), F.lit("unknown")).alias("author"), F.coalesce(F.nullif(F.col("p_brand"), F.lit("")), F.lit("none")).alias("pipeline"))
+    name = F.when(F.contains("p_name", F.lit(" ")), F.split_part(F.col("p_name"), F.lit(" "), F.lit(1)))
+    rows = table(spark, sf, "part").select(F.col("p_partkey").alias("item_ord"), F.concat(F.nullif(name, F.lit("")), F.lit("/x")).alias("id"), F.lit(None).cast("string").alias("author"), F.lit(0).alias("likes"), F.lit(0).alias("downloads"), F.lit(None).cast("array<string>").alias("tags"), F.nullif(F.col("p_brand"), F.lit("")).alias("pipeline_tag"), F.lit(None).cast("string").alias("last_modified"))
+    return items.models(rows).select(F.col("item_ord").alias("p_partkey"), "author", F.coalesce(F.nullif(F.col("pipeline_tag"), F.lit("")), F.lit("none")).alias("pipeline"))
 
 
 @query("src_keyword_filter", f"SELECT doc_id, source FROM documents WHERE {V._any(RULES.policy + RULES.model, 'lower(text)')} ORDER BY doc_id LIMIT 30")
 def src_keyword_filter(spark, sf):
-    return table(spark, sf, "documents").filter(X.has_any(F.col("text"), RULES.policy + RULES.model)).select("doc_id", "source").orderBy("doc_id").limit(30)
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("item_ord"), F.col("doc_id").alias("id"), F.lit("x").alias("uuid"), F.lit("").alias("title"), F.lit("u").alias("url"), F.col("text").alias("description"), F.struct(F.lit("").alias("name"), F.col("source").alias("nickname")).alias("author"), F.lit(0).alias("publish_time"), F.lit(None).cast("array<string>").alias("topics"))
+    return items.topic_articles(d, keywords=RULES.policy + RULES.model, limit=30).select(F.col("item_ord").alias("doc_id"), F.col("author").alias("source"))
 
 
 @query("src_early_cut_then_sort", "SELECT * FROM (SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderpriority LIKE '1%' ORDER BY o_orderkey LIMIT 30) ORDER BY o_totalprice DESC")
@@ -262,12 +317,28 @@ def src_early_cut_then_sort(spark, sf):
 @query("src_window_topn", f"SELECT event_id, value FROM events WHERE ts > {_LAST} - INTERVAL 168 HOURS ORDER BY value DESC, event_id LIMIT 20")
 def src_window_topn(spark, sf):
     e = table(spark, sf, "events")
-    return ranking.top_n(ranking.recent(e, "ts", F.lit(e.agg(F.max("ts")).first()[0]), oldest="168 hours").select("event_id", "value"), 20, F.desc("value"), "event_id")
+    now = F.lit(e.agg(F.max("ts")).first()[0])
+    rows = e.select(F.col("event_id").alias("item_ord"), F.col("event_id").alias("short_id"), F.lit("t").alias("title"), F.lit("").alias("url"), F.lit("c").alias("comments_url"), F.col("value").alias("score"), F.lit(0).alias("comment_count"), F.struct(F.lit("u").alias("username")).alias("submitter_user"), F.col("ts").cast("string").alias("created_at"), F.array(F.lit("ai")).alias("tags"))
+    return items.community_stories(rows, now).select(F.col("item_ord").alias("event_id"), F.col("score").alias("value"))
 
 
 @query("repo_recent_items", f"WITH {V.REPO_SQL} SELECT number, repo, is_pr, comments FROM v_items WHERE created_at >= TIMESTAMP '1997-06-01'")
 def repo_recent_items(spark, sf):
-    return V.repo_items(spark, sf).filter(F.col("created_at") >= F.lit("1997-06-01").cast("timestamp")).select("number", "repo", "is_pr", "comments")
+    rows = V.repo_items(spark, sf).withColumn("updated_at", F.col("created_at").cast("string"))
+    return items.recent_items(rows, F.lit("1997-06-01").cast("timestamp"), per_repo=None).select("number", "repo", "is_pr", "comments")
+
+
+@query("repo_popular_items", f"WITH {V.REPO_SQL} SELECT repo, number, is_pr, comments FROM (SELECT *, row_number() OVER (PARTITION BY repo, is_pr ORDER BY comments DESC, number) AS n FROM v_items WHERE NOT is_pr OR state = 'open') WHERE n <= 50")
+def repo_popular_items(spark, sf):
+    """Skills repositories: no window, most commented first."""
+    return items.popular_items(V.repo_items(spark, sf)).select("repo", "number", "is_pr", "comments")
+
+
+@query("repo_newest_items", f"WITH {V.REPO_SQL} SELECT repo, number, is_pr FROM (SELECT *, row_number() OVER (PARTITION BY repo, is_pr ORDER BY updated_at DESC, number) AS n FROM v_items WHERE updated_at >= DATE '1996-01-01') WHERE n <= 500")
+def repo_newest_items(spark, sf):
+    """The page cap: the newest 500 of each repository and kind."""
+    rows = V.repo_items(spark, sf).withColumn("updated_at", F.col("updated_at").cast("string"))
+    return items.recent_items(rows, F.lit("1996-01-01").cast("timestamp")).select("repo", "number", "is_pr")
 
 
 @query("source_counts", "SELECT source, count(*) AS n, count(*) > 0 AS has_any, sum(count(*)) OVER ()::BIGINT AS total FROM documents GROUP BY source")
@@ -290,7 +361,7 @@ def src_rss_items(spark, sf):
 
     title = F.regexp_replace(F.regexp_replace("text", "[<>]", ""), r"[ \n]+", " ").substr(1, 60)
     item = F.concat(F.lit("<item><title><![CDATA["), title, F.lit("]]></title><link>https://example.org/"), F.col("doc_id").cast("string"), F.lit("</link><author>"), "source", F.lit("</author></item>"))
-    feeds = table(spark, sf, "documents").groupBy("source", (F.col("doc_id") % 1000).alias("part")).agg(F.array_join(F.collect_list(item), "").alias("value"))
+    feeds = table(spark, sf, "documents").groupBy("source", F.floor(F.col("doc_id") / 1000).alias("part")).agg(F.array_join(F.collect_list(item), "").alias("value"))
     return rss_items(feeds, trim=False).select(F.regexp_extract("link", r"(\d+)$", 1).cast("long").alias("doc_id"), "author", "title")
 
 
@@ -299,7 +370,7 @@ def src_atom_entries(spark, sf):
     from ..sources.landed import atom_entries
 
     entry = F.concat(F.lit("<entry><id>"), F.col("doc_id").cast("string"), F.lit('</id><title>t</title><summary> a\n b </summary><category term="'), "lang", F.lit('"/></entry>'))
-    feeds = table(spark, sf, "documents").groupBy((F.col("doc_id") % 500).alias("part")).agg(F.array_join(F.collect_list(entry), "").alias("value"))
+    feeds = table(spark, sf, "documents").groupBy(F.floor(F.col("doc_id") / 500).alias("part")).agg(F.array_join(F.collect_list(entry), "").alias("value"))
     return atom_entries(feeds).select(F.col("id").cast("long").alias("doc_id"), F.get("categories", F.lit(0)).alias("category"))
 
 
@@ -309,5 +380,5 @@ def sitemap_urls(spark, sf):
 
     s = V.sitemap(spark, sf)
     block = F.concat(F.lit("<url><loc>"), X.escape_xml(F.col("url")), F.lit("</loc>"), F.coalesce(F.concat(F.lit("<lastmod>"), "lastmod", F.lit("</lastmod>")), F.lit("")), F.lit("</url>"))
-    maps = s.groupBy("site", (F.col("page_id") % 200).alias("part")).agg(F.array_join(F.collect_list(block), "\n").alias("value"))
+    maps = s.groupBy("site", F.floor(F.col("page_id") / 600).alias("part")).agg(F.array_join(F.collect_list(block), "\n").alias("value"))
     return urls(maps).select("url", "lastmod")

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from .. import rules as R
 from ..functions import text as X
 from ..operators import assembly, catalog, crawl, graph, retrieval, store
+from ..sources import landed, sinks
 from ..streaming import streams
 from . import views as V
-from .registry import query, table
+from .registry import query, scratch, table
 
 _A, _R, _I, _T, _M = (f"WITH {s} " for s in (V.APPEARANCES_SQL, V.REPORTS_SQL, V.REPO_SQL, V.STORE_SQL, V.SITEMAP_SQL))
 RULES = R.CORPUS_RULES
@@ -107,18 +105,28 @@ def daily_concat(spark, sf):
     return catalog.daily_concat(V.reports(spark, sf)).select("date", F.md5("body").alias("body_md5"))
 
 
-_ORD = "CASE report_type WHEN 'ai-weekly' THEN 11 ELSE 13 END"
+#: The order of reports, and reports of all its names (and one that is not in it), base and -en.
+_ORDER = R.report_order("pool-report")
+_NAMES = (*_ORDER, "ai-other")
+_NAMED = f"""v_named AS (SELECT doc_id, date, content, ([{", ".join(f"'{n}'" for n in _NAMES)}])[(doc_id // 30) % {len(_NAMES)} + 1] || CASE WHEN doc_id % 4 = 1 THEN '-en' ELSE '' END AS report_type FROM v_reports)"""
+_ORD = f"coalesce(list_position([{', '.join(f"'{n}'" for n in _ORDER)}], regexp_replace(report_type, '-en$', '')), 99)"
+
+
+def _named_reports(spark, sf):
+    name = F.element_at(F.array(*[F.lit(n) for n in _NAMES]), (F.floor(F.col("doc_id") / 30) % len(_NAMES) + 1).cast("int"))
+    return V.reports(spark, sf).withColumn("report_type", F.concat(name, F.when(F.col("doc_id") % 4 == 1, "-en").otherwise("")))
 
 
-@query("manifest", _R + f"SELECT date, string_agg(report_type, ',' ORDER BY o, report_type) AS reports FROM (SELECT DISTINCT date, report_type, {_ORD} AS o FROM v_reports) GROUP BY date")
+@query("manifest", _R + f", {_NAMED} SELECT date, string_agg(report_type, ',' ORDER BY o, report_type) AS reports FROM (SELECT DISTINCT date, report_type, {_ORD} AS o FROM v_named) GROUP BY date")
 def manifest(spark, sf):
-    return catalog.manifest(V.reports(spark, sf), R.REPORT_ORDER).select("date", F.array_join("reports", ",").alias("reports"))
+    return catalog.manifest(_named_reports(spark, sf), _ORDER).select("date", F.array_join("reports", ",").alias("reports"))
 
 
-@query("feed_items", _R + f"""SELECT date, report_type, doc_id, replace(replace(replace(replace(CASE WHEN len(t) > 500 THEN left(t, 500) || '...' ELSE t END, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS summary, '#' || date || '/' || report_type AS link
-FROM (SELECT *, trim(regexp_replace(regexp_replace(content, '<[^>]+>', '', 'g'), '\\s+', ' ', 'g')) AS t FROM v_reports) ORDER BY date DESC, {_ORD}, report_type, doc_id LIMIT 30""")
+@query("feed_items", _R + f""", {_NAMED} SELECT date, report_type, doc_id, CASE report_type WHEN 'ai-hn' THEN 'Stories &amp; talk' ELSE report_type END || ' ' || date AS title, strftime(date::DATE, '%a, %d %b %Y') || ' 00:00:00 +0000' AS pub_date, replace(replace(replace(replace(CASE WHEN len(t) > 500 THEN left(t, 500) || '...' ELSE t END, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS summary,
+  'https://example.org/' || CASE report_type WHEN 'pool-report' THEN 'digests/' || date || '/pool-report.html' ELSE '#' || date || '/' || report_type END AS link
+FROM (SELECT *, trim(regexp_replace(regexp_replace(content, '<[^>]+>', '', 'g'), '\\s+', ' ', 'g')) AS t FROM v_named) ORDER BY date DESC, {_ORD}, report_type, doc_id LIMIT 30""")
 def feed_items(spark, sf):
-    return catalog.feed_items(V.reports(spark, sf), R.REPORT_ORDER)
+    return catalog.feed_items(_named_reports(spark, sf), _ORDER, site="https://example.org", labels={"ai-hn": "Stories & talk"})
 
 
 @query("search_index_topics", f"WITH {V.SIGNALS_SQL} SELECT title, category, score, action, left(evidence[1], 80) AS source FROM v_pool")
@@ -283,10 +291,15 @@ def vector_topk_batch_all(spark, sf):
 
 
 _TERMS = ("the", "license", "erin")
-_W = "regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')"
-_BM25 = f"""b AS (SELECT doc_id, len({_W})::DOUBLE AS len, {", ".join(f"len(list_filter({_W}, lambda w: w = '{t}'))::DOUBLE AS tf{i}" for i, t in enumerate(_TERMS))} FROM documents),
-s AS (SELECT count(*)::DOUBLE AS n, avg(len) AS avg_len, {", ".join(f"count(*) FILTER (tf{i} > 0)::DOUBLE AS df{i}" for i in range(len(_TERMS)))} FROM b),
-bm AS (SELECT doc_id, {" + ".join(f"ln(1 + (n - df{i} + 0.5) / (df{i} + 0.5)) * tf{i} * 2.2::DOUBLE / (tf{i} + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avg_len))" for i in range(len(_TERMS)))} AS score FROM b, s)"""
+def _bm25(docs, key, text, terms):
+    """CTEs b, s and bm: BM25 of the terms over a table."""
+    w = f"regexp_split_to_array(lower({text}), '[^\\p{{L}}\\p{{N}}]+')"
+    return f"""b AS (SELECT {key}, len({w})::DOUBLE AS len, {", ".join(f"len(list_filter({w}, lambda w: w = '{t}'))::DOUBLE AS tf{i}" for i, t in enumerate(terms))} FROM {docs}),
+s AS (SELECT count(*)::DOUBLE AS n, avg(len) AS avg_len, {", ".join(f"count(*) FILTER (tf{i} > 0)::DOUBLE AS df{i}" for i in range(len(terms)))} FROM b),
+bm AS (SELECT {key}, {" + ".join(f"ln(1 + (n - df{i} + 0.5) / (df{i} + 0.5)) * tf{i} * 2.2::DOUBLE / (tf{i} + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avg_len))" for i in range(len(terms)))} AS score FROM b, s)"""
+
+
+_BM25 = _bm25("documents", "doc_id", "text", _TERMS)
 
 
 @query("fulltext_docs", f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score FROM bm WHERE score > 0")
@@ -294,13 +307,13 @@ def fulltext_docs(spark, sf):
     return retrieval.bm25(table(spark, sf, "documents"), _TERMS, "doc_id", "text").select("doc_id", F.round("score", 6).alias("score"))
 
 
-@query("fulltext_topics", _A + f""", e AS (SELECT entity_id, len(entity_id)::DOUBLE AS score FROM (SELECT DISTINCT entity_id FROM {_MENTIONS}) WHERE contains(entity_id, 'u2') OR contains(entity_id, 'click'))
-SELECT h.topic_id, h.score, t.total_score FROM (SELECT topic_id, max(score) AS score FROM e JOIN {_MENTIONS} m ON m.entity_id = e.entity_id GROUP BY 1) h JOIN {_TOPICS} t ON t.topic_id = h.topic_id ORDER BY h.score DESC, t.total_score DESC, h.topic_id LIMIT 20""")
+@query("fulltext_topics", _A + f""", ents AS (SELECT DISTINCT entity_id FROM {_MENTIONS}), {_bm25("ents", "entity_id", "entity_id", ("click", "u12", "u7"))}, e AS (SELECT * FROM bm WHERE score > 0)
+SELECT h.topic_id, round(h.score, 6) AS score, t.total_score FROM (SELECT topic_id, max(score) AS score FROM e JOIN {_MENTIONS} m ON m.entity_id = e.entity_id GROUP BY 1) h JOIN {_TOPICS} t ON t.topic_id = h.topic_id ORDER BY h.score DESC, t.total_score DESC, h.topic_id LIMIT 20""")
 def fulltext_topics(spark, sf):
     a = V.appearances(spark, sf)
     m = graph.mentions(a)
-    scores = m.select("entity_id").distinct().filter(F.contains("entity_id", F.lit("u2")) | F.contains("entity_id", F.lit("click"))).select("entity_id", F.length("entity_id").cast("double").alias("score"))
-    return retrieval.fulltext_topics(scores, m, graph.topics(a), 20).select("topic_id", "score", "total_score")
+    scores = retrieval.entity_search(m.select("entity_id", F.col("entity_id").alias("name")).distinct(), "u7 Click, u12!")
+    return retrieval.fulltext_topics(scores, m, graph.topics(a), 20).select("topic_id", F.round("score", 6).alias("score"), "total_score")
 
 
 def _lists(spark, sf):
@@ -334,6 +347,15 @@ def hybrid_search(spark, sf):
     return retrieval.hybrid_search(a, b, 10)
 
 
+@query("search_rendered", f"""WITH {_BM25} SELECT row_number() OVER (ORDER BY score DESC, doc_id)::INT AS n, row_number() OVER (ORDER BY score DESC, doc_id) || '. [2024-01-' || lpad((doc_id % 30 + 1)::VARCHAR, 2, '0') || '/' || source || '] ' || left(text, 200) AS line
+FROM (SELECT bm.doc_id, score, source, text FROM bm JOIN documents USING (doc_id) WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 5)""")
+def search_rendered(spark, sf):
+    d = table(spark, sf, "documents")
+    best = retrieval.bm25(d, _TERMS, "doc_id", "text").orderBy(F.desc("score"), "doc_id").limit(5)
+    hits = best.join(d.select("doc_id", "source", "text"), "doc_id").withColumn("date", F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 30).cast("int")), "yyyy-MM-dd"))
+    return retrieval.rendered_hits(hits, [F.desc("score"), "doc_id"])
+
+
 _KW = ("the", "license", "heble")
 _HITS = "(" + " + ".join(f"CASE WHEN contains(lower(text), '{w}') THEN 1 ELSE 0 END" for w in _KW) + ")::INT"
 
@@ -359,7 +381,7 @@ def _index(spark, sf):
 
     s = score_signals(V.signals(spark, sf), V.now(), RULES)
     day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("item_ord") % 30).cast("int")), "yyyy-MM-dd")
-    return s.select("title", "category", F.substring(F.get("evidence", F.lit(0)), 1, 80).alias("source"), "reason", F.array_join("evidence", " ").alias("evidence"), "score", day.alias("date"), "item_ord").persist()  # the search index is a table of its own, made once
+    return s.select("title", "category", F.substring(F.get("evidence", F.lit(0)), 1, 80).alias("source"), "reason", F.array_join("evidence", " ").alias("evidence"), "score", "action", day.alias("date"), "item_ord")
 
 
 def _h(text):
@@ -474,49 +496,71 @@ def report_links(spark, sf):
     return assembly.report_links(d.select(day.alias("date"), F.concat(F.lit("ai-"), "source", F.when(F.col("lang") == "en", "-en").otherwise("")).alias("report_type")))
 
 
-# streams ---------------------------------------------------------------------------------------------------------
-def _scratch(spark):
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skylark-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+# scans -----------------------------------------------------------------------------------------------------------
+@query("pool_scan", f"WITH {V.SIGNALS_SQL} SELECT strftime(DATE '2024-01-01' + (item_ord % 30)::INT, '%Y-%m-%d') AS date, title, category, score, action FROM v_pool")
+def pool_scan(spark, sf):
+    """The pool written as dated JSON and read back."""
+    at = f"{scratch(spark)}/pool"
+    sinks.write_pool_files(_index(spark, sf).withColumn("url", F.lit("")).withColumn("summary", F.lit("")).withColumn("evidence", F.array("source")).drop("item_ord"), at)
+    return landed.scan_pool(spark.read, at, multi_line=False).select(F.col("date").cast("string").alias("date"), "title", "category", "score", "action")
 
 
-def _stream(spark, sf, name):
-    """The driver's table as a stream of its files."""
-    schema = table(spark, sf, name).schema
-    return streams.read_files(spark, sf, schema, glob=f"{name}.parquet") if not _is_folder(spark, f"{sf}/{name}.parquet") else streams.read_files(spark, f"{sf}/{name}.parquet", schema)
+@query("report_scan", _R + f", {_NAMED}, one AS (SELECT date, report_type, min(doc_id) AS doc_id FROM v_named WHERE NOT ends_with(report_type, '-en') AND report_type NOT IN ('ai-weekly', 'ai-monthly') GROUP BY ALL) SELECT one.date, one.report_type, md5(content) AS content_md5 FROM one JOIN v_named v ON v.doc_id = one.doc_id")
+def report_scan(spark, sf):
+    """Report files written under their dates and read back; -en, weekly and monthly ones are passed over."""
+    at = f"{scratch(spark)}/reports"
+    r = _named_reports(spark, sf)
+    sinks.write_reports(r.groupBy("date", "report_type").agg(F.min_by("content", "doc_id").alias("content")), at)
+    return landed.scan_report_table(spark, at).select("date", "report_type", F.md5("content").alias("content_md5"))
 
 
-def _is_folder(spark, path):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
+# streams ---------------------------------------------------------------------------------------------------------
+BATCHES = 3
 
 
-def _run(spark, stream, keys):
-    at = _scratch(spark)
-    streams.upsert_sink(stream, f"{at}/rows", f"{at}/checkpoint").start().awaitTermination()
-    return streams.latest(spark, f"{at}/rows", keys)
+def _stream(spark, sf, name):
+    """The driver's table as a stream of ``BATCHES`` files, one for each trigger."""
+    rows, at = table(spark, sf, name), f"{scratch(spark)}/{name}"
+    rows.repartition(BATCHES).write.parquet(at)
+    return streams.read_files(spark, at, rows.schema)
 
 
-@query("stream_kg_topics", _A + f"SELECT topic_id, total_score, mention_count, first_seen, last_seen FROM {_TOPICS}")
+@query("stream_kg_topics", _A + f"SELECT topic_id, name, category, total_score, mention_count, first_seen, last_seen FROM {_TOPICS}")
 def stream_kg_topics(spark, sf):
-    e = _stream(spark, sf, "events")
-    app = e.select(F.concat("event_type", F.lit("-"), F.col("user_id").cast("string")).alias("title"), F.least(F.lit(100), F.floor(F.col("value") / 5.0)).cast("int").alias("score"), F.date_format("ts", "yyyy-MM-dd").alias("date"))
-    return _run(spark, streams.topic_stream(app), ["topic_id"])
+    app, at = V.appearances(spark, sf, read=_stream), scratch(spark)
+    streams.merge_topics(app, f"{at}/topics", f"{at}/checkpoint").start().awaitTermination()
+    return streams.current(spark, f"{at}/topics").drop("ord")
 
 
 @query("stream_dedup", "SELECT user_id, event_type FROM events GROUP BY ALL")
 def stream_dedup(spark, sf):
-    rows = _stream(spark, sf, "events").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
-    return _run(spark, streams.dedup_stream(rows, ["user_id", "event_type"], late="60 days"), ["user_id", "event_type"]).select("user_id", "event_type")
+    rows, at = _stream(spark, sf, "events").select("user_id", "event_type", "ts"), scratch(spark)
+    streams.first_of_key(rows, ["user_id", "event_type"], f"{at}/rows", f"{at}/checkpoint").start().awaitTermination()
+    return spark.read.parquet(f"{at}/rows/batch=*").select("user_id", "event_type")
 
 
-@query("stream_crawl_diff", "SELECT 'site' || (page_id % 3) AS site, url FROM pages GROUP BY ALL")
+@query("stream_crawl_diff", _M + """, s AS (SELECT * FROM v_state), f AS (SELECT * FROM v_site) SELECT f.page_id, f.site, f.lastmod FROM f LEFT JOIN s ON s.site = f.site AND s.url = f.url
+WHERE s.url IS NULL OR (f.site <> 'site1' AND f.lastmod > s.lastmod)""")
 def stream_crawl_diff(spark, sf):
-    found = _stream(spark, sf, "pages").select(F.concat(F.lit("site"), (F.col("page_id") % 3).cast("string")).alias("site"), "url", (F.lit("2024-01-01").cast("timestamp") + F.make_interval(days=(F.col("page_id") % 28).cast("int"))).alias("ts"))
-    return _run(spark, streams.unseen_stream(found, "ts"), ["site", "url"]).select("site", "url")
+    """New and changed URLs of a crawl that comes in batches, against the stored state, which each batch renews."""
+    found, at = V.sitemap(spark, sf, read=_stream).select("page_id", "site", "url", "lastmod"), scratch(spark)
+    state = V.crawl_state(spark, sf).unionByName(spark.range(1).select(F.lit("site2").alias("site"), F.lit("known").alias("url"), F.lit("seen").alias("lastmod")))
+    streams.crawl_diffs(found, state, f"{at}/crawl", f"{at}/checkpoint", ("site1",)).start().awaitTermination()
+    return spark.read.parquet(f"{at}/crawl/new/batch=*").select("page_id", "site", "lastmod")
 
 
 @query("stream_score", f"WITH {V.SIGNALS_SQL} SELECT item_ord, category, score, action FROM v_pool")
 def stream_score(spark, sf):
-    signals = V.signals(spark, sf, read=_stream)
-    return _run(spark, streams.score_stream(signals, V.now(), RULES).select("item_ord", "category", "score", "action"), ["item_ord"])
+    signals, at = V.signals(spark, sf, read=_stream), scratch(spark)
+    streams.upsert_sink(streams.score_stream(signals, V.now(), RULES).select("item_ord", "category", "score", "action"), f"{at}/rows", f"{at}/checkpoint").start().awaitTermination()
+    return streams.latest(spark, f"{at}/rows", ["item_ord"])
+
+
+@query("stream_daily_top", f"""WITH {V.SIGNALS_SQL} SELECT day, rank, title, score FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY score DESC, src_ord, item_ord)::INT AS rank
+  FROM (SELECT *, strftime(DATE '2024-01-01' + (item_ord % 5)::INT, '%Y-%m-%d') AS day FROM v_pool)) WHERE rank <= 60""")
+def stream_daily_top(spark, sf):
+    """The best 60 of each day, kept up to date as signals come in."""
+    day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("item_ord") % 5).cast("int")), "yyyy-MM-dd")
+    signals, at = V.signals(spark, sf, read=_stream).withColumn("day", day), scratch(spark)
+    streams.daily_top(streams.score_stream(signals, V.now(), RULES), f"{at}/top", f"{at}/checkpoint", keep=("day", "title")).start().awaitTermination()
+    return streams.current(spark, f"{at}/top").select("day", "rank", "title", "score")

@@ -20,23 +20,32 @@ def blocks(value: Column, name: str) -> Column:
     return F.regexp_extract_all(value, F.lit(rf"(?is)<{name}(?:\s[^>]*)?>.*?</{name}>"), F.lit(0))
 
 
+def _place(feeds: DataFrame) -> Column:
+    return (F.col("item_ord").cast("long") if "item_ord" in feeds.columns else F.lit(0).cast("long")).alias("_feed")
+
+
+def _ord() -> Column:
+    return (F.col("_feed") * 1_000_000 + F.col("_i")).alias("item_ord")
+
+
 def rss_items(feeds: DataFrame, value: str = "value", author: tuple[str, ...] = ("dc:creator", "author"), limit: int = 500, trim: bool = True) -> DataFrame:
-    """(title, link, guid, author, summary, published_at) of items with a title and a link; guid falls back to it."""
+    """(item_ord, title, link, guid, author, description, summary, published_at) of items with a title and a link; guid
+    falls back to it. item_ord is the place in the feed, after the feed's own item_ord if it has one."""
     b = F.col("_b")
     title = F.trim(tag(b, "title")) if trim else tag(b, "title")
-    out = feeds.select(*[c for c in feeds.columns if c != value], F.explode(blocks(F.col(value), "item")).alias("_b"))
-    out = out.select(title.alias("title"), F.trim(tag(b, "link")).alias("link"), tag(b, "guid").alias("guid"), F.coalesce(*[tag(b, a) for a in author], F.lit("")).alias("author"), strip_html(F.coalesce(tag(b, "description"), F.lit("")), limit).alias("summary"), tag(b, "pubDate").alias("published_at"))
+    out = feeds.select(_place(feeds), F.posexplode(blocks(F.col(value), "item")).alias("_i", "_b"))
+    out = out.select(_ord(), title.alias("title"), F.trim(tag(b, "link")).alias("link"), tag(b, "guid").alias("guid"), F.coalesce(*[tag(b, a) for a in author], F.lit("")).alias("author"), F.coalesce(tag(b, "description"), F.lit("")).alias("description"), strip_html(F.coalesce(tag(b, "description"), F.lit("")), limit).alias("summary"), tag(b, "pubDate").alias("published_at"))
     return out.filter((F.trim("title") != "") & (F.col("link") != "")).withColumn("guid", F.coalesce("guid", "link"))
 
 
 def atom_entries(feeds: DataFrame, value: str = "value") -> DataFrame:
     """Paper entries; the pdf link falls back to the abstract link with /pdf/."""
     b = F.col("_b")
-    out = feeds.select(F.explode(blocks(F.col(value), "entry")).alias("_b"))
+    out = feeds.select(_place(feeds), F.posexplode(blocks(F.col(value), "entry")).alias("_i", "_b"))
     link = F.nullif(F.regexp_extract(b, r'(?is)<link[^>]*rel="alternate"[^>]*href="([^"]*)"', 1), F.lit(""))
     pdf = F.nullif(F.regexp_extract(b, r'(?is)<link[^>]*title="pdf"[^>]*href="([^"]*)"', 1), F.lit(""))
     return out.select(
-        F.trim(tag(b, "id")).alias("id"), squeeze(tag(b, "title")).alias("title"), squeeze(tag(b, "summary")).alias("summary"),
+        _ord(), F.trim(tag(b, "id")).alias("id"), squeeze(tag(b, "title")).alias("title"), squeeze(tag(b, "summary")).alias("summary"),
         F.regexp_extract_all(b, F.lit(r"(?is)<name>\s*([^<]*?)\s*</name>"), F.lit(1)).alias("authors"),
         F.regexp_extract_all(b, F.lit(r'(?is)<category[^>]*term="([^"]*)"'), F.lit(1)).alias("categories"),
         tag(b, "published").alias("published"), tag(b, "updated").alias("updated"), F.coalesce(link, F.trim(tag(b, "id"))).alias("url"),
@@ -58,10 +67,12 @@ def is_sitemap_index(value: Column) -> Column:
 
 def trending_blocks(pages: DataFrame, value: str = "value") -> DataFrame:
     """Repository rows of a trending page: a block starts at each row article; blocks without a name are skipped."""
-    parts = F.slice(F.split(F.col(value), r'(?i)<article[^>]*class="[^"]*Box-row[^"]*"'), 2, 1_000_000)
+    parts = F.split(F.col(value), r'(?i)<article[^>]*class="[^"]*Box-row[^"]*"')
+    parts = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
     b = F.col("_b")
     number = lambda pattern: F.regexp_replace(F.nullif(F.regexp_extract(b, pattern, 1), F.lit("")), ",", "").cast("int")
-    return pages.select(F.explode(parts).alias("_b")).select(
+    return pages.select(_place(pages), F.posexplode(parts).alias("_i", "_b")).select(
+        _ord(),
         F.regexp_extract(b, r'(?is)<h2[^>]*>.*?<a[^>]+href="/([^/"]+/[^/"]+)"', 1).alias("full_name"),
         squeeze(strip_html(F.regexp_extract(b, r'(?is)<p[^>]*class="[^"]*col-9[^"]*"[^>]*>(.*?)</p>', 1))).alias("description"),
         F.trim(F.regexp_extract(b, r'(?is)itemprop="programmingLanguage">([^<]*)<', 1)).alias("language"),
@@ -71,16 +82,17 @@ def trending_blocks(pages: DataFrame, value: str = "value") -> DataFrame:
     ).filter("full_name <> ''")
 
 
-def scan_json(reader: DataFrameReader, path: str, schema: str) -> DataFrame:
-    """Per-date JSON under date= folders; corrupt files give no rows, missing dates none either."""
-    rows = reader.options(**PERMISSIVE, multiLine=True).schema(f"{schema}, _corrupt_record string").json(path)
+def scan_json(reader: DataFrameReader, path: str, schema: str, multi_line: bool = True) -> DataFrame:
+    """Per-date JSON under date= folders; corrupt files give no rows, missing dates none either. Without ``multi_line``
+    a file holds one document a line."""
+    rows = reader.options(**PERMISSIVE, multiLine=multi_line).schema(f"{schema}, _corrupt_record string").json(path)
     return rows.filter("_corrupt_record IS NULL").drop("_corrupt_record")
 
 
-def scan_pool(reader: DataFrameReader, path: str) -> DataFrame:
+def scan_pool(reader: DataFrameReader, path: str, multi_line: bool = True) -> DataFrame:
     """Candidates of the daily pools, one row each; title falls back to topic."""
     item = "array<struct<title:string,topic:string,url:string,source:string,category:string,score:int,action:string,reason:string,summary:string,evidence:array<string>>>"
-    pools = scan_json(reader, path, f"generated_at string, candidates {item}")
+    pools = scan_json(reader, path, f"generated_at string, candidates {item}", multi_line)
     return pools.select("date", F.posexplode("candidates").alias("item_ord", "c")).select("date", "item_ord", F.coalesce("c.title", "c.topic").alias("title"), *[f"c.{x}" for x in ("url", "source", "category", "score", "action", "reason", "summary", "evidence")])
 
 
@@ -92,6 +104,14 @@ def scan_reports(spark: SparkSession, path: str) -> DataFrame:
     return named.filter((F.col("date") != "") & ~F.endswith(name, F.lit("-en")) & ~F.contains(name, F.lit("weekly")) & ~F.contains(name, F.lit("monthly")))
 
 
+def scan_report_table(spark: SparkSession, path: str) -> DataFrame:
+    """(date, report_type, content) of reports written under date= and report_type= folders, without -en, weekly and
+    monthly ones; the folders' names prune the files."""
+    rows = spark.read.text(path, wholetext=True).select(F.col("date").cast("string").alias("date"), "report_type", F.regexp_replace("value", r"\n\z", "").alias("content"))
+    name = F.col("report_type")
+    return rows.filter(~F.endswith(name, F.lit("-en")) & ~F.contains(name, F.lit("weekly")) & ~F.contains(name, F.lit("monthly")))
+
+
 def source_counts(items: DataFrame, source: str = "source") -> DataFrame:
     """Rows of each source, whether it has any, and the total."""
     counts = items.groupBy(source).agg(F.count("*").alias("n"))

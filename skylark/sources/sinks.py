@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -16,6 +16,15 @@ def write_pool(candidates: DataFrame, path: str) -> None:
     overwrite_dates(candidates, path, "json")
 
 
+def write_pool_files(candidates: DataFrame, path: str) -> None:
+    """The daily pools as documents: one JSON object a date and file, its candidates in an array (some 60 a day; larger
+    days are cut into several documents of at most 10,000 candidates)."""
+    item = F.struct(*[c for c in candidates.columns if c != "date"])
+    part = F.floor((F.row_number().over(Window.partitionBy("date").orderBy(F.desc("score"))) - 1) / 10_000)
+    pools = candidates.select("date", part.alias("_part"), item.alias("c")).groupBy("date", "_part").agg(F.sort_array(F.collect_list("c")).alias("candidates")).drop("_part")
+    overwrite_dates(pools, path, "json")
+
+
 def write_reports(reports: DataFrame, path: str) -> None:
     """Report texts under date= and report_type= folders, one text file for each report."""
     rows = reports.select("date", "report_type", F.col("content").alias("value"))

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from ..operators.crawl import crawl_diff, next_state
+from ..operators.graph import topic_id
+from ..operators.ranking import top_per_group
 from ..operators.scoring import score_signals
 from ..rules import Rules
 
@@ -22,18 +27,83 @@ def score_stream(signals: DataFrame, now: Column, rules: Rules = Rules()) -> Dat
 
 
 def dedup_stream(rows: DataFrame, keys: list[str], ts: str = "ts", late: str = "10 minutes") -> DataFrame:
-    """The first row of each key that arrives within the watermark."""
+    """The first row of each key that arrives within the watermark; keys are forgotten after it. For keys that must
+    never come twice use ``first_of_key``."""
     return rows.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
 
 
-def topic_stream(app: DataFrame) -> DataFrame:
-    """Topic nodes kept up to date (update mode, merged by ``merge_into``)."""
-    return app.groupBy(F.lower(F.trim("title")).alias("topic_id")).agg(F.max("score").alias("total_score"), F.count("*").alias("mention_count"), F.min("date").alias("first_seen"), F.max("date").alias("last_seen"))
+def _sink(stream: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], None]) -> DataStreamWriter:
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+
+
+def _batches(spark: SparkSession, path: str, before: int, schema) -> DataFrame:
+    """What the batches before one have written under ``path``; a batch that runs again does not see itself."""
+    rows = spark.read.schema(schema).option("basePath", path)
+    return rows.parquet(*[f"{path}/batch={i}" for i in range(before)]) if before else spark.createDataFrame([], schema)
+
+
+def first_of_key(rows: DataFrame, keys: list[str], path: str, checkpoint: str) -> DataStreamWriter:
+    """Each batch's rows of keys that no batch before has written, one for each key, however late they come."""
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        written = _batches(batch.sparkSession, path, epoch, batch.select(*keys).schema)
+        batch.dropDuplicates(keys).join(written, keys, "left_anti").write.mode("overwrite").parquet(f"{path}/batch={epoch}")
+
+    return _sink(rows, checkpoint, write)
+
+
+def _versions(path: str, epoch: int) -> str:
+    return f"{path}/version={epoch}"
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version of a state table."""
+    rows = spark.read.parquet(path)
+    return rows.filter(F.col("version") == rows.select(F.max("version")).scalar()).drop("version")
+
 
+def crawl_diffs(found: DataFrame, state: DataFrame, path: str, checkpoint: str, metadata_only: Sequence[str] = (), first_run: int = 25) -> DataStreamWriter:
+    """The crawl diff of each batch (path/new/batch=n) against the state that the batch before has left
+    (path/state/version=n); the first starts from ``state``."""
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        old = state if epoch == 0 else batch.sparkSession.read.parquet(_versions(f"{path}/state", epoch - 1))
+        batch = batch.persist()
+        crawl_diff(batch, old, metadata_only, first_run).write.mode("overwrite").parquet(f"{path}/new/batch={epoch}")
+        next_state(batch.select("site", "url", "lastmod"), old).write.mode("overwrite").parquet(_versions(f"{path}/state", epoch))
+        batch.unpersist()
+
+    return _sink(found, checkpoint, write)
+
+
+def merge_topics(app: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
+    """Topic nodes kept up to date (path/version=n): the batch's aggregate merged with the nodes before it; name and
+    category are those written last."""
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        last = F.struct("ord", F.trim("title").alias("name"), "category")
+        new = batch.groupBy(topic_id()).agg(F.max(last).alias("last"), F.max("score").alias("total_score"), F.count("*").alias("mention_count"), F.min("date").alias("first_seen"), F.max("date").alias("last_seen"))
+        new = new.select("topic_id", "last.ord", "last.name", "last.category", "total_score", "mention_count", "first_seen", "last_seen")
+        if epoch:
+            both = new.unionByName(batch.sparkSession.read.parquet(_versions(path, epoch - 1)))
+            new = both.groupBy("topic_id").agg(F.max(F.struct("ord", "name", "category")).alias("last"), F.max("total_score").alias("total_score"), F.sum("mention_count").alias("mention_count"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
+            new = new.select("topic_id", "last.ord", "last.name", "last.category", "total_score", "mention_count", "first_seen", "last_seen")
+        new.write.mode("overwrite").parquet(_versions(path, epoch))
+
+    return _sink(app, checkpoint, write)
+
+
+def daily_top(scored: DataFrame, path: str, checkpoint: str, keep: Sequence[str], limit: int = 60, order: Sequence[str] = ("src_ord", "item_ord")) -> DataStreamWriter:
+    """The best ``limit`` rows of each day (path/version=n): those before with the batch's; ``keep`` starts with the
+    day's column."""
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        rows = batch.select(*keep, "score", *order)
+        if epoch:
+            rows = rows.unionByName(batch.sparkSession.read.parquet(_versions(path, epoch - 1)).drop("rank"))
+        top_per_group(rows, keep[0], limit, [F.desc("score"), *order]).write.mode("overwrite").parquet(_versions(path, epoch))
 
-def unseen_stream(found: DataFrame, ts: str, late: str = "30 days") -> DataFrame:
-    """New URLs of a crawl: first sighting of each (site, url), with keyed state bounded by the watermark."""
-    return dedup_stream(found, ["site", "url"], ts, late)
+    return _sink(scored, checkpoint, write)
 
 
 def upsert_sink(stream: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
