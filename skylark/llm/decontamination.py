@@ -16,38 +16,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._stage import table
+from ._stage import staged, table
 from ._words import ALNUM, pieces, ragged, tokenize, within
 from .fm_index import FMIndex
 
-#: Test texts held by a task at once, in bytes; a larger benchmark is searched in so many passes over the documents.
-BLOCK_BYTES = 32 << 20
+#: Test texts held by a task at once, in bytes (about as much again as word ids); a larger benchmark is searched in so
+#: many passes over the documents, whose spans are written between them.
+BLOCK_BYTES = 8 << 20
 SPANS = "array<struct<start:int,end:int>>"
 
 
 class Phrases:
-    """The windows of a block of test items, as ids of their own vocabulary."""
+    """The words of a block of test items as 32-bit ids of their own vocabulary, which travel; windows are places in
+    them and are made where they are used."""
 
     def __init__(self, items: list[tuple[str, str]], width: int):
         w = tokenize(pa.array([t for _, t in items], pa.string()), ALNUM, fold=True)
-        self.names = [n for n, _ in items]
+        self.names, self.width = [n for n, _ in items], width
         self.vocab, ids = np.unique(w.hashes, return_inverse=True)
-        at, item = within(w.offsets, width)
-        rows = np.full((len(at), width), -1)
-        for j in range(width if len(at) else 0):
-            rows[:, j] = ids[at + j]
-        counts = np.diff(w.offsets)
-        short = np.flatnonzero((counts > 0) & (counts < width))
-        extra = np.full((len(short), width), -1)
-        for r, i in enumerate(short):
-            extra[r, : counts[i]] = ids[w.offsets[i] : w.offsets[i + 1]]
-        self.rows, self.item = np.r_[rows, extra], np.r_[item, short]
-        self.lengths = np.r_[np.full(len(at), width), counts[short]].astype(np.int64)
-
-    def hits(self, hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(first word, phrase) of every occurrence inside the texts."""
+        self.ids, self.offsets = ids.astype(np.int32), w.offsets
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first word, words, item) of every window; an item of fewer words is one."""
+        at, item = within(self.offsets, self.width)
+        counts = np.diff(self.offsets)
+        short = np.flatnonzero((counts > 0) & (counts < self.width))
+        return np.r_[at, self.offsets[short]], np.r_[np.full(len(at), self.width), counts[short]].astype(np.int64), np.r_[item, short]
+
+    def hits(self, hashes: np.ndarray, offsets: np.ndarray, windows: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(first word, window) of every occurrence inside the texts."""
         none = np.empty(0, np.int64)
-        if not len(self.lengths) or not len(hashes):
+        place, lengths, _ = windows
+        if not len(lengths) or not len(hashes):
             return none, none
         ids = np.minimum(np.searchsorted(self.vocab, hashes), len(self.vocab) - 1)
         known = self.vocab[ids] == hashes
@@ -59,12 +59,12 @@ class Phrases:
         begin[a], end[b] = known[a], known[b]
         starts = np.flatnonzero(begin)
         counts = np.flatnonzero(end) + 1 - starts
-        keep = counts >= self.lengths.min()
+        keep = counts >= lengths.min()
         starts, counts = starts[keep], counts[keep]
         if not len(starts):
             return none, none
         index = FMIndex(ids[ragged(starts, counts)], counts, len(self.vocab))
-        lo, hi = index.search(self.rows, self.lengths)
+        lo, hi = index.search(self.ids, place, lengths)
         at = index.locate(ragged(lo, hi - lo))
         run = np.searchsorted(index.begins, at, "right") - 1
         return starts[run] + at - index.begins[run], np.repeat(np.arange(len(lo)), hi - lo)
@@ -92,11 +92,13 @@ SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32())])
 
 def _searcher(phrases: Phrases) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows = phrases.windows()
+        _, lengths, item = windows
         for batch in pieces(batches, "_text"):
             names = batch.schema.names
             w = tokenize(batch.column(names.index("_text")), ALNUM, fold=True)
-            first, phrase = phrases.hits(w.hashes, w.offsets)
-            length, doc = phrases.lengths[phrase], np.searchsorted(w.offsets, first, "right") - 1
+            first, phrase = phrases.hits(w.hashes, w.offsets, windows)
+            length, doc = lengths[phrase], np.searchsorted(w.offsets, first, "right") - 1
             old = batch.column(names.index("spans"))  # of earlier blocks of test items
             n_old = np.diff(np.asarray(old.offsets))
             if n_old.sum():
@@ -109,7 +111,7 @@ def _searcher(phrases: Phrases) -> Callable[[Iterator[pa.RecordBatch]], Iterator
             base = w.offsets[of]
             spans = pa.StructArray.from_arrays([pa.array(a - base, pa.int32()), pa.array(b - base, pa.int32())], fields=list(SPAN))
             found = [set(x) for x in batch.column(names.index("items")).to_pylist()]
-            pairs = np.unique(np.c_[doc, phrases.item[phrase]], axis=0) if len(doc) else np.empty((0, 2), int)
+            pairs = np.unique(np.c_[doc, item[phrase]], axis=0) if len(doc) else np.empty((0, 2), int)
             for d, i in pairs:
                 found[d].add(phrases.names[i])
             out = dict(zip(names, batch.columns)) | {
@@ -139,6 +141,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item:
         part = tests if blocks == 1 else tests.filter(F.pmod(F.xxhash64("item", "t"), F.lit(blocks)) == b)
         phrases = Phrases([tuple(r) for r in part.distinct().collect()], width)
         out = out.mapInArrow(_searcher(phrases), T.StructType([f for f in out.schema]))
+        if b < blocks - 1:  # one block of phrases at a time lives on the driver and in the tasks
+            out = staged(out, "leaks")
     return out.select("_row.*", "n_words", "spans", "items")
 
 

@@ -159,12 +159,12 @@ class FMIndex:
         """Suffix intervals after one word more to the left."""
         return self.before[c] + self.wavelet.rank(c, lo), self.before[c] + self.wavelet.rank(c, hi)
 
-    def search(self, patterns: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Suffix intervals of all patterns: rows of ids, filled from the left; id -1 occurs nowhere."""
+    def search(self, ids: np.ndarray, at: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Suffix intervals of all patterns, ids[at : at + length]; id -1 occurs nowhere."""
         lo, hi = np.zeros(len(lengths), np.int64), np.full(len(lengths), self.n, np.int64)
         for j in range(int(lengths.max(initial=0)) - 1, -1, -1):
             live = np.flatnonzero((j < lengths) & (lo < hi))
-            c = patterns[live, j].astype(np.int64) + 1
+            c = ids[at[live] + j].astype(np.int64) + 1
             hi[live[c == 0]] = lo[live[c == 0]]
             live, c = live[c > 0], c[c > 0]
             lo[live], hi[live] = self.step(c, lo[live], hi[live])
