@@ -27,15 +27,17 @@ def source_rates(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0),
 
     Sources by code point, null last, take the weights in turn and share the total of all sizes; a target stops at
     ``max_repeat`` times its source's size and the excess goes to the others by weight until none is above. With
-    sources ordered by cap / weight the capped ones are a prefix, so the level is found without a loop.
+    sources ordered by cap / weight the capped ones are a prefix, so the level is found without a loop. Sources are
+    numbered and summed in one task after they are aggregated: a row of some 50 bytes each, so millions are well.
     """
     per = sizes.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
     order = Window.orderBy(F.col("source").isNull(), F.col("source"))
     weigh = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int"))
     per = per.withColumn("w", weigh).withColumn("cap", F.col("source_size") * F.lit(float(max_repeat)))
     full = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").isNull(), F.col("source"))
-    before, onward = full.rowsBetween(Window.unboundedPreceding, -1), full.rowsBetween(0, Window.unboundedFollowing)
-    per = per.withColumn("level", (F.sum("source_size").over(Window.partitionBy()) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("w").over(onward))
+    before, every = full.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+    left = lambda c: F.sum(c).over(every)
+    per = per.withColumn("level", (left("source_size") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (left("w") - F.coalesce(F.sum("w").over(before), F.lit(0.0))))
     level = F.min(F.when(F.col("level") <= F.col("cap") / F.col("w"), F.struct(F.col("cap") / F.col("w"), F.col("level")))).over(Window.partitionBy())["level"]
     target = F.least(F.col("cap"), F.coalesce(level, F.lit(0.0)) * F.col("w"))
     per = per.select("source", "source_size", target.alias("target"))
