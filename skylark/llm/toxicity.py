@@ -239,7 +239,7 @@ def fit_passages(rows: list[tuple[int, bytes]], vocabulary: dict[int, bytes], se
     """Joint training of the n-gram vectors and the softmax by full-batch Adam; rows are (label, word hashes), and
     ``vocabulary`` has the words of those hashes (as signed numbers) that occur in several documents."""
     labels = np.array([r[0] for r in rows], np.int64)
-    prior = (labels.sum() + 0.5) / (len(labels) + 1)
+    prior = (labels.sum() + 0.5) / (len(labels) + 2)  # without labels nothing counts as toxic
     hashes = np.frombuffer(b"".join(r[1] for r in rows), np.int64)
     if not len(hashes) or labels.min() == labels.max() or not vocabulary:  # nothing to tell apart
         return Model(np.zeros(BUCKETS), float(np.log(prior / (1 - prior))))
@@ -337,8 +337,9 @@ def _scorer(model: Model):
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with _score in [0, 1] (probability of class 1). Null, empty and wordless texts score the prior;
-    repeated rows score alike; an empty table gives no rows. All columns are kept, whatever their names."""
+    """``docs`` with _score in [0, 1] (probability of class 1). Null, empty and wordless texts score the prior, as all do
+    where there are no labels of both kinds to learn from (1 in 4 where there are none); repeated rows score alike; an
+    empty table gives no rows. All columns are kept, whatever their names."""
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text).alias("_text"))
     return row.mapInArrow(_scorer(model), row.select("_row").schema.add("_score", "double")).select("_row.*", "_score")
 

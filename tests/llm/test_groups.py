@@ -185,6 +185,15 @@ def test_decontamination(spark, docs, corpus, monkeypatch, block):
     assert Counter(r.doc_id for r in clean.collect()) == Counter(d for d, _, n, _ in want if not n) and clean.columns == docs.columns
 
 
+def test_phrases_stay_small():
+    """What travels is less than twice the test texts, and windows are not kept."""
+    import pickle
+
+    rng = np.random.default_rng(1)
+    items = [(str(i), " ".join("".join(rng.choice(list("abcdefgh"), 6)) for _ in range(1000))) for i in range(50)]
+    assert len(pickle.dumps(decontamination.Phrases(items, 10))) < 2 * sum(len(t) for _, t in items)
+
+
 def test_decontamination_of_nothing(docs, empty, spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontamination.find_leaks(docs, none).filter(F.size("spans") > 0).count() == 0
@@ -224,6 +233,6 @@ def test_fm_index_round_trip():
         ids = rng.integers(0, 4, lengths.sum())
         index, seqs = FMIndex(ids, lengths, 4, depth=3, sample=4), np.split(ids, np.cumsum(lengths)[:-1])
         patterns, size = rng.integers(-1 if trial % 3 == 0 else 0, 4, (20, 4)), rng.integers(1, 5, 20)
-        for p, n, lo, hi in zip(patterns, size, *index.search(patterns, size)):
+        for p, n, lo, hi in zip(patterns, size, *index.search(patterns.ravel(), 4 * np.arange(20), size)):
             want = sorted(index.begins[i] + j for i, s in enumerate(seqs) for j in range(len(s) - n + 1) if (s[j : j + n] == p[:n]).all())
             assert sorted(index.locate(np.arange(lo, hi))) == want

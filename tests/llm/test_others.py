@@ -31,6 +31,37 @@ def test_shards(docs, shards):
     assert sorted(map(tuple, rows)) == sorted(map(tuple, sharding.assign_shards(docs.repartition(2), shards).collect())) or len(set(r.doc_id for r in rows)) < len(rows)
 
 
+def brute_shards(rows, shards):
+    """(id, size, crc, shard, slot) by sorting everything, in the order of (hash of the text, id)."""
+    import xxhash
+
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    keyed = []
+    for d, t in rows:
+        raw = None if t is None else t.encode()
+        h = 42 if raw is None else signed(xxhash.xxh64_intdigest(raw, 42))
+        keyed.append((h, -(2**63) if d is None else d, len(raw or b"") + 8, d, None if raw is None else zlib.crc32(raw)))
+    keyed.sort(key=lambda x: x[:3])
+    total, run, slots, out = sum(x[2] for x in keyed), 0, Counter(), []
+    for _, _, size, d, crc in keyed:
+        shard = min(shards - 1, (2 * run + size) * shards // (2 * total))
+        out.append((d, size, crc, shard, slots[shard]))
+        slots[shard] += 1
+        run += size
+    return out
+
+
+@pytest.mark.parametrize("shards, repeats, per_range", [(24, 100_000, 1_000_000), (7, 3, 5), (1, 100_000, 40)])
+def test_shards_are_those_of_brute_force(spark, docs, corpus, monkeypatch, shards, repeats, per_range):
+    """Whatever the number of ranges; one record holds a third of the rows; extra columns, nulls and ties included."""
+    monkeypatch.setattr(sharding, "REPEATS", repeats)
+    monkeypatch.setattr(sharding, "RANGE_ROWS", per_range)
+    more = docs.unionByName(spark.range(40).select(F.lit(None).cast("long").alias("doc_id"), F.lit("again").alias("text"), F.lit("s").alias("source"), F.lit(1).alias("size"), F.lit("x").alias("_text")))
+    rows = [(r.doc_id, r.text) for r in more.collect()]
+    got = sharding.assign_shards(more, shards).select("doc_id", "size", "text_crc32", "shard", "slot").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(brute_shards(rows, shards), key=str)
+
+
 def test_shards_with_one_hot_text_and_edges(spark, empty):
     hot = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, "same text " * 20).otherwise(F.repeat(F.lit("x"), F.col("id").cast("int") % 300)).alias("text")).withColumnRenamed("id", "doc_id")
     load = [r.b for r in sharding.assign_shards(hot).groupBy("shard").agg(F.sum("size").alias("b")).collect()]
