@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.packing import packed_blocks
 from ..functions.text import escape_cell, escape_xml
 
 
@@ -84,29 +85,6 @@ def capped_list(items: Column, limit: int, more: str = " et al.", sep: str = ",
     return F.concat(F.array_join(F.slice(items, 1, limit), sep), F.when(F.size(items) > limit, more).otherwise(""))
 
 
-MARKERS = r"\n(?=## |📡 |📅 |📆 |<a )"
-
-
-def packed_blocks(text: str, limit: int, pattern: str = MARKERS) -> list[str]:
-    """Whole blocks while they fit; a longer one by lines."""
-    import re
-
-    def pack(parts: list[str]) -> list[str]:
-        out: list[str] = []
-        for p in parts:
-            if out and out[-1] and len(out[-1]) + 1 + len(p) <= limit:
-                out[-1] += "\n" + p
-            elif out and not out[-1]:
-                out[-1] = p
-            else:
-                out.append(p)
-        return [x for x in out if x]
-
-    if len(text) <= limit:
-        return [text]
-    return [line for block in pack(re.split(pattern, text)) for line in ([block] if len(block) <= limit else pack(block.split("\n")))]
-
-
 def pack_blocks(df: DataFrame, key: str, text: str = "text", limit: int = 3400) -> DataFrame:
     """(key, pos, block): texts cut at section markers, then at lines, into blocks of about ``limit`` characters."""
 

@@ -11,31 +11,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.packing import chunks_of
 from ..functions.text import hit_count
 
 
-def chunks_of(text: str | None, size: int = 1000, overlap: int = 200, least: int = 20) -> list[str]:
-    """Sections at ## headers; long ones packed by paragraphs; longer paragraphs in overlapping windows."""
-    if size <= overlap:
-        raise ValueError("size must exceed overlap")
-    out: list[str] = []
-    for section in re.split(r"\n(?=##\s)", text or ""):
-        section, held = section.strip(), ""
-        if len(section) <= size:
-            out.append(section)
-            continue
-        for paragraph in section.split("\n\n"):
-            if len(held) + len(paragraph) + 2 <= size:
-                held = held + "\n\n" + paragraph if held else paragraph
-                continue
-            out.append(held.strip())
-            whole = max(0, -(-(len(paragraph) - size) // (size - overlap)))
-            out += [paragraph[i * (size - overlap) :][:size].strip() for i in range(whole)]
-            held = paragraph[whole * (size - overlap) :]
-        out.append(held.strip())
-    return [c for c in out if len(c) > least]
-
-
 def chunk_documents(reports: DataFrame, size: int = 1000, overlap: int = 200) -> DataFrame:
     """(chunk_id, date, report_type, text): ids are date/report/i."""
     if size <= overlap:

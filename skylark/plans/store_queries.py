@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import rules as R
 from ..functions import text as X
-from ..operators import assembly, catalog, crawl, graph, retrieval, store
+from ..operators import assembly, catalog, contexts, crawl, graph, retrieval, store
 from ..sources import landed, sinks
 from ..streaming import streams
 from . import views as V
@@ -468,6 +468,26 @@ def comparison_context(spark, sf):
     return assembly.comparison_context(_contexts(spark, sf)).select(F.md5("context").alias("context_md5"))
 
 
+_TOP30 = "(SELECT *, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS n FROM documents ORDER BY n_chars DESC, doc_id LIMIT 30)"
+_PAPER = """n || '. **' || left(text, 60) || '**' || chr(10) || '   Link: u' || doc_id || chr(10) || '   Authors: ' || array_to_string(string_split(left(text, 80), ' ')[1:3], ', ') || CASE WHEN len(string_split(left(text, 80), ' ')) > 3 THEN ' et al.' ELSE '' END
+  || ' | Categories: ' || lang || ', ' || source || chr(10) || '   Published: 2024-01-31' || chr(10) || '   Abstract: ' || left(text, 300) || CASE WHEN len(text) > 300 THEN '...' ELSE '' END"""
+_MODEL = """n || '. **' || source || '/' || doc_id || '**' || chr(10) || '   链接: u' || doc_id || chr(10) || '   作者: ' || source || ' | 任务: ' || CASE WHEN doc_id % 2 = 0 THEN 'N/A' ELSE lang END || chr(10) || '   点赞: ' || format('{:,}', n_chars) || ' | 下载: ' || format('{:,}', doc_id * 1000)
+  || chr(10) || '   标签: ' || array_to_string(string_split(left(text, 80), ' ')[1:5], ', ')"""
+
+
+@query("source_contexts", f"""SELECT 'papers' AS source, count(*) AS n, md5(string_agg({_PAPER}, chr(10) || chr(10) ORDER BY n)) AS text_md5 FROM {_TOP30} t UNION ALL SELECT 'models', count(*), md5(string_agg({_MODEL}, chr(10) || chr(10) ORDER BY n)) FROM {_TOP30} t
+UNION ALL SELECT 'stories', 0, md5('(none)')""")
+def source_contexts(spark, sf):
+    d = table(spark, sf, "documents").orderBy(F.desc("n_chars"), "doc_id").limit(30).withColumn("url", F.concat(F.lit("u"), F.col("doc_id").cast("string")))
+    words, order = F.split(F.substring("text", 1, 80), " "), [F.desc("n_chars"), "doc_id"]
+    papers = d.select("*", F.substring("text", 1, 60).alias("title"), words.alias("authors"), F.array("lang", "source").alias("categories"), F.lit("2024-01-31T00:00").alias("published"), F.col("text").alias("summary"))
+    models = d.select("*", F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("id"), F.col("source").alias("author"), F.when(F.col("doc_id") % 2 == 0, "").otherwise(F.col("lang")).alias("pipeline_tag"), F.col("n_chars").alias("likes"), (F.col("doc_id") * 1000).alias("downloads"), words.alias("tags"))
+    none = papers.limit(0).select("*", *[F.lit("").alias(c) for c in ("hn_url", "points", "comments", "author", "created_at")])
+    lists = [("papers", contexts.source_list(papers, "papers", order, "en")), ("models", contexts.source_list(models, "models", order)), ("stories", contexts.source_list(none, "stories", order, "en", "(none)"))]
+    parts = [t.select(F.lit(name).alias("source"), "n", F.md5("text").alias("text_md5")) for name, t in lists]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query("list_cap_text", "SELECT doc_id, array_to_string(w[1:3], ', ') || CASE WHEN len(w) > 3 THEN ' et al.' ELSE '' END AS names FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)")
 def list_cap_text(spark, sf):
     return table(spark, sf, "documents").select("doc_id", assembly.capped_list(F.split("text", " "), 3).alias("names"))

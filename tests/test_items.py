@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skylark import rules as R
-from skylark.operators import assembly, catalog, retrieval, scoring, signals
+from skylark.operators import assembly, catalog, contexts, retrieval, scoring, signals
 from skylark.sources import items
 
 NOW = "2026-05-30 02:00:00"
@@ -140,3 +140,17 @@ def test_entity_search_and_rendering(spark):
     assert set(got) == {"open ai", "ai lab"} and got["open ai"] > got["ai lab"] and retrieval.entity_search(e, " ? ").count() == 0
     hits = spark.createDataFrame([("2026-01-01", "vector", "t" * 300, 2.0), (None, None, None, 3.0)], "date string, source string, text string, score double")
     assert [r.line for r in retrieval.rendered_hits(hits, [F.desc("score")]).orderBy("n").collect()] == ["1. [/] ", "2. [2026-01-01/vector] " + "t" * 200]
+
+
+def test_context_lists(spark):
+    t = spark.createDataFrame([(1, "o/r", "u", None, "Go", 12, 12345, 0), (2, "o/s", "v", "d", "", 0, 5, 1200)], "item_ord int, full_name string, url string, description string, language string, today_stars int, total_stars int, forks int")
+    assert contexts.source_list(t, "trending", ["item_ord"]).first().text == "- [o/r](u) [Go] ⭐12,345 (+12 today)\n- [o/s](v) ⭐5 🍴1,200\n  d"
+    s = spark.createDataFrame([("T", "u", "h", 1200, 3, "me", "2026-01-02T03:04:05Z")], "title string, url string, hn_url string, points int, comments int, author string, created_at string")
+    assert contexts.source_list(s, "stories", ["title"], "en").first().text == "1. **T**\n   Link: u\n   Discussion: h\n   Score: 1200 | Comments: 3 | Author: me | Time: 2026-01-02T03:04"
+    assert contexts.source_list(s.limit(0), "stories", ["title"], empty="（无）").first().text == "（无）"
+    sites = spark.createDataFrame([("a", "A", True, 9), ("b", "B", False, 3)], "site string, site_name string, is_first_run boolean, total int")
+    items_ = spark.createDataFrame([("a", 1, "", "http://x", "news", None, ""), ("a", 0, "T", "http://y", "news", "2026-01-02T00:00", "text")], "site string, item_ord int, title string, url string, category string, lastmod string, content string")
+    got = {r.site: r.text for r in contexts.official_list(sites, items_, "en").collect()}
+    assert got["b"] == "## B\n\n(Incremental update, 0 new articles today, no content to analyze.)"
+    assert got["a"].startswith("## A(First full crawl (sitemap total 9 URLs, showing latest 2 articles))\n\n### [T](http://y)\n- Category: news | Published/Updated: 2026-01-02\n- Excerpt: text\n\n### [http://x](http://x)\n- Category: news | Published/Updated: unknown\n- (metadata-only")
+    assert set(contexts.NUMBERED) | set(contexts.BULLETS) >= {"papers", "hot_articles", "search"}
