@@ -267,27 +267,29 @@ def config_json(spark, sf):
 _COS = "1 - list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) * sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])))"
 
 
-def _queries(spark, sf):
-    return [(r["vec_id"], r["embedding"]) for r in table(spark, sf, "embeddings").filter("vec_id < 5").orderBy("vec_id").collect()]
+def _first(spark, sf):
+    return table(spark, sf, "embeddings").filter("vec_id = 0").first()["embedding"]
 
 
-@query("vector_topk", f"SELECT e.vec_id, round({_COS}, 6) AS distance FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE e.vec_id >= 5 ORDER BY {_COS}, e.vec_id LIMIT 10")
+@query("vector_topk", f"SELECT e.vec_id, round({_COS}, 6) AS distance FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE e.vec_id <> 0 ORDER BY {_COS}, e.vec_id LIMIT 10")
 def vector_topk(spark, sf):
     e = table(spark, sf, "embeddings")
-    return retrieval.vector_topk(e, _queries(spark, sf)[0][1], 10, F.col("vec_id") >= 5).select("vec_id", F.round("distance", 6).alias("distance"))
+    return retrieval.vector_topk(e, _first(spark, sf), 10, F.col("vec_id") != 0).select("vec_id", F.round("distance", 6).alias("distance"))
 
 
-@query("vector_topk_batch", f"SELECT query_id, vec_id, rank FROM (SELECT q.vec_id AS query_id, e.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS}, e.vec_id)::INT AS rank FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id < 5) q WHERE e.vec_id >= 5) WHERE rank <= 10")
+_BATCH = f"SELECT query_id, vec_id, rank FROM (SELECT q.vec_id AS query_id, e.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS}, e.vec_id)::INT AS rank FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q WHERE e.vec_id <> q.vec_id) WHERE rank <= 10"
+
+
+@query("vector_topk_batch", _BATCH)
 def vector_topk_batch(spark, sf):
+    """Every row whose id is divisible by 50 asks all rows but itself."""
     e = table(spark, sf, "embeddings")
-    return retrieval.vector_topk_batch(e.filter("vec_id >= 5"), e.filter("vec_id < 5"), 10).select("query_id", "vec_id", "rank")
+    return retrieval.vector_topk_batch(e, e.filter("vec_id % 50 = 0"), 10).select("query_id", "vec_id", "rank")
 
 
-@query("vector_topk_batch_all")
+@query("vector_topk_batch_all", _BATCH)
 def vector_topk_batch_all(spark, sf):
-    """Every row whose id is divisible by 50 against all rows but itself; the SQL above asks 5 rows only."""
-    e = table(spark, sf, "embeddings")
-    return retrieval.vector_topk_batch(e, e.filter("vec_id % 50 = 0"), 10).select("query_id", "vec_id", "rank")
+    return vector_topk_batch(spark, sf)
 
 
 _TERMS = ("the", "license", "erin")
@@ -340,7 +342,7 @@ SELECT key, round(sum(1.0::DOUBLE / (60 + rank0 + 1)), 6) AS score FROM (SELECT
 def hybrid_search(spark, sf):
     from pyspark.sql import Window
 
-    near = retrieval.vector_topk(table(spark, sf, "embeddings"), _queries(spark, sf)[0][1], 20).select(F.concat(F.lit("doc-"), F.col("vec_id").cast("string")).alias("key"), "distance", "vec_id")
+    near = retrieval.vector_topk(table(spark, sf, "embeddings"), _first(spark, sf), 20).select(F.concat(F.lit("doc-"), F.col("vec_id").cast("string")).alias("key"), "distance", "vec_id")
     text = retrieval.bm25(table(spark, sf, "documents"), _TERMS, "doc_id", "text").orderBy(F.desc("score"), "doc_id").limit(20).select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("key"), "score", "doc_id")
     a = near.select("key", (F.row_number().over(Window.orderBy("distance", "vec_id")) - 1).alias("rank0"))
     b = text.select("key", (F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")) - 1).alias("rank0"))
