@@ -162,16 +162,19 @@ def _counting(width: int, buckets: int, parts: int):
             p = Piece(batch, width, buckets)
             repeat = p.repeated(np.arange(len(p.at)))
             rows = [(0, *s, None, None, s[0] % buckets, None, None, None) for s in p.spans(np.flatnonzero(repeat), parts)]
-            live = ~repeat
-            pairs = np.unique(np.c_[p.cell[live], p.doc[live]], axis=0) if live.any() else np.empty((0, 2), np.int64)
-            cells, counts = np.unique(pairs[:, 0], return_counts=True)
+            live = np.flatnonzero(~repeat)
+            live = live[np.argsort(p.cell[live], kind="stable")]  # by cell, then by document
+            cell, doc = p.cell[live], p.doc[live]
+            once = np.r_[True, (cell[1:] != cell[:-1]) | (doc[1:] != doc[:-1])] if len(live) else np.empty(0, bool)
+            cell, doc = cell[once], doc[once]
+            cells, counts = np.unique(cell, return_counts=True)
             hot = cells[counts > HOT_HERE]
-            is_hot = np.isin(pairs[:, 0], hot)
-            for f in flag_rows(p.ref[pairs[is_hot, 1]], pairs[is_hot, 0], np.ones(int(is_hot.sum()), bool), parts):
+            is_hot = np.isin(cell, hot)
+            for f in flag_rows(p.ref[doc[is_hot]], cell[is_hot], np.ones(int(is_hot.sum()), bool), parts):
                 rows.append((2, *f, f[0] % buckets, None, None, None))
-            cell, ref = pairs[~is_hot, 0], p.ref[pairs[~is_hot, 1]]
+            cell, ref = cell[~is_hot], p.ref[doc[~is_hot]]
             known = {b: hot[i].astype(np.uint32).tobytes() for b, i in cut_by(np.arange(len(hot)), hot >> 32)}
-            for b, i in cut_by(np.arange(len(cell)), cell >> 32):  # np.unique has sorted by cell, so by bucket
+            for b, i in cut_by(np.arange(len(cell)), cell >> 32):  # sorted by cell, so by bucket
                 rows.append((1, *none, b, cell[i].astype(np.uint32).tobytes(), ref[i].tobytes(), known.pop(b, None)))
             rows += [(1, *none, b, b"", b"", f) for b, f in known.items()]
             yield _batch(TAGGED, rows)
