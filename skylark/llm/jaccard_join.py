@@ -91,9 +91,11 @@ def _postings(lists: list[np.ndarray], owners: list[int], buckets: int) -> list[
         rows.append((2, *[None] * 5, int(h[0] % np.uint64(buckets)), d.tobytes(), n.astype(np.int64).tobytes(), None))
     flags, lone, own = np.unique(h[shared]), h[~shared], own[~shared]
     at = ((lone >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-    alike = np.lexsort((lone & np.uint64(0xFFFFFFFF), at, own))
-    x, y = alike[1:], alike[:-1]
-    twice = own[x[(own[x] == own[y]) & (at[x] == at[y]) & (lone[x].astype(np.uint32) == lone[y].astype(np.uint32))]]
+    key = mixed(own.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (at.astype(np.uint64) << np.uint64(32) | lone & np.uint64(0xFFFFFFFF)))
+    twice, run = np.empty(0, np.int64), np.sort(key)
+    if (run[1:] == run[:-1]).any():
+        alike = np.argsort(key, kind="stable")
+        twice = own[alike[1:][key[alike[1:]] == key[alike[:-1]]]]
     if len(twice):
         d, n = np.unique(twice, return_counts=True)
         rows.append((2, *[None] * 5, int(d[0]) % buckets, d.tobytes(), n.astype(np.int64).tobytes(), None))
@@ -355,10 +357,11 @@ def similar_sets(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100,
     holders = base
     if not sizes.groupBy("ref").count().filter("count > 1").isEmpty():  # rows that repeat id and text are read once
         holders = base.groupBy("_ref").agg(F.any_value("_text").alias("_text"))
-    sets = staged(holders.join(some.select("_ref", "dig"), "_ref").select("dig", "_text").mapInArrow(_chosen_sets(width), "dig binary, d64 long, n long, set binary"), "shingle-sets")
+    keyed = lambda df: df.hint("shuffle_hash")  # noqa: E731  short rows with unique keys are hashed, so texts and sets need no sort
+    sets = staged(holders.join(keyed(some.select("_ref", "dig")), "_ref").select("dig", "_text").mapInArrow(_chosen_sets(width), "dig binary, d64 long, n long, set binary"), "shingle-sets")
     release(spark)
     again = sets.select("d64", "set").mapInArrow(_all_postings(buckets), KINDS).groupBy("bucket").applyInArrow(count, COUNTS)
-    kept = staged(sets.join(shared(again), "d64").filter(F.col("hits") >= need).select("dig", "n", (F.col("hits") / F.col("n")).alias("score"), "set"), "near-sets")
+    kept = staged(sets.join(keyed(shared(again)), "d64").filter(F.col("hits") >= need).select("dig", "n", (F.col("hits") / F.col("n")).alias("score"), "set"), "near-sets")
     release(spark)
     posts = staged(kept.select("dig", "score", "set").mapInArrow(_prefixes(num, den), "s long, dig binary, score double"), "prefixes")
     pivots = posts.groupBy("s").agg(F.max(F.struct("score", "dig"))["dig"].alias("pivot"), F.count("*").alias("holders")).filter("holders > 1")
