@@ -107,6 +107,47 @@ def monthly(reports: DataFrame, month: str, limit: int = 3000, stride: int = 4,
     return daily_concat(own.filter(F.col("date").isin(dates)), limit)
 
 
+def _day_texts(reports: DataFrame, sources: Sequence[str], text: Column, separator: str) -> DataFrame:
+    """(date, body): the given reports of each date in the order of ``sources``, at most one of each name."""
+    place = ordinal(F.col("report_type"), sources)
+    rows = reports.filter(F.col("report_type").isin(*sources)).select("date", F.struct(place.alias("o"), text.alias("t")).alias("x"))
+    return rows.groupBy("date").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["t"]), separator).alias("body"))
+
+
+def day_digests(reports: DataFrame, sources: Sequence[str], limit: int = 2500, notice: str = "\n...[摘要截断]") -> DataFrame:
+    """Per date the sources' reports, each cut to ``limit`` characters with a notice."""
+    return _day_texts(reports, sources, truncated(F.col("content"), limit, notice), "\n\n")
+
+
+def week_digests(reports: DataFrame, sources: Sequence[str], days: int = 7) -> DataFrame:
+    """The digests of the newest dates."""
+    return day_digests(reports.filter(F.col("date").isin(latest_dates(reports, days))), sources)
+
+
+def month_digests(reports: DataFrame, sources: Sequence[str], month: str, limit: int = 3000, notice: str = "\n...[截断]", stride: int = 4, most: int = 10) -> DataFrame:
+    """Of a month: its weekly reports if two dates or more have one, else the digests of every fourth date from the
+    newest."""
+    own = reports.filter(F.startswith("date", F.lit(month)))
+    week = own.filter("report_type = 'ai-weekly'")
+    if len(latest_dates(week, 2)) == 2:
+        return week.select("date", truncated(F.col("content"), limit, notice).alias("body"))
+    return day_digests(own.filter(F.col("date").isin(latest_dates(own, stride * most)[::stride])), sources)
+
+
+def digest_text(digests: DataFrame, head: str = "## ", separator: str = "\n\n---\n\n") -> DataFrame:
+    """(first, last, text): some dates' digests as one text, newest first."""
+    entry = F.struct("date", F.concat(F.lit(head), "date", F.lit("\n\n"), "body").alias("t"))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(entry), asc=False), lambda x: x["t"]), separator)
+    return digests.agg(F.min("date").alias("first"), F.max("date").alias("last"), text.alias("text"))
+
+
+def social_text(reports: DataFrame, sources: Sequence[str], days: int = 1, limit: int = 3000) -> DataFrame:
+    """(first, last, text) of the newest dates for an article: each report under its name."""
+    text = F.concat(F.lit("## ["), "report_type", F.lit("]\n\n"), F.substring("content", 1, limit))
+    newest = reports.filter(F.col("date").isin(latest_dates(reports, days)))
+    return digest_text(_day_texts(newest, sources, text, "\n\n---\n\n"), "# ", "\n\n===\n\n")
+
+
 def search_topics(pool: DataFrame) -> DataFrame:
     """Index rows of the pool: the source is the first evidence, 80 characters of it. Order is given where the index is
     written or asked (``keyword_search``): sorting all of it here would be a shuffle for nothing."""

@@ -205,3 +205,8 @@ def chat_fallback(index: DataFrame, keywords: Sequence[str], recent: Sequence[st
 def replace_dates(store: DataFrame, new: DataFrame) -> DataFrame:
     """The store without the dates of ``new``, plus ``new``."""
     return store.join(new.select("date").distinct(), "date", "left_anti").unionByName(new)
+
+
+def store_counts(store: DataFrame) -> DataFrame:
+    """(date, n): chunks of each date, and of all (date null)."""
+    return store.rollup("date").agg(F.count("*").alias("n"))

@@ -151,6 +151,43 @@ def monthly_rollup(spark, sf):
     return catalog.monthly(V.reports(spark, sf), "2024-01").select("date", F.md5("body").alias("body_md5"))
 
 
+_SOURCES = f"[{', '.join(repr(n) for n in R.ROLLUP_SOURCES)}]"
+_ONE = f"""{_NAMED}, one AS (SELECT date, report_type, arg_min(content, doc_id) AS content FROM v_named GROUP BY ALL),
+day AS (SELECT date, string_agg(CASE WHEN len(content) > 2500 THEN left(content, 2500) || chr(10) || '...[摘要截断]' ELSE content END, chr(10) || chr(10) ORDER BY list_position({_SOURCES}, report_type)) AS body FROM one WHERE list_contains({_SOURCES}, report_type) GROUP BY date)"""
+
+
+def _one_of_each(spark, sf):
+    r = _named_reports(spark, sf)
+    return r.groupBy("date", "report_type").agg(F.min_by("content", "doc_id").alias("content"))
+
+
+@query("week_digests", _R + f", {_ONE} SELECT date, md5(body) AS body_md5 FROM day WHERE date IN (SELECT DISTINCT date FROM one ORDER BY date DESC LIMIT 7)")
+def week_digests(spark, sf):
+    return catalog.week_digests(_one_of_each(spark, sf), R.ROLLUP_SOURCES).select("date", F.md5("body").alias("body_md5"))
+
+
+@query("month_digests", _R + "SELECT date, md5(CASE WHEN len(content) > 3000 THEN left(content, 3000) || chr(10) || '...[截断]' ELSE content END) AS body_md5 FROM (SELECT date, arg_min(content, doc_id) AS content FROM v_reports WHERE report_type = 'ai-weekly' GROUP BY date)")
+def month_digests(spark, sf):
+    one = V.reports(spark, sf).groupBy("date", "report_type").agg(F.min_by("content", "doc_id").alias("content"))
+    return catalog.month_digests(one, R.ROLLUP_SOURCES, "2024-01").select("date", F.md5("body").alias("body_md5"))
+
+
+@query("month_digests_sampled", _R + f", {_ONE} SELECT date, md5(body) AS body_md5 FROM day WHERE date IN (SELECT date FROM (SELECT date, row_number() OVER (ORDER BY date DESC) - 1 AS i FROM (SELECT DISTINCT date FROM one WHERE report_type <> 'ai-weekly')) WHERE i % 4 = 0 AND i < 40)")
+def month_digests_sampled(spark, sf):
+    """A month without weekly reports."""
+    return catalog.month_digests(_one_of_each(spark, sf).filter("report_type <> 'ai-weekly'"), R.ROLLUP_SOURCES, "2024-01").select("date", F.md5("body").alias("body_md5"))
+
+
+@query("week_digest_text", _R + f", {_ONE} SELECT min(date) AS first, max(date) AS last, md5(string_agg('## ' || date || chr(10) || chr(10) || body, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY date DESC)) AS text_md5 FROM day WHERE date IN (SELECT DISTINCT date FROM one ORDER BY date DESC LIMIT 7)")
+def week_digest_text(spark, sf):
+    return catalog.digest_text(catalog.week_digests(_one_of_each(spark, sf), R.ROLLUP_SOURCES)).select("first", "last", F.md5("text").alias("text_md5"))
+
+
+@query("social_text", _R + f", {_ONE}, own AS (SELECT date, string_agg('## [' || report_type || ']' || chr(10) || chr(10) || left(content, 1000), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY list_position({_SOURCES}, report_type)) AS body FROM one WHERE list_contains({_SOURCES}, report_type) AND date IN (SELECT DISTINCT date FROM one ORDER BY date DESC LIMIT 30) GROUP BY date) SELECT min(date) AS first, max(date) AS last, md5(string_agg('# ' || date || chr(10) || chr(10) || body, chr(10) || chr(10) || '===' || chr(10) || chr(10) ORDER BY date DESC)) AS text_md5 FROM own")
+def social_text(spark, sf):
+    return catalog.social_text(_one_of_each(spark, sf), R.ROLLUP_SOURCES, 30, 1000).select("first", "last", F.md5("text").alias("text_md5"))
+
+
 @query("latest_report", _R + "SELECT report_type, arg_max(doc_id, {'d': date, 'i': doc_id}) AS doc_id, max(date) AS date FROM v_reports GROUP BY 1")
 def latest_report(spark, sf):
     return catalog.latest_report(V.reports(spark, sf))
@@ -432,6 +469,12 @@ def embed_chunks(spark, sf):
     return e.select("chunk_id", F.round(F.aggregate(vector_to_array("embedding"), F.lit(0.0), lambda s, x: s + x * x), 6).alias("norm"))
 
 
+@query("chunk_counts", _R + "SELECT date, count(*) AS n FROM v_reports WHERE date >= '2024-01-10' GROUP BY ROLLUP (date)")
+def chunk_counts(spark, sf):
+    """Rows of the chunk store by date, and of all (date null)."""
+    return retrieval.store_counts(V.reports(spark, sf).filter("date >= '2024-01-10'"))
+
+
 @query("chunks_replace_date", _R + "SELECT doc_id, date, CASE WHEN date IN ('2024-01-03', '2024-01-04') THEN 'new' ELSE 'old' END AS version FROM v_reports")
 def chunks_replace_date(spark, sf):
     r = V.reports(spark, sf).select("doc_id", "date")
