@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..rules import COMPANIES, PROJECTS, TECHNOLOGIES
+
 #: The entities that are decoded, in this order.
 ENTITIES = (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "))
 
@@ -127,7 +129,8 @@ def extract_keywords(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(clean, r"\s+"), lambda w: F.length(w) >= 2))
 
 
-def entity_type(name: Column, companies: Sequence[str], technologies: Sequence[str], projects: Sequence[str]) -> Column:
+def entity_type(name: Column, companies: Sequence[str] = COMPANIES, technologies: Sequence[str] = TECHNOLOGIES, projects: Sequence[str] = PROJECTS) -> Column:
+    """company (the name itself), else technology, else project (a word within it), else topic_tag."""
     low = F.lower(name)
     return F.when(low.isin(*companies), "company").when(has_any(low, technologies, True), "technology").when(has_any(low, projects, True), "project").otherwise("topic_tag")
 

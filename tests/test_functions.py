@@ -48,6 +48,8 @@ def test_small_text_functions(spark):
     assert one(spark, X.has_any(F.col("h"), ("meta",)), h="METADATA") is True
     kinds = [one(spark, X.entity_type(F.col("h"), ("openai",), ("ai", "llm"), ("neo4j",)), h=h) for h in ("OpenAI", "langchain", "neo4j", "other")]
     assert kinds == ["company", "technology", "project", "topic_tag"]
+    real = [one(spark, X.entity_type(F.col("h")), h=h) for h in ("Tencent", "百度", "langchain", "向量 embedding", "neo4j", "OpenAI Inc", "misc")]
+    assert real == ["company", "company", "technology", "technology", "project", "technology", "topic_tag"]  # "ai" is within langchain and openai
 
 
 def test_summaries(spark):
