@@ -195,10 +195,10 @@ def test_candidates_are_few_and_right():
     t = pq.read_table("/root/testdata/sf0.1/embeddings.parquet")
     ids, x = t["vec_id"].to_numpy(), np.array(t["embedding"].to_pylist(), float)
     q = np.flatnonzero(ids % 100 == 0)
-    key, probe = ann.keys(x, ann.TABLES, 2, 11), ann.probe_keys(x[q], ann.TABLES, 2, ann.PROBES, 11)
+    key, probe = ann.keys(x, ann.TABLES, 2, 11), ann.probe_keys(x[q], ann.TABLES, 2, ann.code_probes(len(x)), 11)
     recall, share = [], []
     for i, row in enumerate(q):
-        met = sum(np.isin(key[:, t], probe[i, t]).astype(int) for t in range(ann.TABLES)) >= 3
+        met = sum(np.isin(key[:, t], probe[i, t]).astype(int) for t in range(ann.TABLES)) >= ann.LEAST
         d = ((x - x[row]) ** 2).sum(1)
         d[row] = np.inf
         recall.append(met[np.argsort(d)[:10]].mean())
