@@ -33,6 +33,8 @@ MAX_ROWS = 4000
 MAX_WORDS = 2_000_000
 #: Words beyond so many bytes are scored singly, piece by piece.
 LONG = 1 << 16
+#: Words whose n-grams are listed at once, when scoring.
+TOGETHER = 1 << 13
 BUCKETS = 1 << 16
 SIZES = (3, 4, 5, 6)
 DIM = 8
@@ -136,9 +138,10 @@ def long_word_score(word: np.ndarray, weights: np.ndarray) -> float:
 def word_scores(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """The mean weight of each word's n-grams."""
     out, short = np.empty(len(starts)), np.flatnonzero(ends - starts <= LONG)
-    if len(short):
-        grams, edges = subwords(data, starts[short], ends[short])
-        out[short] = np.add.reduceat(weights[grams], edges[:-1]) / np.diff(edges)
+    for i in range(0, len(short), TOGETHER):
+        part = short[i : i + TOGETHER]
+        grams, edges = subwords(data, starts[part], ends[part])
+        out[part] = np.add.reduceat(weights[grams], edges[:-1]) / np.diff(edges)
     for i in np.flatnonzero(ends - starts > LONG):
         out[i] = long_word_score(FOLD[data[starts[i] : ends[i]]], weights)
     return out
@@ -200,7 +203,10 @@ def _worst_of(model: Model):
 
 
 class _Sums:
-    """Sums of rows of x by target, and of their gradients back by source, for fixed (source, target, weight)."""
+    """Sums of rows of x by target, and of their gradients back by source, for fixed (source, target, weight); taken in
+    stretches of about ``STRETCH`` terms, so that what is gathered at once stays small."""
+
+    STRETCH = 1 << 17
 
     def __init__(self, source: np.ndarray, target: np.ndarray, weight: np.ndarray, sources: int, targets: int):
         self.shape = (sources, targets)
@@ -208,13 +214,19 @@ class _Sums:
         for a, b in ((source, target), (target, source)):
             order = np.argsort(b, kind="stable")
             edges = np.flatnonzero(np.r_[True, np.diff(b[order]) > 0]) if len(b) else np.empty(0, int)
-            self.ways.append((a[order], weight[order][:, None].astype(np.float32), edges, b[order][edges]))
+            ids = b[order][edges].astype(np.int32)
+            cuts = np.unique(np.searchsorted(edges, np.arange(0, len(b), self.STRETCH)))
+            self.ways.append((a[order].astype(np.int32), weight[order][:, None].astype(np.float32), np.r_[edges, len(b)], ids, np.r_[cuts, len(edges)]))
 
     def __call__(self, x: np.ndarray, back: bool = False) -> np.ndarray:
-        a, weight, edges, ids = self.ways[back]
+        a, weight, edges, ids, cuts = self.ways[back]
         out = np.zeros((self.shape[not back], x.shape[1]), np.float32)
-        if len(edges):
-            out[ids] = np.add.reduceat(x[a] * weight, edges)
+        for i, j in zip(cuts[:-1], cuts[1:]):
+            if i < j:
+                s, e = edges[i], edges[j]
+                terms = x[a[s:e]]
+                terms *= weight[s:e]
+                out[ids[i:j]] = np.add.reduceat(terms, edges[i:j] - s)
         return out
 
 
