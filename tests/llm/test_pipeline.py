@@ -119,6 +119,20 @@ def test_the_whole_is_its_stages(spark, docs):
     assert sorted(map(tuple, corpus_pipeline.run(spark, SF).collect())) == sorted(map(tuple, want)) and want
 
 
+def test_what_a_stage_was_made_from_is_deleted(spark, tmp_path):
+    from skylark.llm import _stage
+
+    before = _stage.staged(spark.range(3), "before")
+    corpus_pipeline.run(spark, SF).collect()
+    names = [p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in _stage._paths(spark)]
+    first = names.index("before")
+    assert names[first + 1 :] == ["pipeline-mixing", "shard-keys", "shard-places"] and before.count() == 3
+    n = _stage.staged_so_far(spark)
+    _stage.staged(spark.range(1), "one"), _stage.staged(spark.range(1), "two")
+    _stage.discard(spark, keep=1, since=n)
+    assert [p.rsplit("/", 1)[1][:3] for p in _stage._paths(spark)[n:]] == ["two"]
+
+
 SCHEMAS = {"documents": "doc_id long, text string, lang string, source string, n_chars long, _text string, size int, k string", "labels": "doc_id long, quality int, toxic int, label string", "benchmark": "item_id long, text string"}
 LONG = " ".join(f"w{i % 977}" for i in range(30_000))
 ODD = {
