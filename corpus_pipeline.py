@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skylark.llm import decontamination, jaccard_join, mixing, sharding, toxicity
-from skylark.llm._stage import staged, table
+from skylark.llm._stage import discard, staged, staged_so_far, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -43,7 +43,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. Each stage's table is written; then all that it was made from is deleted, but what was
+    staged before this call."""
+    docs, kept = table(spark, sf_dir, "documents"), staged_so_far(spark)
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(spark, keep=1, since=kept)
     return STAGES[-1][1](spark, docs, sf_dir)
