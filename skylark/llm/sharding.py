@@ -23,6 +23,8 @@ OVERFULL = 3.0
 #: (its sort then spills); rows of one record that are written out by one task.
 RANGES_PER_SHARD, RANGE_ROWS, MAX_RANGES = 8, 1_000_000, 8192
 REPEATS = 100_000
+#: Records of a range at least, on average: fewer would be overfull by chance.
+LEAST_RANGE = 64
 
 
 def _unit(*cols, seed: int) -> Column:
@@ -69,7 +71,7 @@ def assign_shards(docs: DataFrame, shards: int = 24, text: str = "text", key: st
     total, records, most = slim.agg(F.sum("b"), F.count("*"), F.max("c")).first()
     if not records:
         return slim.select(F.col("id").alias(key), "size", F.col("crc").alias("text_crc32"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot")).limit(0)
-    ranges = int(min(max(shards * RANGES_PER_SHARD, records // RANGE_ROWS), MAX_RANGES, max(1, records // 4)))
+    ranges = int(min(max(shards * RANGES_PER_SHARD, records // RANGE_ROWS), MAX_RANGES, max(1, records // LEAST_RANGE)))
     step = max(1.0, total / (ranges * SAMPLES_PER_RANGE))
     sample = slim.filter(_unit("k", "h", seed=seed) * step < F.col("b")).select("h", "k", F.greatest("b", F.lit(step)).alias("w"))
     cuts = _splitters(sample.collect(), ranges)
