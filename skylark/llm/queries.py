@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, decontamination, jaccard_join, mixing, quality, secrets_scan, sharding, substring_dedup, toxicity, url_filter
+from . import ann, decontamination, jaccard_join, mixing, periodic_runs, prefix_trie, quality, secrets_scan, sharding, substring_dedup, suffix_dedup, toxicity, url_filter
 
 
 def queries():
@@ -17,8 +17,20 @@ def queries():
         "op6_cross_polytope": ann.op6_cross_polytope,
         "op7_substring_dedup": substring_dedup.op7_substring_dedup,
         "op5_decontaminate": decontamination.op5_decontaminate,
+        "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+        "op12_periodic_runs": periodic_runs.op12_periodic_runs,
+        "op13_suffix_dedup": suffix_dedup.op13_suffix_dedup,
     }
 
 
 def oracle_sql():
-    return {"op1_host_reputation": url_filter.OP1_SQL, "op7_substring_dedup": substring_dedup.OP7_SQL, "op3_jaccard_join": jaccard_join.OP3_SQL, "op4_mix_sources": mixing.OP4_SQL, "op5_decontaminate": decontamination.OP5_SQL}
+    return {
+        "op1_host_reputation": url_filter.OP1_SQL,
+        "op7_substring_dedup": substring_dedup.OP7_SQL,
+        "op3_jaccard_join": jaccard_join.OP3_SQL,
+        "op4_mix_sources": mixing.OP4_SQL,
+        "op5_decontaminate": decontamination.OP5_SQL,
+        "op11_prefix_trie": prefix_trie.OP11_SQL,
+        "op12_periodic_runs": periodic_runs.OP12_SQL,
+        "op13_suffix_dedup": suffix_dedup.OP13_SQL,
+    }
