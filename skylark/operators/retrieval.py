@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.packing import chunks_of
 from ..functions.text import hit_count
+from .fulltext import bm25
 
 
 def chunk_documents(reports: DataFrame, size: int = 1000, overlap: int = 200) -> DataFrame:
@@ -104,20 +105,6 @@ def vector_topk_batch(rows: DataFrame, queries: DataFrame, k: int, group_rows: i
     return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def bm25(docs: DataFrame, terms: Sequence[str], key: str, text: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(key, score) of the rows that hold a term; term and document frequencies over all rows, as a scalar subquery of
-    the same plan, so nothing runs or is kept before the result is asked for."""
-    words = docs.select(key, F.split(F.lower(text), r"[^\p{L}\p{N}]+").alias("_w"))
-    base = words.select(key, F.size("_w").alias("len"), *[(F.size("_w") - F.size(F.array_remove("_w", t.lower()))).alias(f"tf{i}") for i, t in enumerate(terms)])
-    stats = base.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
-    stats = stats.select(F.struct("*")).scalar()
-    score = F.lit(0.0)
-    for i in range(len(terms)):
-        idf = F.log(1 + (stats["n"] - stats[f"df{i}"] + 0.5) / (stats[f"df{i}"] + 0.5))
-        score = score + idf * F.col(f"tf{i}") * (k1 + 1) / (F.col(f"tf{i}") + k1 * (1 - b + b * F.col("len") / stats["avg_len"]))
-    return base.select(key, score.alias("score")).filter("score > 0")
-
-
 def entity_search(entities: DataFrame, query: str) -> DataFrame:
     """(entity_id, score): full-text match of the query's words with the entities' names."""
     words = [w for w in re.split(r"[\W_]+", query.lower()) if w]

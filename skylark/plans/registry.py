@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shared import shared_dir
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+#: Tables that several queries of a session read, by application, input and name.
+_STORED: dict[tuple[str, str, str], str] = {}
 
 
 def query(name: str, sql: str | None = None):
@@ -28,10 +31,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def scratch(spark: SparkSession) -> str:
     """A new folder in the shared place that ``spark.checkpoint.dir`` names; only a local session may do without."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="skylark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[str], None]) -> str:
+    """The path of a table that ``build`` writes there once in an application: an index is built once and asked often."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED:
+        path = scratch(spark)
+        build(path)
+        _STORED[key] = path
+    return _STORED[key]

@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from .. import rules as R
 from ..functions import text as X
-from ..operators import assembly, catalog, contexts, crawl, graph, retrieval, store
+from ..operators import assembly, catalog, contexts, crawl, fulltext, graph, retrieval, store
 from ..sources import landed, sinks
 from ..streaming import streams
 from . import views as V
-from .registry import query, scratch, table
+from .registry import query, scratch, stored, table
 
 _A, _R, _I, _T, _M = (f"WITH {s} " for s in (V.APPEARANCES_SQL, V.REPORTS_SQL, V.REPO_SQL, V.STORE_SQL, V.SITEMAP_SQL))
 RULES = R.CORPUS_RULES
@@ -324,11 +324,6 @@ def vector_topk_batch(spark, sf):
     return retrieval.vector_topk_batch(e, e.filter("vec_id % 50 = 0"), 10).select("query_id", "vec_id", "rank")
 
 
-@query("vector_topk_batch_all", _BATCH)
-def vector_topk_batch_all(spark, sf):
-    return vector_topk_batch(spark, sf)
-
-
 _TERMS = ("the", "license", "erin")
 def _bm25(docs, key, text, terms):
     """CTEs b, s and bm: BM25 of the terms over a table."""
@@ -341,9 +336,29 @@ bm AS (SELECT {key}, {" + ".join(f"ln(1 + (n - df{i} + 0.5) / (df{i} + 0.5)) * t
 _BM25 = _bm25("documents", "doc_id", "text", _TERMS)
 
 
+def _text_index(spark, sf):
+    """The documents' inverted index, built by the first query that asks it."""
+    return stored(spark, sf, "fulltext", lambda path: fulltext.write_index(table(spark, sf, "documents"), path, "doc_id", "text"))
+
+
 @query("fulltext_docs", f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score FROM bm WHERE score > 0")
 def fulltext_docs(spark, sf):
-    return retrieval.bm25(table(spark, sf, "documents"), _TERMS, "doc_id", "text").select("doc_id", F.round("score", 6).alias("score"))
+    return fulltext.search(spark, _text_index(spark, sf), _TERMS, "doc_id").select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query("fulltext_vocabulary", r"SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) AS term FROM documents) GROUP BY ALL) GROUP BY term")
+def fulltext_vocabulary(spark, sf):
+    """Each word of the index with its document and corpus frequency."""
+    return fulltext.vocabulary(spark, _text_index(spark, sf))
+
+
+@query("fulltext_growing", f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score FROM bm WHERE score > 0")
+def fulltext_growing(spark, sf):
+    """An index that two further sets of documents are added to answers as if all had come at once."""
+    d, at = table(spark, sf, "documents"), scratch(spark)
+    for third in range(3):
+        fulltext.write_index(d.filter(F.col("doc_id") % 3 == third), at, "doc_id", "text")
+    return fulltext.search(spark, at, _TERMS, "doc_id").select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query("fulltext_topics", _A + f""", ents AS (SELECT DISTINCT entity_id FROM {_MENTIONS}), {_bm25("ents", "entity_id", "entity_id", ("click", "u12", "u7"))}, e AS (SELECT * FROM bm WHERE score > 0)
@@ -380,7 +395,7 @@ def hybrid_search(spark, sf):
     from pyspark.sql import Window
 
     near = retrieval.vector_topk(table(spark, sf, "embeddings"), _first(spark, sf), 20).select(F.concat(F.lit("doc-"), F.col("vec_id").cast("string")).alias("key"), "distance", "vec_id")
-    text = retrieval.bm25(table(spark, sf, "documents"), _TERMS, "doc_id", "text").orderBy(F.desc("score"), "doc_id").limit(20).select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("key"), "score", "doc_id")
+    text = fulltext.search(spark, _text_index(spark, sf), _TERMS, "doc_id").orderBy(F.desc("score"), "doc_id").limit(20).select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("key"), "score", "doc_id")
     a = near.select("key", (F.row_number().over(Window.orderBy("distance", "vec_id")) - 1).alias("rank0"))
     b = text.select("key", (F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")) - 1).alias("rank0"))
     return retrieval.hybrid_search(a, b, 10)
@@ -390,7 +405,7 @@ def hybrid_search(spark, sf):
 FROM (SELECT bm.doc_id, score, source, text FROM bm JOIN documents USING (doc_id) WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 5)""")
 def search_rendered(spark, sf):
     d = table(spark, sf, "documents")
-    best = retrieval.bm25(d, _TERMS, "doc_id", "text").orderBy(F.desc("score"), "doc_id").limit(5)
+    best = fulltext.search(spark, _text_index(spark, sf), _TERMS, "doc_id").orderBy(F.desc("score"), "doc_id").limit(5)
     hits = best.join(d.select("doc_id", "source", "text"), "doc_id").withColumn("date", F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 30).cast("int")), "yyyy-MM-dd"))
     return retrieval.rendered_hits(hits, [F.desc("score"), "doc_id"])
 
@@ -423,6 +438,17 @@ def _index(spark, sf):
     return s.select("title", "category", F.substring(F.get("evidence", F.lit(0)), 1, 80).alias("source"), "reason", F.array_join("evidence", " ").alias("evidence"), "score", "action", day.alias("date"), "item_ord")
 
 
+def _stored_index(spark, sf):
+    """The search index as it is written once, by date."""
+    return sinks.read_search_index(spark, stored(spark, sf, "search_index", lambda path: sinks.write_search_index(_index(spark, sf), path)))
+
+
+@query("search_index_stored", _IDX + " SELECT date, title, category, source, reason, evidence, score, item_ord FROM idx")
+def search_index_stored(spark, sf):
+    """The search index, written under its dates and read back."""
+    return _stored_index(spark, sf).select("date", "title", "category", "source", "reason", "evidence", "score", "item_ord")
+
+
 def _h(text):
     return "(" + " + ".join(f"CASE WHEN contains(lower({text}), '{w}') THEN 1 ELSE 0 END" for w in _KW2) + ")::INT"
 
@@ -435,7 +461,7 @@ hit AS (SELECT idx.*, d, {_h("title || ' ' || category || ' ' || reason || ' ' |
 top AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY hits DESC, score DESC, item_ord) AS n FROM hit WHERE hits > 0 QUALIFY n <= 8)
 SELECT date, title, hits, score FROM top QUALIFY row_number() OVER (PARTITION BY title ORDER BY d, n) = 1""")
 def chat_context(spark, sf):
-    return retrieval.chat_context(_index(spark, sf), _KW2)
+    return retrieval.chat_context(_stored_index(spark, sf), _KW2)
 
 
 @query("citations", f"WITH {V.REPORTS_SQL}, {_IDX[5:]}, {_BEST}, days AS (SELECT date, min(n) AS n FROM best WHERE n <= 5 GROUP BY date)," + """
@@ -445,14 +471,14 @@ def citations(spark, sf):
     from pyspark.sql import Window
 
     text = F.concat_ws(" ", "title", "category", "source")
-    best = retrieval.keyword_search(_index(spark, sf), text, _KW2, 5, [F.desc("score"), "item_ord"])
+    best = retrieval.keyword_search(_stored_index(spark, sf), text, _KW2, 5, [F.desc("score"), "item_ord"])
     best = best.withColumn("n", F.row_number().over(Window.orderBy(F.desc("hits"), F.desc("score"), "item_ord")))  # five rows
     return retrieval.citations(best.select("date", "n"), catalog.search_excerpts(V.reports(spark, sf)), _KW2)
 
 
 @query("chat_context_fallback", _IDX + f"""SELECT date, n, title, score FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY hits DESC, score DESC, item_ord)::INT AS n FROM (SELECT *, {_h("title || ' ' || category || ' ' || reason || ' ' || evidence")} AS hits FROM idx) WHERE hits > 0 AND date IN (SELECT DISTINCT date FROM idx ORDER BY date DESC LIMIT 5)) WHERE n <= 3""")
 def chat_context_fallback(spark, sf):
-    i = _index(spark, sf)
+    i = _stored_index(spark, sf)
     return retrieval.chat_fallback(i, _KW2, catalog.latest_dates(i, 5))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -11,6 +11,17 @@ def overwrite_dates(df: DataFrame, path: str, fmt: str = "parquet", by: tuple[st
     df.repartition(*by).write.partitionBy(*by).option("partitionOverwriteMode", "dynamic").mode("overwrite").format(fmt).save(path)
 
 
+def write_search_index(index: DataFrame, path: str) -> None:
+    """The search index under ``date=`` folders; days are balanced by size, so a day of any size takes several tasks. A
+    day that is written again is replaced."""
+    index.hint("rebalance", "date").write.partitionBy("date").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+
+
+def read_search_index(spark: SparkSession, path: str) -> DataFrame:
+    rows = spark.read.option("basePath", path).parquet(path)
+    return rows.withColumn("date", F.col("date").cast("string"))
+
+
 def write_pool(candidates: DataFrame, path: str) -> None:
     """The daily pool as JSON lines, one folder for each date."""
     overwrite_dates(candidates, path, "json")

@@ -140,7 +140,7 @@ def test_vector_topk_batch_asks_all_queries(spark):
     assert got == want | {1002: {1: 1003}, 1003: {1: 1002}}
 
 
-def test_vector_topk_batch_all_is_exact(spark):
+def test_vector_topk_batch_is_exact(spark):
     from skylark.plans import QUERIES
 
     e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").orderBy("vec_id").collect()
@@ -151,4 +151,4 @@ def test_vector_topk_batch_all_is_exact(spark):
         d = 1 - unit @ unit[i]
         d[i] = np.inf
         want |= {(int(ids[i]), int(ids[j]), n + 1) for n, j in enumerate(np.lexsort((ids, d))[:10])}
-    assert {tuple(r) for r in QUERIES["vector_topk_batch_all"](spark, "/root/testdata/sf0.01").collect()} == want
+    assert {tuple(r) for r in QUERIES["vector_topk_batch"](spark, "/root/testdata/sf0.01").collect()} == want
