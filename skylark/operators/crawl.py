@@ -12,13 +12,18 @@ def crawl_diff(found: DataFrame, state: DataFrame, metadata_only: Sequence[str]
     """New URLs: unseen, or with a later lastmod than stored (string order), but for sites that only count unseen ones.
     Of a site without any state the newest ``first_run`` come."""
     known = state.select("site", "url", F.col("lastmod").alias("_old"))
-    sites = state.select("site").distinct().withColumn("_known", F.lit(True))
-    rows = found.join(known, ["site", "url"], "left").join(sites, "site", "left")
+    return fresh_urls(found.join(known, ["site", "url"], "left").select(*found.columns, "_old"), state.select("site").distinct(), metadata_only, first_run)
+
+
+def fresh_urls(rows: DataFrame, sites: DataFrame, metadata_only: Sequence[str] = (), first_run: int = 25) -> DataFrame:
+    """The new URLs of rows that carry the stored lastmod in ``_old`` (null: unseen); ``sites`` are those with a state."""
+    columns = [c for c in rows.columns if c != "_old"]
+    rows = rows.join(sites.withColumn("_known", F.lit(True)), "site", "left")
     newer = F.col("_old").isNotNull() & ~F.col("site").isin(*metadata_only) & (F.col("lastmod") > F.col("_old"))
     fresh = rows.filter(F.col("_old").isNull() | newer)
     w = Window.partitionBy("site").orderBy(F.desc_nulls_last("lastmod"), "url")
     ranked = fresh.filter("_known IS NULL").withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= first_run).drop("_n")
-    return fresh.filter("_known").unionByName(ranked).select(*found.columns, F.coalesce("_known", F.lit(False)).alias("known_site"))
+    return fresh.filter("_known").unionByName(ranked).select(*columns, F.coalesce("_known", F.lit(False)).alias("known_site"))
 
 
 def next_state(found: DataFrame, state: DataFrame) -> DataFrame:

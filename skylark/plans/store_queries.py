@@ -8,7 +8,7 @@ from .. import rules as R
 from ..functions import text as X
 from ..operators import assembly, catalog, contexts, crawl, fulltext, graph, retrieval, store
 from ..sources import landed, sinks
-from ..streaming import streams
+from ..streaming import streams, tables
 from . import views as V
 from .registry import query, scratch, stored, table
 
@@ -620,7 +620,7 @@ def _stream(spark, sf, name):
 def stream_kg_topics(spark, sf):
     app, at = V.appearances(spark, sf, read=_stream), scratch(spark)
     streams.merge_topics(app, f"{at}/topics", f"{at}/checkpoint").start().awaitTermination()
-    return streams.current(spark, f"{at}/topics").drop("ord")
+    return tables.current(spark, f"{at}/topics").drop("ord")
 
 
 @query("stream_dedup", "SELECT user_id, event_type FROM events GROUP BY ALL")
@@ -640,18 +640,36 @@ def stream_crawl_diff(spark, sf):
     return spark.read.parquet(f"{at}/crawl/new/batch=*").select("page_id", "site", "lastmod")
 
 
+@query("stream_crawl_state", _M + " SELECT coalesce(f.site, s.site) AS site, coalesce(f.url, s.url) AS url, CASE WHEN f.url IS NULL THEN s.lastmod ELSE coalesce(f.lastmod, 'seen') END AS lastmod FROM v_site f FULL JOIN v_state s ON s.site = f.site AND s.url = f.url")
+def stream_crawl_state(spark, sf):
+    """All URLs with their lastmod, read from the state store after a crawl in batches."""
+    found, at = V.sitemap(spark, sf, read=_stream).select("page_id", "site", "url", "lastmod"), scratch(spark)
+    streams.crawl_diffs(found, V.crawl_state(spark, sf), f"{at}/crawl", f"{at}/checkpoint", ("site1",)).start().awaitTermination()
+    return streams.crawl_state(spark, f"{at}/checkpoint")
+
+
 @query("stream_score", f"WITH {V.SIGNALS_SQL} SELECT item_ord, category, score, action FROM v_pool")
 def stream_score(spark, sf):
     signals, at = V.signals(spark, sf, read=_stream), scratch(spark)
-    streams.upsert_sink(streams.score_stream(signals, V.now(), RULES).select("item_ord", "category", "score", "action"), f"{at}/rows", f"{at}/checkpoint").start().awaitTermination()
-    return streams.latest(spark, f"{at}/rows", ["item_ord"])
+    scored = streams.score_stream(signals, V.now(), RULES).select("item_ord", "category", "score", "action")
+    streams.upsert_sink(scored, ["item_ord"], f"{at}/rows", f"{at}/checkpoint").start().awaitTermination()
+    return tables.current(spark, f"{at}/rows")
 
 
 @query("stream_daily_top", f"""WITH {V.SIGNALS_SQL} SELECT day, rank, title, score FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY score DESC, src_ord, item_ord)::INT AS rank
   FROM (SELECT *, strftime(DATE '2024-01-01' + (item_ord % 5)::INT, '%Y-%m-%d') AS day FROM v_pool)) WHERE rank <= 60""")
 def stream_daily_top(spark, sf):
-    """The best 60 of each day, kept up to date as signals come in."""
-    day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("item_ord") % 5).cast("int")), "yyyy-MM-dd")
-    signals, at = V.signals(spark, sf, read=_stream).withColumn("day", day), scratch(spark)
-    streams.daily_top(streams.score_stream(signals, V.now(), RULES), f"{at}/top", f"{at}/checkpoint", keep=("day", "title")).start().awaitTermination()
-    return streams.current(spark, f"{at}/top").select("day", "rank", "title", "score")
+    """The best 60 of each day of event time, kept up to date as signals come in."""
+    ts = F.timestamp_add("DAY", (F.col("item_ord") % 5).cast("int"), F.lit("2024-01-01").cast("timestamp"))
+    signals, at = V.signals(spark, sf, read=_stream).withColumn("ts", ts), scratch(spark)
+    streams.daily_top(streams.score_stream(signals, V.now(), RULES), f"{at}/top", f"{at}/checkpoint", keep=("title",), late_days=30).start().awaitTermination()
+    return tables.current(spark, f"{at}/top").select("day", "rank", "title", "score")
+
+
+@query("stream_dedup_watermark", "SELECT user_id, event_type FROM events GROUP BY ALL")
+def stream_dedup_watermark(spark, sf):
+    """The same within a watermark, which here covers all of the events' time."""
+    rows, at = _stream(spark, sf, "events").select("user_id", "event_type", "ts"), scratch(spark)
+    out = streams.dedup_stream(rows, ["user_id", "event_type"], late="400 days")
+    out.writeStream.format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{at}/rows").select("user_id", "event_type")
