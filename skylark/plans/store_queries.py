@@ -669,7 +669,7 @@ def stream_daily_top(spark, sf):
 @query("stream_dedup_watermark", "SELECT user_id, event_type FROM events GROUP BY ALL")
 def stream_dedup_watermark(spark, sf):
     """The same within a watermark, which here covers all of the events' time."""
-    rows, at = _stream(spark, sf, "events").select("user_id", "event_type", "ts"), scratch(spark)
+    rows, at = _stream(spark, sf, "events").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts")), scratch(spark)
     out = streams.dedup_stream(rows, ["user_id", "event_type"], late="400 days")
     out.writeStream.format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{at}/rows").select("user_id", "event_type")
