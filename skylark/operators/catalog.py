@@ -80,17 +80,30 @@ def selected_reports(reports: DataFrame) -> DataFrame:
 
 def daily_concat(reports: DataFrame, limit: int = 2000, separator: str = "\n\n---\n\n") -> DataFrame:
     """Per date the texts in order of report, each cut to ``limit`` characters. One row holds a day, so a day's reports
-    must be few (some thousands): it is the size of one digest. ``digest_parts`` has the same as rows."""
+    must be few (some thousands): it is the size of one digest. ``digest_parts`` has the same in parts."""
     part = F.struct("report_type", "doc_id", F.concat(F.lit("## "), "report_type", F.lit("\n"), F.substring("content", 1, limit)).alias("t"))
     return reports.groupBy("date").agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda p: p["t"]), separator).alias("body"))
 
 
-def digest_parts(reports: DataFrame, limit: int = 2000, per_part: int = 1000) -> DataFrame:
-    """(date, part, pos, text): what ``daily_concat`` joins, one row each, for days of any size; parts are cut by a hash
-    of the row, and (report_type, doc_id) orders all of a day."""
-    part = F.pmod(F.xxhash64("report_type", "doc_id"), F.greatest(F.lit(1), F.ceil(F.count("*").over(Window.partitionBy("date")) / per_part)))
+def digest_parts(reports: DataFrame, limit: int = 2000, part_chars: int = 100_000, separator: str = "\n\n---\n\n", chunk: int = 10_000) -> DataFrame:
+    """(date, part, start, body): the text that ``daily_concat`` gives for a day, cut between reports into parts of about
+    ``part_chars`` characters; ``start`` is a part's place in it, and the parts end to end are the whole. For days of any
+    size: places are summed within ranges of ``chunk`` ids, then over the ranges, then added up."""
     text = F.concat(F.lit("## "), "report_type", F.lit("\n"), F.substring("content", 1, limit))
-    return reports.select("date", part.cast("int").alias("part"), F.struct("report_type", "doc_id").alias("pos"), text.alias("text"))
+    rows = reports.select("date", "report_type", F.floor(F.col("doc_id") / chunk).alias("_range"), "doc_id", F.coalesce(text, F.lit("")).alias("_text"))
+    rows = rows.withColumn("_size", (F.length("_text") + len(separator)).cast("long"))
+    group = ["date", "report_type", "_range"]
+    before = Window.unboundedPreceding, -1
+    upto = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(*before)), F.lit(0))
+    ranges = rows.groupBy(group).agg(F.sum("_size").alias("_sum"))  # a row for each range
+    ranges = ranges.select(*group, upto(Window.partitionBy("date").orderBy("report_type", "_range"), "_sum").alias("_first"))
+    placed = rows.withColumn("_in", upto(Window.partitionBy(group).orderBy("doc_id"), "_size")).join(ranges, group).withColumn("at", F.col("_first") + F.col("_in"))
+    piece = F.when(F.col("at") > 0, F.concat(F.lit(separator), "_text")).otherwise(F.col("_text"))
+    parts = placed.select("date", F.floor(F.col("at") / part_chars).alias("_part"), F.struct("at", piece.alias("t")).alias("x")).groupBy("date", "_part").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    first = F.get("xs", F.lit(0))["at"]
+    start = F.when(first > 0, first - len(separator)).otherwise(first)
+    body = F.array_join(F.transform("xs", lambda x: x["t"]), "")
+    return parts.select("date", F.row_number().over(Window.partitionBy("date").orderBy("_part")).alias("part"), start.alias("start"), body.alias("body"))
 
 
 def weekly(reports: DataFrame, days: int = 7, limit: int = 2000) -> DataFrame:

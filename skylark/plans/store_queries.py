@@ -105,6 +105,16 @@ def daily_concat(spark, sf):
     return catalog.daily_concat(V.reports(spark, sf)).select("date", F.md5("body").alias("body_md5"))
 
 
+@query("digest_parts", _R + """, t AS (SELECT date, report_type, doc_id, '## ' || report_type || chr(10) || left(content, 2000) AS t FROM v_reports),
+whole AS (SELECT date, string_agg(t, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY report_type, doc_id) AS body FROM t GROUP BY date),
+p AS (SELECT date, coalesce(sum(length(t) + 7) OVER (PARTITION BY date ORDER BY report_type, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS o, length(t) AS n FROM t),
+part AS (SELECT date, o // 20000 AS k, min(o) AS a, max(o + n) AS z FROM p GROUP BY ALL)
+SELECT date, row_number() OVER (PARTITION BY date ORDER BY k)::INT AS part, greatest(a - 7, 0)::BIGINT AS start, md5(substr(body, greatest(a - 7, 0)::BIGINT + 1, (z - greatest(a - 7, 0))::BIGINT)) AS body_md5 FROM part JOIN whole USING (date)""")
+def digest_parts(spark, sf):
+    """Each part of a day's digest is the same stretch of the whole."""
+    return catalog.digest_parts(V.reports(spark, sf), part_chars=20_000).select("date", "part", "start", F.md5("body").alias("body_md5"))
+
+
 #: The order of reports, and reports of all its names (and one that is not in it), base and -en.
 _ORDER = R.report_order("pool-report")
 _NAMES = (*_ORDER, "ai-other")
@@ -605,6 +615,25 @@ def report_scan(spark, sf):
     return landed.scan_report_table(spark, at).select("date", "report_type", F.md5("content").alias("content_md5"))
 
 
+_BROKEN = "CASE WHEN item_ord % 7 = 0 THEN 'not JSON' WHEN item_ord % 7 = 1 THEN 'no candidates' ELSE 'good' END"
+
+
+@query("pool_quarantine", _IDX + f", f AS (SELECT DISTINCT strftime(DATE '2024-01-01' + (item_ord % 30)::INT, '%Y-%m-%d') AS date, {_BROKEN} AS state FROM idx) SELECT date, state, count(*) AS files FROM f GROUP BY ALL")
+def pool_quarantine(spark, sf):
+    """Pool files of each day, a third of them broken: the good ones' dates, and what the others are set aside for."""
+    rows = _index(spark, sf)
+    state = F.when(F.col("item_ord") % 7 == 0, "not JSON").when(F.col("item_ord") % 7 == 1, "no candidates").otherwise("good")
+    pools = rows.select("date", state.alias("state"), F.struct("title", "score").alias("c")).groupBy("date", "state").agg(F.slice(F.sort_array(F.collect_list("c")), 1, 60).alias("candidates"))
+    text = F.to_json(F.struct("candidates"))
+    value = F.when(F.col("state") == "not JSON", F.substring(text, 1, 40)).when(F.col("state") == "no candidates", F.lit('{"items": []}')).otherwise(text)
+    at = f"{scratch(spark)}/pools"
+    pools.select("date", "state", value.alias("value")).repartition("date", "state").write.partitionBy("date", "state").text(at)
+    bad = landed.quarantined_pools(spark.read, at, multi_line=False)
+    good = landed.scan_pool(spark.read, at, multi_line=False).select(F.col("date").cast("string").alias("date"), "state").distinct()
+    day = F.regexp_extract("path", "date=([0-9-]+)", 1)
+    return good.select("date", "state").unionByName(bad.select(day.alias("date"), F.col("reason").alias("state"))).groupBy("date", "state").agg(F.count("*").alias("files"))
+
+
 # streams ---------------------------------------------------------------------------------------------------------
 BATCHES = 3
 

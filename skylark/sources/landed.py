@@ -89,11 +89,38 @@ def scan_json(reader: DataFrameReader, path: str, schema: str, multi_line: bool
     return rows.filter("_corrupt_record IS NULL").drop("_corrupt_record")
 
 
+_CANDIDATES = "array<struct<title:string,topic:string,url:string,source:string,category:string,score:int,action:string,reason:string,summary:string,evidence:array<string>>>"
+
+
+def quarantined_json(reader: DataFrameReader, path: str, schema: str, needs: dict[str, str], multi_line: bool = True) -> DataFrame:
+    """(path, reason) of the JSON files under ``path`` that are set aside: those that are no JSON, and those without one of
+    the columns in ``needs``, with the reason for each. ``scan_json`` reads the others."""
+    rows = reader.options(**PERMISSIVE, multiLine=multi_line).schema(f"{schema}, _corrupt_record string").json(path)
+    reason = F.when(F.col("_corrupt_record").isNotNull(), "not JSON")
+    for column, why in needs.items():
+        reason = reason.when(F.col(column).isNull(), why)
+    return rows.select(F.input_file_name().alias("path"), reason.alias("reason"), *needs, "_corrupt_record").filter("reason IS NOT NULL").select("path", "reason").distinct()
+
+
+def quarantined_pools(reader: DataFrameReader, path: str, multi_line: bool = True) -> DataFrame:
+    return quarantined_json(reader, path, f"generated_at string, candidates {_CANDIDATES}", {"candidates": "no candidates"}, multi_line)
+
+
+def quarantined_reports(spark: SparkSession, path: str, glob: str = "*.md") -> DataFrame:
+    """(path, reason) of the report files under ``path`` that are set aside: names without a date, blank files, and files
+    that are not UTF-8. Files are read as bytes, for a reader of text would replace what it cannot decode; files without
+    any byte are not seen by Spark's readers."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
+    dated = F.rlike("path", F.lit(r"/(?:date=)?\d{4}-\d{2}-\d{2}/[^/]+(?:/[^/]+)?$"))
+    reason = F.when(~dated, "no date").when(F.rlike(F.col("content").cast("string"), F.lit(r"^\s*$")), "blank").when(~F.is_valid_utf8(F.col("content").cast("string")), "not UTF-8")
+    return raw.select("path", reason.alias("reason")).filter("reason IS NOT NULL")
+
+
 def scan_pool(reader: DataFrameReader, path: str, multi_line: bool = True) -> DataFrame:
-    """Candidates of the daily pools, one row each; title falls back to topic."""
-    item = "array<struct<title:string,topic:string,url:string,source:string,category:string,score:int,action:string,reason:string,summary:string,evidence:array<string>>>"
-    pools = scan_json(reader, path, f"generated_at string, candidates {item}", multi_line)
-    return pools.select("date", F.posexplode("candidates").alias("item_ord", "c")).select("date", "item_ord", F.coalesce("c.title", "c.topic").alias("title"), *[f"c.{x}" for x in ("url", "source", "category", "score", "action", "reason", "summary", "evidence")])
+    """Candidates of the daily pools, one row each; title falls back to topic. Broken files: ``quarantined_pools``."""
+    pools = scan_json(reader, path, f"generated_at string, candidates {_CANDIDATES}", multi_line)
+    folders = [c for c in pools.columns if c not in ("date", "generated_at", "candidates")]
+    return pools.select("date", *folders, F.posexplode("candidates").alias("item_ord", "c")).select("date", *folders, "item_ord", F.coalesce("c.title", "c.topic").alias("title"), *[f"c.{x}" for x in ("url", "source", "category", "score", "action", "reason", "summary", "evidence")])
 
 
 def scan_reports(spark: SparkSession, path: str) -> DataFrame:

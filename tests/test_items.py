@@ -130,8 +130,11 @@ def test_report_order_and_feed(spark):
     assert catalog.manifest(r, order).first().reports == ["pool", "ai-cli", "ai-web", "ai-hn", "ai-hn-en", "ai-monthly", "other"]
     feed = catalog.feed_items(r, order, site="https://s", labels={"pool": "The pool"}, limit=2).collect()
     assert [(f.title, f.link, f.pub_date, f.summary) for f in feed] == [("The pool 2026-01-02", "https://s/digests/2026-01-02/pool.html", "Fri, 02 Jan 2026 00:00:00 +0000", "a &amp;"), ("ai-cli 2026-01-02", "https://s/#2026-01-02/ai-cli", "Fri, 02 Jan 2026 00:00:00 +0000", "a &amp;")]
-    parts = catalog.digest_parts(r, per_part=2).orderBy("pos").collect()
-    assert len(parts) == 7 and "\n\n---\n\n".join(p.text for p in parts) == catalog.daily_concat(r).first().body and max(p.part for p in parts) > 0
+    whole = catalog.daily_concat(r).first().body
+    for size, chunk in ((1, 1), (30, 2), (60, 10_000), (10_000, 3)):
+        parts = catalog.digest_parts(r, part_chars=size, chunk=chunk).orderBy("part").collect()
+        assert "".join(p.body for p in parts) == whole and all(whole[p.start :].startswith(p.body) for p in parts)
+        assert [p.part for p in parts] == list(range(1, len(parts) + 1)) and (len(parts) == 7) == (size == 1) and (len(parts) == 1) == (size == 10_000)
 
 
 def test_entity_search_and_rendering(spark):
