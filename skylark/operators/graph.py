@@ -66,12 +66,22 @@ def trend(app: DataFrame, contains: str, since: Column) -> DataFrame:
     return edges.select("topic_id", "date", "score", direction.alias("direction"), delta.alias("delta"))
 
 
+def write_edges(edges: DataFrame, name: str, path: str, key: str = "topic_id", buckets: int = 64) -> None:
+    """A table of edges in buckets of ``key``, sorted by it: joins of such tables on the key need no shuffle, so only
+    tables of equal ``buckets`` should meet. The table is known by ``name`` to the session's catalogue."""
+    edges.write.format("parquet").bucketBy(buckets, key).sortBy(key).option("path", path).mode("overwrite").saveAsTable(name)
+
+
 def entity_info(app: DataFrame, contains: str, limit: int = 5) -> DataFrame:
-    """Topics of matching entities and the entities that share them, first ``limit`` of each by name."""
-    m = mentions(app)
-    own = m.select("entity_id").distinct().filter(F.contains("entity_id", F.lit(contains.lower()))).join(m, "entity_id", "left")
+    return entity_neighbours(mentions(app), contains, limit)
+
+
+def entity_neighbours(m: DataFrame, contains: str, limit: int = 5) -> DataFrame:
+    """Topics of matching entities and the entities that share them, first ``limit`` of each by name; m: distinct
+    (entity_id, topic_id), best a table of ``write_edges``."""
+    own = m.filter(F.contains("entity_id", F.lit(contains.lower())))
     other = m.withColumnRenamed("entity_id", "other_id")
-    related = own.join(other, "topic_id", "left").filter((F.col("other_id") != F.col("entity_id")) | F.col("other_id").isNull())
+    related = own.join(other, "topic_id").filter(F.col("other_id") != F.col("entity_id"))
 
     def first(rows: DataFrame, column: str, name: str) -> DataFrame:
         """The first names of each entity: few rows reach the aggregate, however many it has."""

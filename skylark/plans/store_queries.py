@@ -76,7 +76,11 @@ t AS (SELECT entity_id, array_to_string(list_sort(list(DISTINCT topic_id))[1:5],
 r AS (SELECT o.entity_id, array_to_string(list_sort(list(DISTINCT b.entity_id))[1:5], ',') AS related FROM own o JOIN m b ON o.topic_id = b.topic_id AND o.entity_id <> b.entity_id GROUP BY 1)
 SELECT t.entity_id, topics, coalesce(related, '') AS related FROM t LEFT JOIN r ON t.entity_id = r.entity_id""")
 def entity_info(spark, sf):
-    return graph.entity_info(V.appearances(spark, sf), "u1")
+    def build(path):
+        graph.write_edges(graph.mentions(V.appearances(spark, sf)), f"skylark_{path.rpartition('-')[2]}", path, buckets=8)
+
+    path = stored(spark, sf, "mentions", build)
+    return graph.entity_neighbours(spark.table(f"skylark_{path.rpartition('-')[2]}"), "u1")
 
 
 @query("daily_overview", _A + f"SELECT e.topic_id, e.date, e.score, e.action, t.name, t.category FROM {_EDGES} e JOIN {_TOPICS} t ON e.topic_id = t.topic_id WHERE e.date = '2024-01-15' ORDER BY e.score DESC, e.topic_id LIMIT 10")

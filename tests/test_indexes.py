@@ -9,7 +9,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from skylark.operators import fulltext, retrieval
+from skylark.operators import fulltext, graph, retrieval
 from skylark.sources import sinks
 
 
@@ -87,3 +87,21 @@ def test_chat_context_prunes_to_its_dates(spark, tmp_path):
     sinks.write_search_index(spark.createDataFrame([("2026-01-03", "new", "c", "s", "r", "e", 1, 1)], SCHEMA), at)
     back = sinks.read_search_index(spark, at)
     assert back.count() == 96 and [r.title for r in back.filter("date = '2026-01-03'").collect()] == ["new"]
+
+
+def test_edges_join_without_a_shuffle(spark, tmp_path, monkeypatch):
+    rows = [(f"e{i % 7}", f"t{i % 11}") for i in range(60)] + [("alone", "t99")]
+    edges = spark.createDataFrame(rows, "entity_id string, topic_id string").distinct()
+    graph.write_edges(edges, "edges_of_a_test", str(tmp_path / "edges"), buckets=4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        m = spark.table("edges_of_a_test")
+        own = m.filter("entity_id = 'e1'").join(m.withColumnRenamed("entity_id", "other_id"), "topic_id")
+        assert "SortMergeJoin" in plan(own) and "Exchange" not in plan(own)
+        got = graph.entity_neighbours(m, "E1")
+        assert "hashpartitioning(topic_id" not in plan(got)
+        assert [tuple(r) for r in got.collect()] == [tuple(r) for r in graph.entity_neighbours(edges, "e1").collect()]
+        assert [tuple(r) for r in graph.entity_neighbours(m, "alone").collect()] == [("alone", "t99", "")]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("drop table edges_of_a_test")
