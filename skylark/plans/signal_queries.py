@@ -382,3 +382,76 @@ def sitemap_urls(spark, sf):
     block = F.concat(F.lit("<url><loc>"), X.escape_xml(F.col("url")), F.lit("</loc>"), F.coalesce(F.concat(F.lit("<lastmod>"), "lastmod", F.lit("</lastmod>")), F.lit("")), F.lit("</url>"))
     maps = s.groupBy("site", F.floor(F.col("page_id") / 600).alias("part")).agg(F.array_join(F.collect_list(block), "\n").alias("value"))
     return urls(maps).select("url", "lastmod")
+
+
+# whole feeds through their normalisers ---------------------------------------------------------------------------
+_PLAIN = "trim(left(regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g'), 60))"
+
+
+def _plain():
+    return F.trim(F.substring(F.regexp_replace("text", "[^A-Za-z0-9]+", " "), 1, 60))
+
+
+def _feeds(rows, block, size):
+    """Blocks of ``size`` documents each, in order of id, as feeds in order."""
+    dealt = rows.select(F.floor(F.col("doc_id") / size).alias("item_ord"), F.struct("doc_id", block.alias("b")).alias("x")).groupBy("item_ord")
+    return dealt.agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["b"]), "\n").alias("value"))
+
+
+@query("src_trending_repos", f"""SELECT source || '/r' || doc_id AS full_name, {_PLAIN} AS description, CASE WHEN doc_id % 4 = 0 THEN '' ELSE lang END AS language,
+  CASE WHEN doc_id % 5 = 0 THEN 0 ELSE doc_id * 13 % 5000 END::INT AS today_stars, n_chars::INT AS total_stars, CASE WHEN doc_id % 6 = 0 THEN 0 ELSE doc_id % 900 END::INT AS forks, 'https://github.com/' || source || '/r' || doc_id AS url
+FROM documents WHERE doc_id % 9 <> 0""")
+def src_trending_repos(spark, sf):
+    """Trending pages of 25 repositories, through their normaliser; blocks without a name are passed over."""
+    n, name = F.col("doc_id"), F.concat("source", F.lit("/r"), F.col("doc_id").cast("string"))
+    some = lambda test, *parts: F.when(test, F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])).otherwise("")
+    block = F.concat(
+        F.lit('<article class="Box-row"><h2 class="h3">'), some(n % 9 != 0, '<a data-x="1" href="/', name, '">x</a>'), F.lit('</h2><p class="col-9 my-1">\n  '), _plain(), F.lit(" \n</p>"),
+        some(n % 4 != 0, '<span itemprop="programmingLanguage">', F.col("lang"), "</span>"), F.lit('<a href="/'), name, F.lit('/stargazers"> <svg></svg> '), F.format_number("n_chars", 0), F.lit("</a>"),
+        some(n % 6 != 0, '<a href="/', name, '/forks">', F.format_number(n % 900, 0), "</a>"), some(n % 5 != 0, F.format_number(n * 13 % 5000, 0), " stars today"), F.lit("</article>"),
+    )
+    return items.trending_repos(_feeds(table(spark, sf, "documents"), block, 25)).drop("item_ord")
+
+
+@query("src_papers", f"""SELECT 'http://e.org/abs/' || doc_id AS id, {_PLAIN} AS title, array_to_string(CASE WHEN doc_id % 3 = 0 THEN [source] ELSE [source, lang] END, ';') AS authors, strftime(t, '%Y-%m-%dT%H:%M:%SZ') AS published,
+  CASE WHEN doc_id % 2 = 0 THEN 'https://e.org/paper/' || doc_id ELSE 'http://e.org/abs/' || doc_id END AS url, CASE WHEN doc_id % 2 = 0 THEN 'https://e.org/paper/' || doc_id ELSE 'http://e.org/pdf/' || doc_id END AS pdf_url
+FROM (SELECT *, TIMESTAMP '{V.NOW_TEXT}' - to_seconds(doc_id * 7919 % 1000003) AS t FROM documents) WHERE t > TIMESTAMP '{V.NOW_TEXT}' - INTERVAL 48 HOURS ORDER BY t DESC LIMIT 50""")
+def src_papers(spark, sf):
+    """Category feeds that share entries, through their normaliser: each id once, of the last 48 hours, the newest 50."""
+    d = table(spark, sf, "documents")
+    n, key = F.col("doc_id"), F.col("doc_id").cast("string")
+    at = F.date_format(V.now() - F.make_interval(secs=(n * 7919 % 1000003).cast("int")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    who = lambda c: F.concat(F.lit("<author><name> "), c, F.lit(" </name></author>"))
+    block = F.concat(
+        F.lit("<entry><id> http://e.org/abs/"), key, F.lit(" </id><title>"), _plain(), F.lit("</title><summary> s </summary>"), who(F.col("source")), F.when(n % 3 != 0, who(F.col("lang"))).otherwise(""),
+        F.lit("<published>"), at, F.lit("</published>"), F.when(n % 2 == 0, F.concat(F.lit('<link rel="alternate" href="https://e.org/paper/'), key, F.lit('"/>'))).otherwise(""), F.lit("</entry>"),
+    )
+    feeds = _feeds(d, block, 200).unionByName(_feeds(d.filter("doc_id % 5 = 0"), block, 300).withColumn("item_ord", F.col("item_ord") + 1_000_000))
+    return items.papers(feeds, V.now()).select("id", "title", F.array_join("authors", ";").alias("authors"), "published", "url", "pdf_url")
+
+
+@query("src_news", f"""SELECT CASE WHEN doc_id % 2 = 1 THEN 'g-' || doc_id ELSE 'https://e.org/' || doc_id END AS id, title, 'https://e.org/' || doc_id AS url, title AS summary, CASE WHEN doc_id % 3 = 0 THEN '36kr' ELSE source END AS author,
+  CASE WHEN doc_id % 4 = 0 THEN '2024-02-01' ELSE 'Mon, 0' || (doc_id % 9 + 1) || ' Jan' END AS published FROM (SELECT *, {_PLAIN} AS title FROM documents) WHERE title <> '' AND (contains(lower(title), 'the') OR contains(lower(title), 'ei')) ORDER BY doc_id LIMIT 30""")
+def src_news(spark, sf):
+    """News feeds through their normaliser: the first 30 about the keywords, with what stands in for missing fields."""
+    n, key, title = F.col("doc_id"), F.col("doc_id").cast("string"), _plain()
+    some = lambda test, name, value: F.when(test, F.concat(F.lit(f"<{name}>"), value, F.lit(f"</{name}>"))).otherwise("")
+    block = F.concat(
+        F.lit("<item><title><![CDATA["), title, F.lit("]]></title><link>https://e.org/"), key, F.lit("</link>"), some(n % 2 == 1, "guid", F.concat(F.lit("g-"), key)), some(n % 3 != 0, "author", F.col("source")),
+        some(n % 4 != 0, "pubDate", F.concat(F.lit("Mon, 0"), (n % 9 + 1).cast("string"), F.lit(" Jan"))), F.lit("<description>&lt;b&gt;"), title, F.lit("</description></item>"),
+    )
+    out = items.news(_feeds(table(spark, sf, "documents"), block, 400), V.now(), ("the", "ei"))
+    published = F.when(F.startswith("published_at", F.lit("Mon")), F.col("published_at")).otherwise(F.substring("published_at", 1, 10))
+    return out.select("id", "title", "url", F.regexp_replace("summary", "^<b>", "").alias("summary"), "author", published.alias("published"))
+
+
+@query("src_community_articles", f"""SELECT doc_id AS id, {_PLAIN} AS title, source AS author, n_chars AS reactions, array_to_string([lang, source], ';') AS tags FROM documents WHERE lang IN ('en', 'de') OR doc_id % 3 = 0 ORDER BY n_chars DESC, CASE WHEN lang IN ('en', 'de') THEN 0 ELSE 1 END, doc_id LIMIT 30""")
+def src_community_articles(spark, sf):
+    """Articles of two tag queries that overlap, through their normaliser: each once, the 30 with most reactions."""
+    d = table(spark, sf, "documents")
+    row = lambda first: (
+        (F.lit(first) + F.col("doc_id")).alias("item_ord"), F.col("doc_id").alias("id"), _plain().alias("title"), F.lit("").alias("description"), F.lit("u").alias("url"), F.lit("").alias("published_at"), F.col("n_chars").alias("positive_reactions_count"),
+        F.lit(0).alias("comments_count"), F.lit(1).alias("reading_time_minutes"), F.array("lang", "source").alias("tag_list"), F.struct(F.col("source").alias("name")).alias("user"),
+    )
+    hits = d.filter("lang IN ('en', 'de')").select(*row(0)).unionByName(d.filter("doc_id % 3 = 0").select(*row(1 << 50)))
+    return items.community_articles(hits).select("id", "title", "author", F.col("positive_reactions_count").alias("reactions"), F.array_join("tags", ";").alias("tags"))
