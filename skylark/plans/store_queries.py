@@ -638,6 +638,14 @@ def pool_quarantine(spark, sf):
     return good.select("date", "state").unionByName(bad.select(day.alias("date"), F.col("reason").alias("state"))).groupBy("date", "state").agg(F.count("*").alias("files"))
 
 
+@query("state_table_stored", _M + " SELECT site, url, coalesce(lastmod, 'seen') AS lastmod FROM v_site WHERE site = 'site1'")
+def state_table_stored(spark, sf):
+    """The crawl state after a crawl, written as a table clustered by its key and asked for one site."""
+    found, at = V.sitemap(spark, sf).select("site", "url", "lastmod"), f"{scratch(spark)}/state"
+    sinks.write_table(crawl.next_state(found, V.crawl_state(spark, sf)), at, ("site", "url"))
+    return spark.read.parquet(at).filter("site = 'site1'")
+
+
 # streams ---------------------------------------------------------------------------------------------------------
 BATCHES = 3
 
