@@ -40,6 +40,19 @@ def embed_chunks(chunks: DataFrame, features: int = 1 << 12) -> DataFrame:
     return Normalizer(inputCol="_idf", outputCol="embedding").transform(weighted).drop("_w", "_tf", "_idf")
 
 
+def term_weights(texts: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
+    """(key, term, tf, weight, norm): the same vectors as ``embed_chunks`` by term instead of by hash, so no two terms share
+    a weight. ``norm`` is the length before it is divided out; where every term stands in every text it is 0, as are the
+    weights. Keys are unique. Counted by key and term before anything is joined, so a common term moves as a count."""
+    words = texts.select(key, F.explode(F.split(F.lower(F.trim(text)), r"\s+")).alias("term"))
+    tf = words.groupBy(key, "term").agg(F.count("*").alias("tf"))
+    rows = texts.filter(F.col(text).isNotNull()).agg(F.count("*").alias("rows"))  # one row
+    idf = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(rows)).select("term", F.ln((F.col("rows") + 1) / (F.col("df") + 1)).alias("idf"))
+    weighed = tf.join(idf, "term").withColumn("_x", F.col("tf") * F.col("idf"))
+    norm = F.sqrt(F.sum(F.col("_x") * F.col("_x")).over(Window.partitionBy(key)))
+    return weighed.withColumn("norm", norm).select(key, "term", "tf", F.when(F.col("norm") > 0, F.col("_x") / F.col("norm")).otherwise(0.0).alias("weight"), "norm")
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

@@ -268,7 +268,10 @@ def entity_type(spark, sf):
 _HEAD, _META = r"(?m)^\s*(?:#{1,6}\s*)?\S*rea\b", (r"^\s*$", r"^The\b.*$")
 
 
-@query("sanitize_summary")
+@query("sanitize_summary", r"""WITH c AS (SELECT doc_id, trim(replace(text, chr(13) || chr(10), chr(10))) AS t FROM documents),
+h AS (SELECT *, regexp_extract(t, '\A(?s:(.*?))(?m:^\s*(?:#{1,6}\s*)?\S*rea\b)', 1) AS before, regexp_matches(t, '(?m:^\s*(?:#{1,6}\s*)?\S*rea\b)') AS headed, string_split(t, chr(10)) AS lines FROM c),
+m AS (SELECT *, list_transform(lines, lambda x: regexp_matches(x, '^\s*$|^The\b.*$')) AS meta FROM h)
+SELECT doc_id, md5(trim(CASE WHEN headed THEN substring(t, len(before) + 1) ELSE array_to_string(lines[coalesce(nullif(list_position(meta, false), 0), len(lines) + 1) :], chr(10)) END)) AS clean_md5 FROM m""")
 def sanitize_summary(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(X.sanitize_summary(F.col("text"), _HEAD, _META)).alias("clean_md5"))
 

@@ -496,7 +496,43 @@ def chat_context_fallback(spark, sf):
     return retrieval.chat_fallback(i, _KW2, catalog.latest_dates(i, 5))
 
 
-@query("chunk_documents")
+_STRIP = r"trim({}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31) || chr(133) || chr(160) || chr(5760) || chr(8192) || chr(8193) || chr(8194) || chr(8195) || chr(8196) || chr(8197) || chr(8198) || chr(8199) || chr(8200) || chr(8201) || chr(8202) || chr(8232) || chr(8233) || chr(8239) || chr(8287) || chr(12288))"
+
+
+def _spans_sql(name, source, key, separator):
+    """CTE: the places [a, b) of what lies between the separators of ``source`` (key, t, base), as lists s."""
+    size = f"len({separator})"
+    return f"""{name} AS (SELECT {key}, list_transform(p, lambda x, i: {{'a': base + coalesce(list_sum(list_transform(p[1 : i - 1], lambda y: len(y) + {size})), 0)::BIGINT,
+  'b': base + coalesce(list_sum(list_transform(p[1 : i - 1], lambda y: len(y) + {size})), 0)::BIGINT + len(x)}}) AS s FROM (SELECT {key}, base, string_split(t, {separator}) AS p FROM {source}))"""
+
+
+def _packed_sql(name, spans, key, limit, step=None):
+    """CTEs: spans s of each row of ``spans`` taken one by one and joined while they fit; {name} holds (key, a, b), and what is
+    too long by itself in windows every ``step``, or as it is."""
+    free = f"(ra IS NULL OR ra = rb OR s[i].b - ra > {limit})"
+    long = f"s[i].b - s[i].a > {limit}"
+    n = f"greatest(0, (s[i].b - {limit} - s[i].a + {step} - 1) // {step})"
+    cut = f"list_transform(range({n}), lambda j: {{'a': s[i].a + j * {step}, 'b': s[i].a + j * {step} + {limit}}})" if step else "[s[i]]"
+    rest = f"s[i].a + {n} * {step}" if step else "NULL"
+    end = "s[i].b" if step else "NULL"
+    return f"""{name}_steps AS (SELECT {key}, s, 1::BIGINT AS i, NULL::BIGINT AS ra, NULL::BIGINT AS rb, []::STRUCT(a BIGINT, b BIGINT)[] AS done FROM {spans}
+  UNION ALL SELECT {key}, s, i + 1, CASE WHEN NOT {free} THEN ra WHEN {long} THEN {rest} ELSE s[i].a END, CASE WHEN {free} AND {long} THEN {end} ELSE s[i].b END,
+    CASE WHEN NOT {free} THEN [] ELSE CASE WHEN ra < rb THEN [{{'a': ra, 'b': rb}}] ELSE [] END || CASE WHEN {long} THEN {cut} ELSE [] END END FROM {name}_steps WHERE i <= len(s)),
+{name} AS (SELECT {key}, x.a AS a, x.b AS b FROM (SELECT {key}, unnest(done) AS x FROM {name}_steps) UNION ALL SELECT {key}, ra, rb FROM {name}_steps WHERE i = len(s) + 1 AND ra < rb)"""
+
+
+#: A line that begins with ## and a space is a header; the last line of all may be a bare ##, which is none.
+_CHUNKS = f"""WITH RECURSIVE {V.REPORTS_SQL}, lines AS (SELECT doc_id, date, report_type, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS i, len(string_split(content, chr(10))) AS n FROM v_reports WHERE content IS NOT NULL),
+numbered AS (SELECT *, sum(CASE WHEN i > 1 AND (regexp_matches(line, '^##\\s') OR line = '##' AND i < n) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS part FROM lines),
+sections AS (SELECT doc_id, date, report_type, part, {_STRIP.format("string_agg(line, chr(10) ORDER BY i)")} AS t, 0::BIGINT AS base FROM numbered GROUP BY ALL),
+{_spans_sql("paragraphs", "(SELECT * FROM sections WHERE len(t) > 1000)", "doc_id, part", "chr(10) || chr(10)")},
+{_packed_sql("pieces", "paragraphs", "doc_id, part", 1000, 800)},
+cuts AS (SELECT doc_id, part, a, b FROM pieces UNION ALL SELECT doc_id, part, 0, len(t) FROM sections WHERE len(t) <= 1000),
+texts AS (SELECT doc_id, date, report_type, part, a, {_STRIP.format("substring(t, a + 1, b - a)")} AS text FROM cuts JOIN sections USING (doc_id, part)),
+v_chunks AS (SELECT date || '/' || report_type || '/' || doc_id || '/' || (row_number() OVER (PARTITION BY doc_id ORDER BY part, a) - 1) AS chunk_id, date, text FROM texts WHERE len(text) > 20) """
+
+
+@query("chunk_documents", _CHUNKS + "SELECT chunk_id, date, len(text)::INT AS chars, md5(text) AS text_md5 FROM v_chunks")
 def chunk_documents(spark, sf):
     return retrieval.chunk_documents(V.reports(spark, sf)).select("chunk_id", "date", F.length("text").alias("chars"), F.md5("text").alias("text_md5"))
 
@@ -509,6 +545,18 @@ def embed_chunks(spark, sf):
     return e.select("chunk_id", F.round(F.aggregate(vector_to_array("embedding"), F.lit(0.0), lambda s, x: s + x * x), 6).alias("norm"))
 
 
+@query("chunk_terms", _CHUNKS + """, tf AS (SELECT chunk_id, w, count(*) AS tf FROM (SELECT chunk_id, unnest(regexp_split_to_array(lower(trim(text)), '\\s+')) AS w FROM v_chunks) GROUP BY ALL),
+df AS (SELECT w, ln((SELECT count(*) + 1 FROM v_chunks) / (count(*) + 1)::DOUBLE) AS idf FROM tf GROUP BY w), weighed AS (SELECT *, tf * idf AS x FROM tf JOIN df USING (w)),
+unit AS (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY chunk_id)) AS norm FROM weighed)
+SELECT chunk_id, count(*) AS n_terms, round(any_value(norm), 6) AS norm, arg_min(w, {'x': -x, 'w': w}) AS top_term, round(max(CASE WHEN norm > 0 THEN x / norm ELSE 0 END), 6) AS top_weight FROM unit GROUP BY chunk_id""")
+def chunk_terms(spark, sf):
+    """Weights of the chunks' terms, one row for each chunk: their number, their norm and the heaviest one."""
+    chunks = retrieval.chunk_documents(V.reports(spark, sf))
+    t = retrieval.term_weights(chunks, "chunk_id", "text")
+    heaviest = F.min_by("term", F.struct(-F.col("weight"), F.col("term"))).alias("top_term")
+    return t.groupBy("chunk_id").agg(F.count("*").alias("n_terms"), F.round(F.first("norm"), 6).alias("norm"), heaviest, F.round(F.max("weight"), 6).alias("top_weight"))
+
+
 @query("chunk_counts", _R + "SELECT date, count(*) AS n FROM v_reports WHERE date >= '2024-01-10' GROUP BY ROLLUP (date)")
 def chunk_counts(spark, sf):
     """Rows of the chunk store by date, and of all (date null)."""
@@ -578,7 +626,18 @@ def list_cap_text(spark, sf):
     return table(spark, sf, "documents").select("doc_id", assembly.capped_list(F.split("text", " "), 3).alias("names"))
 
 
-@query("pack_blocks")
+_BLOCKS = f"""WITH RECURSIVE texts AS (SELECT doc_id, coalesce(text, '') AS t, 0::BIGINT AS base FROM documents),
+marked AS (SELECT doc_id, base, regexp_replace(t, chr(10) || '(## |📡 |📅 |📆 |<a )', chr(1) || '\\1', 'g') AS t FROM texts WHERE len(t) > 3400),
+{_spans_sql("blocks", "marked", "doc_id", "chr(1)")},
+{_packed_sql("runs", "blocks", "doc_id", 3400)},
+long AS (SELECT doc_id, a AS base, substring(t, a + 1, b - a) AS t FROM runs JOIN texts USING (doc_id) WHERE b - a > 3400),
+{_spans_sql("lines", "long", "doc_id, base", "chr(10)")},
+{_packed_sql("stretches", "lines", "doc_id, base", 3400)},
+cuts AS (SELECT doc_id, a, b FROM runs WHERE b - a BETWEEN 1 AND 3400 UNION ALL SELECT doc_id, a, b FROM stretches WHERE a < b UNION ALL SELECT doc_id, 0, len(t) FROM texts WHERE len(t) <= 3400)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY a) - 1)::INT AS pos, (b - a)::INT AS chars, md5(substring(t, a + 1, b - a)) AS block_md5 FROM cuts JOIN texts USING (doc_id)"""
+
+
+@query("pack_blocks", _BLOCKS)
 def pack_blocks(spark, sf):
     return assembly.pack_blocks(table(spark, sf, "documents"), "doc_id").select("doc_id", "pos", F.length("block").alias("chars"), F.md5("block").alias("block_md5"))
 
