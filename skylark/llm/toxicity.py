@@ -7,7 +7,7 @@ training are left out of the second half, but for the text's worst.
 
 Training sees at most ``MAX_ROWS`` labelled documents and ``MAX_WORDS`` words of them (a documented bound); scoring sees
 every word of every text. Tasks hash the words and count them, and score the rows that fit the final scale; the driver
-gets word hashes and the vocabulary that occurs in several documents, not texts.
+gets their counts, the word hashes within the bound and the vocabulary that occurs in several documents, not texts.
 As the model is linear in the n-grams, a passage's score needs one number for each n-gram bucket, and an unseen
 misspelling shares most of its n-grams with the word it stands for.
 """
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from hashlib import blake2b
 from itertools import accumulate
 from typing import NamedTuple
 
@@ -29,8 +30,11 @@ from ._words import ALNUM, CHUNK, FOLD, MASK, MULT, _powers, mixed, pieces, ragg
 
 #: Labelled rows that are learnt from: those of least hash, whatever the table's size.
 MAX_ROWS = 4000
-#: And of those, in that order, as many as hold so many words in all (one at least).
+#: And of those, in order of another hash, as many as hold so many words in all; longer ones are not learnt from. Words are
+#: counted before any reach the driver, so it holds 8 bytes for each of these words and no more.
 MAX_WORDS = 2_000_000
+#: Words of more bytes are not in the training vocabulary.
+TAUGHT = 256
 #: Words beyond so many bytes are scored singly, piece by piece.
 LONG = 1 << 16
 #: Words whose n-grams are listed at once, when scoring.
@@ -171,33 +175,50 @@ class Model(NamedTuple):
         return out
 
 
-def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(label, crc, words) of each labelled document: the crc of its folded words, and their hashes."""
+def _counts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(label, doc, n) of each labelled document: the hash of its folded words, and their number."""
     for batch in pieces(batches, "_text"):
         w = tokenize(batch.column(1), ALNUM, fold=True)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_crcs(w), pa.int64()), pa.array([w.hashes[a:b].tobytes() for a, b in zip(w.offsets[:-1], w.offsets[1:])], pa.binary())], names=["label", "crc", "words"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_digests(w), pa.int64()), pa.array(np.diff(w.offsets), pa.int64())], names=["label", "doc", "n"])
 
 
-def _crcs(w) -> list[int]:
-    folded = FOLD[w.data].tobytes()
-    return [zlib.crc32(b" ".join(folded[w.starts[i] : w.ends[i]] for i in range(a, b))) for a, b in zip(w.offsets[:-1], w.offsets[1:])]
+def _words_of(chosen: set[tuple[int, int]]):
+    """(label, doc, words) of the chosen documents: the hashes of their words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "_text"):
+            w = tokenize(batch.column(1), ALNUM, fold=True)
+            labels, docs, edges = batch.column(0).to_pylist(), _digests(w), w.offsets.tolist()
+            rows = [(y, d, w.hashes[a:b].tobytes()) for y, d, a, b in zip(labels, docs, edges, edges[1:]) if (d, y) in chosen]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["label", "doc", "words"])
+
+    return run
+
+
+def _digests(w) -> list[int]:
+    """63 bits of the folded words of each text: their crc, which gives the order, and half of another hash."""
+    folded, out = FOLD[w.data].tobytes(), []
+    for a, b in zip(w.offsets[:-1], w.offsets[1:]):
+        text = b" ".join(folded[w.starts[i] : w.ends[i]] for i in range(a, b))
+        out.append(zlib.crc32(text) << 31 | int.from_bytes(blake2b(text, digest_size=4).digest(), "little") >> 1)
+    return out
 
 
 def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(crc, hash, word) of the distinct folded words of each document; those beyond ``LONG`` bytes are left to scoring."""
+    """(doc, hash, word) of the distinct folded words of each document; those beyond ``TAUGHT`` bytes are left to scoring."""
     for batch in pieces(batches, "_text"):
         w = tokenize(batch.column(1), ALNUM, fold=True)
-        folded, crcs, rows = FOLD[w.data].tobytes(), _crcs(w), []
-        for crc, a, b in zip(crcs, w.offsets[:-1], w.offsets[1:]):
+        folded, docs, rows = FOLD[w.data].tobytes(), _digests(w), []
+        for doc, a, b in zip(docs, w.offsets[:-1], w.offsets[1:]):
             h, first = np.unique(w.hashes[a:b], return_index=True)
-            rows += [(crc, x, folded[w.starts[i] : w.ends[i]]) for x, i in zip(h.view(np.int64).tolist(), (a + first).tolist()) if w.ends[i] - w.starts[i] <= LONG]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["crc", "h", "word"])
+            rows += [(doc, x, folded[w.starts[i] : w.ends[i]]) for x, i in zip(h.view(np.int64).tolist(), (a + first).tolist()) if w.ends[i] - w.starts[i] <= TAUGHT]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["doc", "h", "word"])
 
 
 def _worst_of(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "_text"):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_crcs(tokenize(batch.column(1), ALNUM, fold=True)), pa.int64()), pa.array(model.worst(batch.column(1)), pa.float64())], names=["label", "crc", "worst"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_digests(tokenize(batch.column(1), ALNUM, fold=True)), pa.int64()), pa.array(model.worst(batch.column(1)), pa.float64())], names=["label", "doc", "worst"])
 
     return run
 
@@ -321,20 +342,21 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, key: str, text: str
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", learn: Column | None = None, max_rows: int = MAX_ROWS) -> Model:
     rows = staged(labelled(docs, labels, label, key, text, F.lit(True) if learn is None else learn, max_rows), "labelled")
-    found = rows.mapInArrow(_words_of, "label int, crc long, words binary").collect()
-    found = sorted(((r["crc"], r["label"], bytes(r["words"])) for r in found))
-    words = accumulate(len(r[2]) // 8 for r in found)
-    found = [r for i, (r, n) in enumerate(zip(found, words)) if not i or n <= MAX_WORDS]
-    held, rest = found[::4], [r for i, r in enumerate(found) if i % 4]
-    own = rows.sparkSession.createDataFrame([(r[0],) for r in rest], "crc long")
-    counted = rows.mapInArrow(_vocabulary, "crc long, h long, word binary").join(F.broadcast(own.distinct()), "crc").groupBy("h").agg(F.count("*").alias("n"), F.min("word").alias("word"))
+    counts = rows.mapInArrow(_counts_of, "label int, doc long, n long").filter(F.col("n") <= MAX_WORDS)
+    known = sorted((r["doc"], r["label"], r["n"]) for r in counts.collect())  # three numbers a row
+    chosen = [r[:2] for r, n in zip(known, accumulate(n for _, _, n in known)) if n <= MAX_WORDS]
+    held, rest = chosen[::4], [r for i, r in enumerate(chosen) if i % 4]
+    found = rows.mapInArrow(_words_of(set(rest)), "label int, doc long, words binary").collect()
+    found = sorted((r["doc"], r["label"], bytes(r["words"])) for r in found)
+    own = rows.sparkSession.createDataFrame([(d,) for d, _ in rest], "doc long")
+    counted = rows.mapInArrow(_vocabulary, "doc long, h long, word binary").join(F.broadcast(own.distinct()), "doc").groupBy("h").agg(F.count("*").alias("n"), F.min("word").alias("word"))
     least = max(MIN_DOCS, len(rest) * MIN_SHARE)
     vocabulary = {r["h"]: bytes(r["word"]) for r in counted.filter(F.col("n") >= least).collect()}
-    model = fit_passages([r[1:] for r in rest], vocabulary)
+    model = fit_passages([r[1:] for r in found], vocabulary)
     if not model.weights.any():
         return model
-    worst = {(r["crc"], r["label"]): r["worst"] for r in rows.mapInArrow(_worst_of(model), "label int, crc long, worst double").collect()}
-    return scaled(model, np.array([r[1] for r in held], float), np.array([worst[r[:2]] for r in held]))
+    worst = {(r["doc"], r["label"]): r["worst"] for r in rows.mapInArrow(_worst_of(model), "label int, doc long, worst double").collect()}
+    return scaled(model, np.array([r[1] for r in held], float), np.array([worst[r] for r in held]))
 
 
 def _scorer(model: Model):

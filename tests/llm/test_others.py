@@ -353,6 +353,19 @@ def test_toxicity(spark, docs, empty):
     assert 0 <= toxicity.scored(probe, none).first()._score <= 1
 
 
+def test_words_are_bounded_before_they_travel(spark, monkeypatch):
+    """No more words than the bound are learnt from, and a labelled text that is longer than it is left out whole."""
+    seen = []
+    monkeypatch.setattr(toxicity, "MAX_WORDS", 1000)
+    monkeypatch.setattr(toxicity, "fit_passages", lambda rows, vocabulary: seen.append(rows) or toxicity.Model(np.zeros(toxicity.BUCKETS), 0.0))
+    texts = [(i, " ".join(f"w{i}x{j % 40}" for j in range(90))) for i in range(30)] + [(30, "bad " * 1001), (31, None), (32, "w0x1 " * 90)]
+    train = spark.createDataFrame([*texts, texts[0]], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(33)], "doc_id long, toxic int")
+    toxicity.train(train, labels)
+    words = [len(w) // 8 for _, w in (r[:2] for r in seen[0])]
+    assert max(words) == 90 and 600 <= sum(words) <= 1000
+
+
 def test_words_of_any_length(spark):
     """Whole words are hashed whole, and a text of one word of 5 MB is scored in bounded time, as its n-grams say."""
     import time
