@@ -551,7 +551,7 @@ unit AS (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY chunk_id)) AS norm FROM we
 SELECT chunk_id, count(*) AS n_terms, round(any_value(norm), 6) AS norm, arg_min(w, {'x': -x, 'w': w}) AS top_term, round(max(CASE WHEN norm > 0 THEN x / norm ELSE 0 END), 6) AS top_weight FROM unit GROUP BY chunk_id""")
 def chunk_terms(spark, sf):
     """Weights of the chunks' terms, one row for each chunk: their number, their norm and the heaviest one."""
-    chunks = retrieval.chunk_documents(V.reports(spark, sf))
+    chunks = spark.read.parquet(stored(spark, sf, "chunks", lambda path: retrieval.chunk_documents(V.reports(spark, sf)).write.parquet(path)))
     t = retrieval.term_weights(chunks, "chunk_id", "text")
     heaviest = F.min_by("term", F.struct(-F.col("weight"), F.col("term"))).alias("top_term")
     return t.groupBy("chunk_id").agg(F.count("*").alias("n_terms"), F.round(F.first("norm"), 6).alias("norm"), heaviest, F.round(F.max("weight"), 6).alias("top_weight"))
