@@ -44,7 +44,8 @@ def term_weights(texts: DataFrame, key: str = "chunk_id", text: str = "text") ->
     """(key, term, tf, weight, norm): the same vectors as ``embed_chunks`` by term instead of by hash, so no two terms share
     a weight. ``norm`` is the length before it is divided out; where every term stands in every text it is 0, as are the
     weights. Keys are unique. Counted by key and term before anything is joined, so a common term moves as a count."""
-    words = texts.select(key, F.explode(F.split(F.lower(F.trim(text)), r"\s+")).alias("term"))
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, or few bytes of text would make one task of many words
+    words = texts.select(key, text).repartition(parts, key).select(key, F.explode(F.split(F.lower(F.trim(text)), r"\s+")).alias("term"))
     tf = words.groupBy(key, "term").agg(F.count("*").alias("tf"))
     rows = texts.filter(F.col(text).isNotNull()).agg(F.count("*").alias("rows"))  # one row
     idf = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(rows)).select("term", F.ln((F.col("rows") + 1) / (F.col("df") + 1)).alias("idf"))
