@@ -69,7 +69,7 @@ def vector_topk(rows: DataFrame, query: Sequence[float], k: int, where: Column |
     return rows.withColumn("distance", cosine_distance(F.col("embedding"), q)).orderBy("distance", "vec_id").limit(k)
 
 
-def _near(k: int):
+def near_in_group(k: int):
     """The k nearest rows of each query of a group: found by one matrix product, ranked by distances that are summed row
     by row, so that equal vectors tie in every group."""
 
@@ -97,6 +97,13 @@ def _matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return t.column("vec_id").to_numpy(), t.column("embedding").combine_chunks().flatten().to_numpy().reshape(len(t), -1)
 
 
+def valid_vectors(df: DataFrame) -> DataFrame:
+    """(vec_id long, embedding array<double>) of the rows that have a distance."""
+    v = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+    return v.filter(F.col("vec_id").isNotNull() & ~F.exists("embedding", bad) & F.exists("embedding", lambda x: x != 0))
+
+
 def vector_topk_batch(rows: DataFrame, queries: DataFrame, k: int, group_rows: int = 8192, group_queries: int = 256) -> DataFrame:
     """The k nearest rows of each query but itself, by cosine distance; ties by id. Both frames: (vec_id, embedding), in
     any number; ids are unique. Vectors without a distance (null, empty, zero, or a component null or not finite) take no
@@ -106,15 +113,13 @@ def vector_topk_batch(rows: DataFrame, queries: DataFrame, k: int, group_rows: i
     wide, tall = parts(queries, group_queries), parts(rows, group_rows)
 
     def dealt(df: DataFrame, own: str, n: int, other: str, m: int) -> DataFrame:
-        v = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-        bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
-        v = v.filter(F.col("vec_id").isNotNull() & ~F.exists("embedding", bad) & F.exists("embedding", lambda x: x != 0))
+        v = valid_vectors(df)
         part = F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias(own)
         return v.select("vec_id", "embedding", F.size("embedding").alias("dim"), part, F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other))
 
     group = ["dim", "r", "q"]
     left, right = dealt(rows, "r", tall, "q", wide), dealt(queries, "q", wide, "r", tall).select("vec_id", "embedding", *group)
-    near = left.groupBy(group).cogroup(right.groupBy(group)).applyInArrow(_near(k), "query_id long, vec_id long, distance double")
+    near = left.groupBy(group).cogroup(right.groupBy(group)).applyInArrow(near_in_group(k), "query_id long, vec_id long, distance double")
     w = Window.partitionBy("query_id").orderBy("distance", "vec_id")
     return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 

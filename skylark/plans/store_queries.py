@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import rules as R
 from ..functions import text as X
-from ..operators import assembly, catalog, contexts, crawl, fulltext, graph, retrieval, store
+from ..operators import assembly, catalog, contexts, crawl, fulltext, graph, retrieval, store, vector_index
 from ..sources import landed, sinks
 from ..streaming import streams, tables
 from . import views as V
@@ -338,6 +338,34 @@ def vector_topk_batch(spark, sf):
     return retrieval.vector_topk_batch(e, e.filter("vec_id % 50 = 0"), 10).select("query_id", "vec_id", "rank")
 
 
+_INDEXES: dict[str, vector_index.VectorIndex] = {}
+
+
+def _vector_index(spark, sf):
+    """Built by the first query of an application that asks it; only centres and counts of cells stay with the driver."""
+
+    def build(path: str) -> None:
+        _INDEXES[path] = vector_index.build(table(spark, sf, "embeddings"), path)
+
+    return _INDEXES[stored(spark, sf, "vector_index", build)]
+
+
+@query("vector_topk_indexed")
+def vector_topk_indexed(spark, sf):
+    """As vector_topk_batch, through the stored index: approximate, with exact distances."""
+    e = table(spark, sf, "embeddings").filter("vec_id % 50 = 0")
+    return vector_index.nearest(_vector_index(spark, sf), e, 10).select("query_id", "vec_id", "rank")
+
+
+@query("vector_index_recall", f"SELECT count(DISTINCT query_id) AS n_queries, count(*) AS n_wanted, true AS recall_90, (SELECT count(*) FROM embeddings e WHERE list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[]) > 0) AS n_indexed FROM ({_BATCH})")
+def vector_index_recall(spark, sf):
+    """Whether the index finds nine of ten of the exact neighbours of all queries, and how many rows it holds."""
+    want, got = vector_topk_batch(spark, sf), vector_topk_indexed(spark, sf).select("query_id", "vec_id", F.lit(1).alias("hit"))
+    held = vector_index.stored_rows(spark, _vector_index(spark, sf)).agg(F.count("*").alias("n_indexed"))
+    recall = want.join(got, ["query_id", "vec_id"], "left").agg(F.countDistinct("query_id").alias("n_queries"), F.count("*").alias("n_wanted"), (F.count("hit") >= 0.9 * F.count("*")).alias("recall_90"))
+    return recall.crossJoin(held)  # two single rows
+
+
 _TERMS = ("the", "license", "erin")
 def _bm25(docs, key, text, terms):
     """CTEs b, s and bm: BM25 of the terms over a table."""
