@@ -5,9 +5,9 @@ only route: whether a window repeats is decided by an FM-index of the words that
 are streamed through backward search over the wavelet ranks; where the matching statistic reaches ``width`` words in
 more than one suffix, the interval's suffixes are located and the earliest stays.
 
-1. A bounded piece of documents is a shard of its own: its repeats are found there, and only first occurrences go on.
-   Each of their windows belongs to its least 6-word hash (its anchor), so equal windows have equal anchors. Anchors
-   are counted over the corpus.
+1. Each window belongs to its least 6-word hash (its anchor), so equal windows have equal anchors. A bounded piece of
+   documents is a shard of its own: it indexes the windows whose anchor stands in several places, and only first
+   occurrences go on. Anchors are counted over the corpus.
 2. Stretches of windows whose anchor occurs again go to the anchor's shard, windows of very common anchors singly by
    their own hash, once for each task. The shard indexes its stretches and streams them.
 3. Removal spans are cut from each document's whole text.
@@ -64,28 +64,22 @@ def _sliding_min(g: np.ndarray, n: int) -> np.ndarray:
 
 def repeated(words: np.ndarray, at: np.ndarray, seq: np.ndarray, key: np.ndarray, start: np.ndarray, width: int) -> np.ndarray:
     """Which windows (words[at : at + width] of sequence seq, at key and start) also start at an earlier (key, start)
-    among those given. Windows come by sequence and position.
-
-    Windows whose hash occurs once are left out of the index; the index decides about all others."""
+    among those given. Windows come by sequence and position. All are indexed and streamed: the index decides."""
     out = np.zeros(len(at), bool)
     if not len(at):
         return out
-    _, of, count = np.unique(grams(words, width)[at], return_inverse=True, return_counts=True)
-    w = np.flatnonzero(count[of] > 1)
-    if not len(w):
-        return out
-    head, count = stretches(at[w], seq[w])
+    head, count = stretches(at, seq)
     size = count + width - 1
-    vocab, ids = np.unique(words[ragged(at[w[head]], size)], return_inverse=True)
+    vocab, ids = np.unique(words[ragged(at[head], size)], return_inverse=True)
     index = FMIndex(ids, size, len(vocab), depth=width - 1, sample=SAMPLE)
     found = index.matches(ids, size, width)
-    own = w[head[found.seq] + found.start]
+    own = head[found.seq] + found.start
     several = found.hi - found.lo > 1
     lo, first, of = np.unique(found.lo[several], return_index=True, return_inverse=True)
     rows = found.hi[several][first] - lo
     place = index.locate(ragged(lo, rows))
     run = np.searchsorted(index.begins, place, "right") - 1
-    there = w[head[run] + place - index.begins[run]]  # the windows that share each interval
+    there = head[run] + place - index.begins[run]  # the windows that share each interval
     order = np.lexsort((start[there], key[there], np.repeat(np.arange(len(lo)), rows)))
     least = there[order][np.cumsum(rows) - rows][of]
     own, shift = own[several], found.shift[several]
@@ -119,9 +113,15 @@ class Piece:
         h, offsets = self.words.hashes, self.words.offsets
         self.at, self.doc = within(offsets, width)
         self.start = self.at - offsets[:-1][self.doc]
-        low = _sliding_min(grams(h, ANCHOR), width - ANCHOR + 1)[self.at] if len(self.at) else np.empty(0, np.uint64)
+        self.grams = grams(h, ANCHOR) if len(self.at) else np.empty(0, np.uint64)
+        self.low = low = _sliding_min(self.grams, width - ANCHOR + 1)[self.at] if len(self.at) else self.grams
         self.cell = (((low >> np.uint64(32)) % np.uint64(buckets)) << np.uint64(32) | (low & np.uint64(0xFFFFFFFF))).astype(np.int64)
 
+    def met(self) -> np.ndarray:
+        """The windows whose anchor stands in more than one place of the piece: all that may repeat here."""
+        values, count = np.unique(self.grams, return_counts=True)
+        return np.flatnonzero(count[np.searchsorted(values, self.low)] > 1)
+
     def repeated(self, w: np.ndarray) -> np.ndarray:
         """Which of the windows ``w`` start earlier among them."""
         return repeated(self.words.hashes, self.at[w], self.doc[w], self.k[self.doc[w]], self.start[w], self.width)
@@ -160,7 +160,8 @@ def _counting(width: int, buckets: int, parts: int):
         none = (None,) * 6
         for batch in pieces(batches, "_text"):
             p = Piece(batch, width, buckets)
-            repeat = p.repeated(np.arange(len(p.at)))
+            met, repeat = p.met(), np.zeros(len(p.at), bool)
+            repeat[met] = p.repeated(met)
             rows = [(0, *s, None, None, s[0] % buckets, None, None, None) for s in p.spans(np.flatnonzero(repeat), parts)]
             live = np.flatnonzero(~repeat)
             live = live[np.argsort(p.cell[live], kind="stable")]  # by cell, then by document
