@@ -54,6 +54,16 @@ def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], _TYPES[t]) for i, (_, t) in enumerate(fields)], names=[n for n, _ in fields])
 
 
+def _collapsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(k, _text, ref, n): in each piece, rows that repeat an id and a text are one, with their number."""
+    for batch in pieces(batches, "_text"):
+        own = batch.select(["k", "_text", "ref"])
+        _, at, n = np.unique(own.column("ref").to_numpy(), return_index=True, return_counts=True)
+        order = np.argsort(at)
+        own = own.take(pa.array(at[order]))
+        yield pa.RecordBatch.from_arrays([*own.columns, pa.array(n[order].astype(np.int64))], names=["k", "_text", "ref", "n"])
+
+
 def _sliding_min(g: np.ndarray, n: int) -> np.ndarray:
     """Least of the n values from each position on."""
     width = 1
@@ -158,7 +168,7 @@ def _counting(width: int, buckets: int, parts: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = (None,) * 6
-        for batch in pieces(batches, "_text"):
+        for batch in _collapsed(batches):
             p = Piece(batch, width, buckets)
             met, repeat = p.met(), np.zeros(len(p.at), bool)
             repeat[met] = p.repeated(met)
@@ -199,6 +209,10 @@ def _repeated_anchors(group: pa.Table, parts: int) -> pa.Table:
     posts = group.filter(pa.array(kind == 1))
     joined = lambda col, dtype: np.frombuffer(b"".join(x for x in posts.column(col).to_pylist() if x), dtype)
     low, ref, flags = joined("a", np.uint32), joined("b", np.int64), np.unique(joined("c", np.uint32))
+    order = np.lexsort((ref, low))  # a document that pieces repeat counts once
+    low, ref = low[order], ref[order]
+    once = np.r_[True, (low[1:] != low[:-1]) | (ref[1:] != ref[:-1])] if len(low) else np.empty(0, bool)
+    low, ref = low[once], ref[once]
     _, at, counts = np.unique(low, return_inverse=True, return_counts=True)
     n, flagged = counts[at] if len(low) else np.empty(0, int), np.isin(low, flags)
     again, hot = (n > 1) | flagged, flagged | (n > HOT)
@@ -223,6 +237,7 @@ def _sent(width: int, buckets: int, shards: int, parts: int):
         ref, cell, very = _sorted_by_ref(counted.filter(pa.array(kind > 1)), ("cells", np.int64), ("hots", bool))
         known, begin, end = _sorted_by_ref(counted.filter(pa.array(kind == 0)), ("begins", np.int32), ("ends", np.int32))
         out: list[pa.RecordBatch] = []
+        docs = docs.take(pa.array(np.sort(np.unique(docs.column("ref").to_numpy(), return_index=True)[1])))
         for batch in pieces(docs.to_batches(), "_text"):
             p, rows = Piece(batch, width, buckets), []
             edge = np.searchsorted(p.doc, np.arange(len(batch) + 1))
@@ -306,8 +321,8 @@ def _cutting(texts: bool):
             removed.append(n - len(words))
             shas.append(hashlib.sha256(rest).hexdigest())
             kept.append(rest.decode() if texts else None)
-        columns = [docs.column("k"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(shas, pa.string()), pa.array(kept, pa.string())]
-        return pa.table(columns, names=["k", "n_words", "n_removed", "kept_sha256", "kept"])
+        columns = [docs.column("k"), docs.column("n"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(shas, pa.string()), pa.array(kept, pa.string())]
+        return pa.table(columns, names=["k", "n", "n_words", "n_removed", "kept_sha256", "kept"])
 
     return run
 
@@ -317,7 +332,7 @@ def remove_repeats(docs: DataFrame, width: int = 20, text: str = "text", key: st
     joined by one space (null without ``texts``), and kept_sha256 is its hash.
 
     Null texts and texts of fewer than ``width`` words lose nothing. Windows at the same key and start (rows that
-    repeat an id and a text) are no earlier than each other; null keys come before all others. Extra columns are not
+    repeat an id and a text) are no earlier than each other, and travel as one row of each piece; null keys come before all others. Extra columns are not
     read; an empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -327,13 +342,14 @@ def remove_repeats(docs: DataFrame, width: int = 20, text: str = "text", key: st
     again = lambda group: _repeated_anchors(group, parts)
     counted = staged(base.mapInArrow(_counting(width, buckets, parts), TAGGED).groupBy("bucket").applyInArrow(again, COUNTED), "anchors")
     release(spark)
-    by_part = base.withColumn("part", F.pmod("ref", F.lit(parts)))
+    by_part = base.mapInArrow(_collapsed, "k long, _text string, ref long, n long").withColumn("part", F.pmod("ref", F.lit(parts)))
     segments = by_part.groupBy("part").cogroup(counted.groupBy("part")).applyInArrow(_sent(width, buckets, shards, parts), SEGMENTS)
     found = staged(segments.groupBy("shard").applyInArrow(_matched(width, parts), SPANS), "removal-spans")
     del segments
     release(spark)
     spans = counted.filter("kind = 0").select(*found.columns).unionByName(found)
-    out = by_part.groupBy("part").cogroup(spans.groupBy("part")).applyInArrow(_cutting(texts), "k long, n_words long, n_removed long, kept_sha256 string, kept string")
+    out = by_part.groupBy("part").cogroup(spans.groupBy("part")).applyInArrow(_cutting(texts), "k long, n long, n_words long, n_removed long, kept_sha256 string, kept string")
+    out = out.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("n").cast("int"))))  # no more than the rows of a piece
     return out.select(F.when(F.col("k") != -(2**63), F.col("k")).alias(key), "n_words", "n_removed", "kept_sha256", "kept")
 
 

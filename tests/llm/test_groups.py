@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -226,6 +228,32 @@ def test_repeats_come_from_the_index(docs, monkeypatch):
     assert substring_dedup.repeated(words, at, np.r_[0, 1], np.r_[1, 2], at, 20).tolist() == [False, True]
 
 
+def test_hashes_only_route(monkeypatch):
+    """Where all anchors, or windows of other words, share their hashes, the index still tells them apart."""
+    rng = random.Random(11)
+    passage = [rng.choice("abcdefgh") for _ in range(30)]
+    texts = [[rng.choice("abcdefgh") for _ in range(rng.randint(0, 40))] + passage[: rng.randint(10, 30)] for _ in range(30)] + [["a"] * 50]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    batch = pa.RecordBatch.from_pydict({"k": list(range(len(rows))), "_text": [t for _, t in rows], "ref": [5 * i for i in range(len(rows))]})
+    true_grams = substring_dedup.grams
+    for modulus in (None, 3, 1):
+        monkeypatch.setattr(substring_dedup, "grams", true_grams if modulus is None else lambda *a: true_grams(*a) % np.uint64(modulus))
+        p = substring_dedup.Piece(batch, 12, 8)
+        met, gone = p.met(), np.zeros(len(p.at), bool)
+        gone[met] = p.repeated(met)
+        first = {}
+        want = [first.setdefault(tuple(texts[d][s : s + 12]), (d, s)) != (d, s) for d, s in zip(p.doc.tolist(), p.start.tolist())]
+        assert gone.tolist() == want and any(want)
+        assert modulus is None or len(met) == len(p.at)  # the hash told nothing apart
+
+
+def test_many_rows_of_one_id_and_text(spark):
+    rows = [(1, "a b c d e f g h i j k l")] * 700 + [(2, "a b c d e f g h i j z z")] * 3 + [(None, None)] * 5 + [(None, "q r s t u v w x y z")] * 4
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = substring_dedup.remove_repeats(docs, width=9).groupBy("doc_id", "n_words", "n_removed", "kept").count().collect()
+    assert {tuple(r) for r in got} == {(1, 12, 0, "a b c d e f g h i j k l", 700), (2, 12, 10, "z z", 3), (None, 0, 0, "", 5), (None, 10, 0, "q r s t u v w x y z", 4)}
+
+
 def test_fm_index_round_trip():
     rng = np.random.default_rng(0)
     for trial in range(20):
