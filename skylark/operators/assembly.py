@@ -65,9 +65,17 @@ def sample_note(total: Column, shown: Column | int) -> Column:
 
 
 def repo_context(items: DataFrame, repos: DataFrame, issues: int = 30, pulls: int = 20, lang: str = "en") -> DataFrame:
-    """(repo, context): the most commented issues and pull requests of each repository, or "No activity"."""
+    """(repo, context): the most commented issues and pull requests of each repository, or "No activity". ``repos`` is a
+    configured list. What is ranked is only what decides the rank, cut to a fixed number of each kind before it moves;
+    bodies are read for the chosen ones alone."""
     w = Window.partitionBy("repo", "is_pr").orderBy(F.desc("comments"), "number")
-    top = items.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= F.when(F.col("is_pr"), pulls).otherwise(issues))
+    ranked = lambda rows: rows.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= max(issues, pulls))
+    place = ["repo", "is_pr", "comments", "number"]
+    chosen = ranked(items.select(place)).join(repos, "repo", "left_semi").select([F.col(c).alias(f"_{c}") for c in place])  # at most that many for each kind of a listed repository
+    same = F.lit(True)
+    for c in place:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    top = ranked(items.join(F.broadcast(chosen), same, "left_semi")).filter(F.col("n") <= F.when(F.col("is_pr"), pulls).otherwise(issues))
     counts = items.groupBy("repo").agg(F.count_if(~F.col("is_pr")).alias("n_issues"), F.count_if(F.col("is_pr")).alias("n_pulls"))
     lines = top.groupBy("repo").agg(F.array_sort(F.collect_list(F.struct("is_pr", "n", format_repo_item(lang).alias("line")))).alias("x"))
     body = F.array_join(F.transform("x", lambda r: r["line"]), "\n")

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import json
+import re
+
 
 import numpy as np
 import pytest
@@ -152,3 +154,19 @@ def test_vector_topk_batch_is_exact(spark):
         d[i] = np.inf
         want |= {(int(ids[i]), int(ids[j]), n + 1) for n, j in enumerate(np.lexsort((ids, d))[:10])}
     assert {tuple(r) for r in QUERIES["vector_topk_batch"](spark, "/root/testdata/sf0.01").collect()} == want
+
+
+def test_repositories_are_cut_before_they_move(spark):
+    """The rank's limit is a number, so each task passes on few rows, and bodies are not sorted."""
+    rows = [(i, "open" if i % 2 else "closed", "a", ("r1", "r2", "other")[i % 3], i % 4 == 0, i % 7, "t", "b" * (i % 50)) for i in range(400)]
+    items = spark.createDataFrame(rows, "number long, state string, login string, repo string, is_pr boolean, comments long, title string, body string")
+    items = items.select("*", F.struct("login").alias("user"), F.lit(None).cast("array<struct<name:string>>").alias("labels"), F.lit("2024-01-01").alias("created_at"), F.lit("2024-01-01").alias("updated_at"), F.lit(None).cast("struct<`+1`:int>").alias("reactions"), F.lit("https://github.com/o/r/issues/1").alias("html_url"))
+    repos = spark.createDataFrame([("r1",), ("r2",), ("quiet",)], "repo string")
+    out = assembly.repo_context(items, repos, 5, 3)
+    assert "WindowGroupLimit" in out._jdf.queryExecution().executedPlan().toString()
+    got = {r.repo: r.context for r in out.collect()}
+    assert got["quiet"] == "No activity" and set(got) == {"r1", "r2", "quiet"}
+    for repo in ("r1", "r2"):
+        own = sorted((r for r in rows if r[3] == repo), key=lambda r: (r[4], -r[5], r[0]))
+        want = [r[0] for r in own if not r[4]][:5] + [r[0] for r in own if r[4]][:3]
+        assert [int(x) for x in re.findall(r"^#(\d+) ", got[repo], re.M)] == want
