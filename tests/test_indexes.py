@@ -64,6 +64,21 @@ def test_search_reads_terms_and_splits_nothing(spark, texts, tmp_path):
     assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))  # files are ranges of terms
 
 
+def test_words_are_counted_in_their_row(spark, texts, tmp_path, monkeypatch):
+    """Counting moves no words, and the ranges that are sorted and written grow in number with the text."""
+    df, at = spark.createDataFrame(texts, "doc_id long, text string"), str(tmp_path / "i")
+    rows = fulltext.postings(df, "doc_id", "text")
+    assert "Exchange" not in plan(rows) and "Aggregate" not in plan(rows)
+    import regex
+
+    want = {(w, k, len(s)): n for k, t in texts if t is not None for s in [regex.split(r"[^\p{L}\p{N}]+", t.lower())] for w, n in Counter(s).items()}
+    assert {(r.term, r.key, r.len): r.tf for r in rows.collect()} == want and rows.count() == len(want)
+    monkeypatch.setattr(fulltext, "RANGE_CHARS", 100)
+    fulltext.write_index(df, at, "doc_id", "text")
+    assert len(spark.read.parquet(f"{at}/postings").inputFiles()) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert scores(fulltext.search(spark, at, ("the", "alpha"), "doc_id")) == brute(texts, ["the", "alpha"])
+
+
 def test_broken_part_is_written_over(spark, texts, tmp_path):
     df, at = spark.createDataFrame(texts, "doc_id long, text string"), str(tmp_path / "i")
     fulltext.postings(df, "doc_id", "text").write.parquet(f"{at}/postings/part=0")  # an attempt that never wrote its size
