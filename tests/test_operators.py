@@ -1,8 +1,9 @@
 from __future__ import annotations
 
 import json
+import math
 import re
-
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -170,3 +171,23 @@ def test_repositories_are_cut_before_they_move(spark):
         own = sorted((r for r in rows if r[3] == repo), key=lambda r: (r[4], -r[5], r[0]))
         want = [r[0] for r in own if not r[4]][:5] + [r[0] for r in own if r[4]][:3]
         assert [int(x) for x in re.findall(r"^#(\d+) ", got[repo], re.M)] == want
+
+
+def test_terms_are_weighed_in_blocks(spark, monkeypatch):
+    """Weights as reckoned by hand, in one block and in many; no row for each word of a text is moved."""
+    monkeypatch.setattr(retrieval, "BLOCK_CHARS", 40)
+    texts = [(f"k{i}", " ".join(("a", "B", f"w{i % 5}", "b", "x" * (i % 3 + 1))[: i % 6])) for i in range(30)] + [("none", None)]
+    df = spark.createDataFrame(texts, "chunk_id string, text string")
+    plan = retrieval.term_vectors(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "hashpartitioning(chunk_id" not in plan
+    words = {k: t.strip().lower().split() or [""] for k, t in texts if t is not None}
+    have = Counter(w for ws in words.values() for w in set(ws))
+    got = {(r.chunk_id, r.term): r for r in retrieval.term_weights(df).collect()}
+    assert set(got) == {(k, w) for k, ws in words.items() for w in ws}
+    for k, ws in words.items():
+        x = {w: ws.count(w) * math.log((len(words) + 1) / (have[w] + 1)) for w in ws}
+        norm = math.sqrt(sum(v * v for v in x.values()))
+        for w, v in x.items():
+            r = got[k, w]
+            assert r.tf == ws.count(w) and abs(r.norm - norm) < 1e-9 and abs(r.weight - (v / norm if norm else 0)) < 1e-9
+    assert retrieval.term_weights(df.limit(0)).count() == 0
