@@ -129,3 +129,21 @@ def test_latest_values(spark, feed, tmp_path):
     totals = rows.groupBy("k").agg(F.sum("v").alias("v"))
     run(streams.upsert_sink(totals, ["k"], str(tmp_path / "r"), str(tmp_path / "cp")))
     assert {(r.k, r.v) for r in tables.current(spark, str(tmp_path / "r")).collect()} == {("a", 3), ("b", 1)}
+
+
+def test_a_batch_is_written_by_as_many_tasks_as_its_share_needs(spark):
+    """However large the table, no task writes or reads a whole batch of it."""
+    from skylark.plans import store_queries as Q
+
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        scanned = Q.table(spark, "/root/testdata/sf0.001", "documents").rdd.getNumPartitions()
+        rows = Q._stream(spark, "/root/testdata/sf0.001", "documents")
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    sizes = []
+    rows.select("doc_id", "_metadata").writeStream.foreachBatch(lambda b, n: sizes.append((b.count(), b.select("_metadata.file_path").distinct().count()))).trigger(availableNow=True).start().awaitTermination()
+    assert scanned > Q.BATCHES and len(sizes) == Q.BATCHES and sum(n for n, _ in sizes) == Q.table(spark, "/root/testdata/sf0.001", "documents").count()
+    assert all(n == -(-scanned // Q.BATCHES) for _, n in sizes)
