@@ -5,13 +5,15 @@ them apart. So pivots are chosen where distances mean something:
 
 1. Equal sets become one node. Nodes with too few shared shingles for any link are set aside (an exact count: of the
    first shingles in hash order, then of all shingles).
-2. Among the rest, two linked nodes share one of their first n - ceil(t n) + 1 shingles. The most typical holder of a
-   shingle is the pivot of all its holders: the pivots' regions cover every link.
+2. Among the rest, two linked nodes share one of their first n - ceil(t n) + 1 shingles in any one order of all shingles.
+   The order is by frequency, the rarest first: a common phrase would bring together nodes that have nothing else in
+   common, the more the larger the input. The most typical holder of a shingle is the pivot of all its holders: the
+   pivots' regions cover every link.
 3. Inside a region distances to its pivot are exact. Nodes within the threshold link to it; the others become further
    pivots in turn, and only pairs inside the triangle-inequality windows of all pivots are compared.
 4. Regions beyond a size bound are split first: several pivots make Voronoi cells, and a node is replicated to
    each cell whose pivot is at most twice the threshold further than its own. Cells join recursively; a cell that
-   will not shrink is joined in blocks.
+   will not shrink, and a region whose members fall into more than two cells each, is joined in blocks.
 
 Links are spanning links (never all pairs of a group); components come from them.
 """
@@ -37,6 +39,8 @@ BUCKET_CHARS = 16 << 20
 REGION_SHINGLES, REGION_MEMBERS, BLOCK_MEMBERS = 4 << 20, 8192, 8192
 PIVOTS = 8
 LEVELS = 4
+#: Shingles of a slice of the sets, and of a bucket of shingles, when frequencies are counted.
+SLICE_SHINGLES = 1 << 20
 
 KINDS = "kind int, id long, ref long, n long, dig binary, d64 long, bucket long, a binary, b binary, c binary"
 COUNTS = "kind int, id long, ref long, n long, dig binary, d64 long, a binary, b binary"
@@ -185,19 +189,75 @@ def _all_postings(buckets: int):
     return run
 
 
-def _prefixes(num: int, den: int):
+def _slots(h: np.ndarray, slices: int) -> np.ndarray:
+    """Bucket and 32-bit rest of shingles, as one number."""
+    return (h >> np.uint64(32)) % np.uint64(slices) << np.uint64(32) | h & np.uint64(0xFFFFFFFF)
+
+
+def _counted_postings(slices: int):
+    """(slice, set) to the shingles of each bucket, by slice: how many of each slice, and their rests."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "set"):
-            sets = [np.frombuffer(x, np.uint64) for x in batch.column(2).to_pylist()]
-            first = [s[: len(s) - required(len(s), num, den) + 1] for s in sets]
-            at = np.repeat(np.arange(len(first)), [len(x) for x in first])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(first).view(np.int64) if first else [], pa.int64()), batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at))], names=["s", "dig", "score"]
-            )
+            sets = [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
+            slots = _slots(np.concatenate(sets or [np.empty(0, np.uint64)]), slices)
+            part = np.repeat(batch.column(0).to_numpy(), [len(x) for x in sets]).astype(np.int64)
+            at = (slots >> np.uint64(32)).astype(np.int64)
+            rows = [(b, np.bincount(part[i], minlength=slices).astype(np.uint32).tobytes(), slots[i].astype(np.uint32).tobytes()) for b, i in cut_by(np.lexsort((part, at)), at)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["bucket", "parts", "rests"])
 
     return run
 
 
+def _common(group: pa.Table) -> pa.Table:
+    """Of one bucket: for each slice its shingles that four sets or more hold, with the whole logarithm of their number."""
+    parts = np.frombuffer(b"".join(group.column("parts").to_pylist()), np.uint32).reshape(group.num_rows, -1)
+    rests = np.frombuffer(b"".join(group.column("rests").to_pylist()), np.uint32)
+    part = np.repeat(np.tile(np.arange(parts.shape[1]), group.num_rows), parts.ravel())
+    rest, at, n = np.unique(rests, return_inverse=True, return_counts=True)
+    level = np.log2(n).astype(np.uint8)
+    some = level[at] >= 2
+    pairs = np.unique(part[some] << 32 | at[some])
+    part, at, bucket, rows = pairs >> 32, pairs & 0xFFFFFFFF, group.column("bucket")[0].as_py(), []
+    for q, i in cut_by(np.arange(len(pairs)), part):
+        rows.append({"part": q, "bucket": bucket, "rests": rest[at[i]].tobytes(), "levels": level[at[i]].tobytes()})
+    return pa.Table.from_pylist(rows, pa.schema([("part", pa.int64()), ("bucket", pa.int64()), ("rests", pa.binary()), ("levels", pa.binary())]))
+
+
+def rarest_first(sets: list[np.ndarray], slots: np.ndarray, levels: np.ndarray, slices: int, num: int, den: int) -> list[np.ndarray]:
+    """The first n - ceil(t n) + 1 shingles of each set by (level, hash); slots not listed have level 0."""
+    order = np.argsort(slots)
+    slots, levels, out = np.r_[slots[order], np.uint64(2**64 - 1)], np.r_[levels[order], np.uint8(0)], []
+    h = _slots(np.concatenate(sets or [np.empty(0, np.uint64)]), slices)
+    at = np.searchsorted(slots, h)
+    level, a = np.where(slots[at] == h, levels[at], 0), 0
+    for s in sets:
+        out.append(s[np.argsort(level[a : a + len(s)], kind="stable")[: len(s) - required(len(s), num, den) + 1]])
+        a += len(s)
+    return out
+
+
+def _prefixes(slices: int, num: int, den: int):
+    def run(group: pa.Table, common: pa.Table) -> pa.Table:
+        joined = lambda col, dtype: np.frombuffer(b"".join(common.column(col).to_pylist()), dtype)
+        rests, levels = joined("rests", np.uint32), joined("levels", np.uint8)
+        bucket = np.repeat(common.column("bucket").to_numpy(), [len(x) // 4 for x in common.column("rests").to_pylist()])
+        sets = [np.frombuffer(x, np.uint64) for x in group.column("set").to_pylist()]
+        first = rarest_first(sets, bucket.astype(np.uint64) << np.uint64(32) | rests.astype(np.uint64), levels, slices, num, den)
+        at = pa.array(np.repeat(np.arange(len(first)), [len(x) for x in first]).astype(np.int64))
+        return pa.table({"s": pa.array(np.concatenate(first or [np.empty(0, np.uint64)]).view(np.int64)), "dig": group.column("dig").take(at), "score": group.column("score").take(at)})
+
+    return run
+
+
+def _first_shingles(kept: DataFrame, num: int, den: int) -> DataFrame:
+    """(s, dig, score) of the first shingles of every set, the rarest first."""
+    slices = max(8, int(kept.agg(F.sum("n")).first()[0] or 0) // SLICE_SHINGLES)
+    sliced = kept.withColumn("part", F.pmod(F.xxhash64("dig"), F.lit(slices)).cast("long"))
+    common = sliced.select("part", "set").mapInArrow(_counted_postings(slices), "bucket long, parts binary, rests binary").groupBy("bucket").applyInArrow(_common, "part long, bucket long, rests binary, levels binary")
+    return sliced.select("part", "dig", "score", "set").groupBy("part").cogroup(common.groupBy("part")).applyInArrow(_prefixes(slices, num, den), "s long, dig binary, score double")
+
+
 class Region:
     """Sets of one region over a dense vocabulary; exact overlaps with a chosen one."""
 
@@ -307,7 +367,14 @@ def _join_regions(members: DataFrame, sets: DataFrame, num: int, den: int, bound
         near = large.join(sets.select("dig", "set"), "dig").join(pivots, "region").select("region", "dig", "set", "pivots")
         near = staged(near.mapInArrow(_distances(num, den), "region string, dig binary, pivot binary, d double, near boolean"), "pivot-distances")
         links = links.unionByName(near.filter("near").select(F.col("pivot").alias("u"), F.col("dig").alias("v")))
-        cells = near.select(F.sha2(F.concat(F.encode("region", "UTF-8"), F.lit(b"/"), "pivot"), 256).alias("region"), "dig", "near", F.col("region").alias("parent"))
+        # where pivots separate little, cells would repeat the region several times over
+        counts = near.groupBy("region").agg(F.count("*").alias("in_cells")).join(large.select("region", "was_g").distinct(), "region")
+        pivot = near.filter("near").groupBy("region", "pivot").agg(F.count("*").alias("c")).groupBy("region").agg(F.max(F.struct("c", "pivot"))["pivot"].alias("pivot"))
+        whole = staged(counts.filter("in_cells > 2 * was_g").join(pivot, "region").select("region", "pivot"), "whole-regions")
+        linked = near.filter("near").join(whole, ["region", "pivot"]).select("region", "dig", F.lit(True).alias("near"))
+        flagged = large.join(whole, "region", "left_semi").join(linked, ["region", "dig"], "left")
+        links = links.unionByName(_in_blocks(flagged.select("region", "dig", F.coalesce("near", F.lit(False)).alias("near"), "weight", F.col("was_g").alias("g")), sets, num, den, bound))
+        cells = near.join(whole, "region", "left_anti").select(F.sha2(F.concat(F.encode("region", "UTF-8"), F.lit(b"/"), "pivot"), 256).alias("region"), "dig", "near", F.col("region").alias("parent"))
         # a cell whose members all link to its pivot is one component already
         open_ = cells.groupBy("region", "parent").agg(F.bool_and("near").alias("done")).filter("not done")
         members = staged(cells.join(open_, ["region", "parent"], "left_semi"), "cells")
@@ -324,12 +391,15 @@ def _join_regions(members: DataFrame, sets: DataFrame, num: int, den: int, bound
 
 
 def _in_blocks(stuck: DataFrame, sets: DataFrame, num: int, den: int, bound: int) -> DataFrame:
-    """Members that don't link to their cell's pivot (outer) meet all members, block by block."""
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("weight") * 2 / bound), F.ceil(F.col("g") * 2 / BLOCK_MEMBERS)).cast("int")
-    m = stuck.select("region", "dig", (~F.col("near")).alias("outer"), blocks.alias("k")).withColumn("b", F.pmod(F.xxhash64("dig"), F.col("k")))
-    one = m.filter("outer").select("region", "dig", "outer", F.col("b").alias("i"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("j"))
-    two = m.select("region", "dig", "outer", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("i"), F.col("b").alias("j"))
-    pairs = one.unionByName(two.select(one.columns)).distinct()
+    """Members that don't link to their cell's pivot (outer) meet all members, block by block; where few are outer, all
+    members travel only as often as those need blocks."""
+    blocks = lambda weight, g: F.greatest(F.lit(1), F.ceil(F.col(weight) * 2 / bound), F.ceil(F.col(g) * 2 / BLOCK_MEMBERS)).cast("int")
+    few = stuck.filter("not near").join(sets.select("dig", "n"), "dig").groupBy("region").agg(F.sum("n").alias("outer_weight"), F.count("*").alias("outer_g"))
+    m = stuck.join(few, "region").select("region", "dig", (~F.col("near")).alias("outer"), blocks("outer_weight", "outer_g").alias("rows"), blocks("weight", "g").alias("cols"))
+    m = m.withColumn("row", F.pmod(F.xxhash64("dig"), F.col("rows"))).withColumn("col", F.pmod(F.xxhash64("dig"), F.col("cols")))
+    one = m.filter("outer").select("region", "dig", "outer", F.col("row").alias("i"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("j"))
+    two = m.select("region", "dig", "outer", "row", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), F.col("col").alias("j"))
+    pairs = one.unionByName(two.withColumn("outer", F.col("outer") & (F.col("row") == F.col("i"))).select(one.columns)).distinct()
     name = F.concat_ws("/", "region", "i", "j")
     return pairs.join(sets, "dig").select(name.alias("region"), "dig", "score", "set", "outer").groupBy("region").applyInArrow(_region_join(num, den), LINKS)
 
@@ -349,6 +419,7 @@ def similar_sets(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100,
     count = lambda group: _count_shared(group, buckets)
     counted = base.mapInArrow(_listed(width, num, den, buckets), KINDS).groupBy("bucket").applyInArrow(count, COUNTS)
     counted = staged(counted, "shingle-counts")
+    release(spark)
     sizes = counted.filter("kind = 0")
     nodes = sizes.filter("n > 0").groupBy("dig", "d64", "n").agg(F.min("ref").alias("_ref"), F.min(_id("id")).alias("_least"))
     shared = lambda c: c.filter("kind = 2").select(F.col("n").alias("part"), "a", "b").groupBy("part").applyInArrow(_summed, "d64 long, hits long")
@@ -363,10 +434,13 @@ def similar_sets(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100,
     again = sets.select("d64", "set").mapInArrow(_all_postings(buckets), KINDS).groupBy("bucket").applyInArrow(count, COUNTS)
     kept = staged(sets.join(keyed(shared(again)), "d64").filter(F.col("hits") >= need).select("dig", "n", (F.col("hits") / F.col("n")).alias("score"), "set"), "near-sets")
     release(spark)
-    posts = staged(kept.select("dig", "score", "set").mapInArrow(_prefixes(num, den), "s long, dig binary, score double"), "prefixes")
+    posts = staged(_first_shingles(kept, num, den), "prefixes")
+    release(spark)
     pivots = posts.groupBy("s").agg(F.max(F.struct("score", "dig"))["dig"].alias("pivot"), F.count("*").alias("holders")).filter("holders > 1")
     members = staged(posts.join(pivots, "s").select(F.hex("pivot").alias("region"), "dig").distinct(), "regions")
+    release(spark)
     links = staged(_join_regions(members, kept, num, den, bound, most), "near-links")
+    release(spark)
     rooted = nodes.select("dig", F.col("dig").alias("root"), "_least")
     if not links.isEmpty():
         roots = components(links, "u", "v").select(F.col("node").alias("dig"), F.col("root").alias("_root"))

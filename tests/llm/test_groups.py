@@ -82,6 +82,39 @@ def test_counts_of_shared_shingles_are_never_too_low(monkeypatch):
     assert [np.frombuffer(r[7], np.int64).tolist() + np.frombuffer(r[8], np.int64).tolist() for r in rows] == [[7, 1]]
 
 
+def test_common_phrases_bring_no_documents_together(spark, monkeypatch):
+    """Pairs of near copies that all quote one phrase: a region holds a pair, not all holders of the phrase."""
+    rng, phrase, rows, sizes = random.Random(3), " ".join(f"p{i}" for i in range(30)), [], []
+    for i in range(60):
+        own = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        rows += [(2 * i, f"{phrase} {' '.join(own)}"), (2 * i + 1, f"{phrase} {' '.join(own[:-1])} changed")]
+    join = jaccard_join._join_regions
+    monkeypatch.setattr(jaccard_join, "_join_regions", lambda members, *a: sizes.append(members.groupBy("region").count().agg(F.max("count")).first()[0]) or join(members, *a))
+    got = jaccard_join.similar_sets(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows, 4, 85, 100)
+    assert sizes == [2]
+
+
+def test_prefixes_keep_one_order_of_all_shingles():
+    """The rarest first, then by hash; a listed slot counts for every set that has it."""
+    sets = [np.array([1, 2, 3, 4, 5, 6, 7, 8, 9, 10], np.uint64), np.array([1, 2, 11, 12], np.uint64)]
+    first = jaccard_join.rarest_first(sets, jaccard_join._slots(np.array([2, 1, 3], np.uint64), 8), np.array([3, 2, 2], np.uint8), 8, 50, 100)
+    assert [x.tolist() for x in first] == [[4, 5, 6, 7, 8, 9], [11, 12, 1]]
+    assert [len(x) for x in jaccard_join.rarest_first(sets, np.empty(0, np.uint64), np.empty(0, np.uint8), 8, 50, 100)] == [6, 3]
+
+
+def test_regions_that_pivots_do_not_split_are_not_repeated(spark, monkeypatch):
+    """Variants of one text, most of them too far apart to link: all lie about as far from every pivot, so the region goes
+    to blocks once and into no cells."""
+    rng, base, stuck = random.Random(5), [f"b{i}" for i in range(60)], []
+    rows = [(i, " ".join([*base[: (k := rng.randrange(8))], *(f"v{i % 9}x{j}" for j in range(4)), *base[k:]])) for i in range(40)]
+    blocks = jaccard_join._in_blocks
+    monkeypatch.setattr(jaccard_join, "_in_blocks", lambda m, *a: stuck.append(m.groupBy("dig").count().agg(F.max("count")).first()[0]) or blocks(m, *a))
+    got = jaccard_join.similar_sets(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, bound=300, most=4).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows, 4, 85, 100)
+    assert [n for n in stuck if n] and max(n for n in stuck if n) < 8
+
+
 def test_many_null_ids(spark):
     """Copies without an id are told apart by their texts, in about the time of those with one."""
     texts = [" ".join(f"w{(i * 7 + j) % 50 if j else i % 40}" for j in range(30)) for i in range(300)]
