@@ -465,6 +465,7 @@ def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **op
     row = F.xxhash64(F.col(key).cast("long"), text).alias("_row")
     found = similar_sets(docs.select(row, F.col(text).alias("_text")), key="_row", text="_text", **options).filter("n_shingles > 0")
     found = staged(found.groupBy("_row").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n")), "near-rows")
+    release(docs.sparkSession)
     keys = docs.select(row, row_key(key).alias("id"), F.col(key).isNull().alias("last")).distinct()
     first = found.join(keys, "_row").groupBy("component_id").agg(F.min(F.struct("last", "id", "_row"))["_row"].alias("_row"))
     first = staged(first.join(found.select("_row", "n"), "_row").select("_row", "n"), "near-firsts")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -297,3 +298,17 @@ def test_fm_index_round_trip():
         for p, n, lo, hi in zip(patterns, size, *index.search(patterns.ravel(), 4 * np.arange(20), size)):
             want = sorted(index.begins[i] + j for i, s in enumerate(seqs) for j in range(len(s) - n + 1) if (s[j : j + n] == p[:n]).all())
             assert sorted(index.locate(np.arange(lo, hi))) == want
+
+
+def test_files_of_the_last_write_are_released(spark):
+    """Once a step is staged, release frees its shuffle files too, not only those of the steps before it."""
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f for f in manager.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+    before = files()
+    jaccard_join.staged(spark.range(1000).repartition(7), "released")
+    own = files() - before
+    jaccard_join.release(spark)
+    end = time.time() + 10
+    while own & files() and time.time() < end:
+        time.sleep(0.2)
+    assert own and not own & files()
